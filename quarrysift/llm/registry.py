@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_substring": substring.op3_substring,
     }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -41,6 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # else it came as a package file already
+        out = tempfile.mkdtemp(prefix="quarrysift-code-")
+        atexit.register(shutil.rmtree, out, ignore_errors=True)
+        root, name = os.path.split(here)
+        staged = shutil.copytree(here, f"{out}/code/{name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{out}/{name}", "zip", os.path.dirname(staged)))
+    _SHIPPED.add(sc.applicationId)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove every scratch table that this process wrote."""
     jvm = spark.sparkContext._jvm

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import simhash, substring, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op3_substring": substring.op3_substring,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_url_filter": urls.op8_url_filter,
+        "op9_token_counts": tokens.op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": urls.OP8_SQL}

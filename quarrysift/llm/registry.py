@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, tokens, toxicity, urls
+from . import chat, quality, simhash, substring, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_quality": quality.op2_quality,
         "op3_substring": substring.op3_substring,
+        "op4_chat_format": chat.op4_chat_format,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_url_filter": urls.op8_url_filter,
         "op9_token_counts": tokens.op9_token_counts,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urls.OP8_SQL}
+    return {"op3_substring": substring.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op8_url_filter": urls.OP8_SQL}

@@ -187,3 +187,15 @@ def op3_substring(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of ``documents`` at windows of 50 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs.select("doc_id", "text")).select("doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+with docs as (select row_number() over () as rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') as ws from documents),
+windows as (select rid, doc_id, s, md5(array_to_string(list_slice(ws, s, s + 49), ' ')) as k from (select rid, doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) as s from docs)),
+first as (select k, min(doc_id) as m from windows group by k),
+gone as (select distinct rid, unnest(range(s, s + 50)) as p from windows join first using (k) where m < doc_id),
+words as (select rid, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as p from docs),
+kept as (select rid, string_agg(w, ' ' order by p) as t, count(*) as n from words anti join gone using (rid, p) group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from docs left join kept using (rid)
+"""

@@ -9,6 +9,7 @@ once while it is remembered.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+#: Spark deals out the cores; the library is not to start threads of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Pre-tokens of the vocabulary's own pattern, for texts in lower case.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 REMEMBERED = 400_000

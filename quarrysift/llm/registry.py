@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, quality, simhash, substring, tokens, toxicity, urls
+from . import chat, decontaminate, mixing, packing, quality, simhash, substring, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op2_quality": quality.op2_quality,
         "op3_substring": substring.op3_substring,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_packing": packing.op5_packing,
+        "op6_decontamination": decontaminate.op6_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_url_filter": urls.op8_url_filter,
         "op9_token_counts": tokens.op9_token_counts,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 

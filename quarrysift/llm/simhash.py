@@ -132,13 +132,15 @@ class GrayIndex:
         tops = self.levels[-1]
         self.root = np.repeat(np.arange(len(tops[2])), tops[3] - tops[2])
 
-    def classes(self, radius: int) -> np.ndarray:
+    def classes(self, radius: int, wide: np.ndarray | None = None, apart: int = 0) -> np.ndarray:
         """For each fingerprint in the given order, the index of its class's representative.
 
         Two fingerprints of a bucket within ``radius`` bits are in one class; classes are
-        closed under such links.
+        closed under such links. With ``wide`` (a row of words each), a link also needs
+        wide fingerprints of at most ``apart`` different bits.
         """
         n = len(self.fps)
+        wide = None if wide is None else wide[self.order]
         comp = np.arange(n)
         step = 4096 if len(self.levels) > 2 else max(4096, n)
         for at in range(0, n, step):
@@ -164,11 +166,14 @@ class GrayIndex:
                     keep &= (low[level][node] != comp[q]) | (high[level][node] != comp[q])
                 q, node, acc = q[keep], node[keep], acc[keep]
                 if level == 0:
+                    if wide is not None:
+                        near = np.bitwise_count(wide[q] ^ wide[node]).sum(axis=1, dtype=np.int64) <= apart
+                        q, node = q[near], node[near]
                     a.append(q)
                     b.append(node)
                     continue
                 whole = acc + np.bitwise_count(~shared[node]) <= radius
-                if whole.any():
+                if wide is None and whole.any():
                     lo, hi = first[node[whole]], last[node[whole]]
                     a.append(q[whole])
                     b.append(lo)
@@ -194,74 +199,79 @@ class GrayIndex:
         return out
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the links in each bucket; rows come sorted by bucket."""
+def _bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, apart: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links in each bucket; rows come sorted by bucket.
 
-    def search(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        to = GrayIndex(bucket, fp.view(np.uint64)).classes(radius)
+    With ``apart``, rows hold a node number and a wide fingerprint (f0 to f3) beside fp, and
+    edges are between nodes; else between fingerprints.
+    """
+    names = ["bucket", "fp"] if apart is None else ["bucket", "fp", "node", "f0", "f1", "f2", "f3"]
+
+    def search(cols: list[np.ndarray]) -> pa.RecordBatch:
+        index = GrayIndex(cols[0], cols[1].view(np.uint64))
+        node = cols[1] if apart is None else cols[2]
+        to = index.classes(radius) if apart is None else index.classes(radius, np.stack(cols[3:], axis=1).view(np.uint64), apart)
         m = np.flatnonzero(to != np.arange(len(to)))
-        x, y = fp[m], fp[to[m]]
+        x, y = node[m], node[to[m]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
-        held.append((batch.column("bucket").to_numpy(), batch.column("fp").to_numpy()))
+        held.append([batch.column(n).to_numpy() for n in names])
         rows += batch.num_rows
         if rows < CHUNK_ROWS:
             continue
-        bucket, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
         if cut:
-            yield search(bucket[:cut], fp[:cut])
-        held, rows = [(bucket[cut:], fp[cut:])], len(fp) - cut
+            yield search([c[:cut] for c in cols])
+        held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
     if rows:
-        yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield search([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def _blocks(fp: str, parts: list[tuple[int, int]], base: str | None = None):
-    """Bucket keys: one for each (shift, width), made of the block's number and bits."""
-    keys = []
-    for k, (shift, width) in enumerate(parts):
-        bits = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(F.lit((1 << width) - 1))
-        key = bits + F.lit(k << width)
-        keys.append(key if base is None else F.xxhash64(F.col(base), key))
-    return F.explode(F.array(*keys))
+def _deal(rows: DataFrame, radius: int, bits: int, hot: int) -> DataFrame:
+    """``rows`` (fp and others, perhaps a ``part`` that keeps rows apart) with a bucket number.
 
+    Two fingerprints of ``bits`` bits within ``radius`` meet in at least one bucket. A bucket
+    of more than ``hot`` rows is dealt again by blocks of its other bits, so that no bucket
+    needs to be held by one task; nothing is dropped.
+    """
+    n, keep = radius + 1, rows.columns
+    cuts = [bits * i // n for i in range(n + 1)]
+    width = max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+    part = F.col("part").cast("long") if "part" in keep else F.lit(0).cast("long")
 
-def near_edges(reps: DataFrame, radius: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges (u > v) that connect all distinct fingerprints ``fp`` within ``radius`` bits.
+    def key(k: int):
+        value = F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+        return (part * n + k) * (1 << width) + value
 
-    A bucket of more than ``hot`` fingerprints is dealt again by blocks of its other bits,
-    so that no bucket needs to be held by one task; nothing is dropped.
-    """
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    parts = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
-    width = max(w for _, w in parts)
-    parts = [(s, w) for s, w in parts]
-    keyed = reps.select("fp", _blocks("fp", [(s, width if s + width <= 64 else 64 - s) for s, _ in parts]).alias("bucket"))
-    # at most n * 2**width keys can be hot, and no more than rows / hot
+    keyed = rows.select(*keep, F.explode(F.array(*[key(k) for k in range(n)])).alias("bucket"))
+    # at most parts * n * 2**width keys, and no more than rows / hot
     large = [r[0] for r in keyed.groupBy("bucket").count().filter(F.col("count") > hot).select("bucket").collect()]
-    if large:
-        spark = reps.sparkSession
-        flags = F.broadcast(spark.createDataFrame([(x, True) for x in large], "bucket long, large boolean"))
-        keyed = keyed.join(flags, "bucket", "left")
-        cold = keyed.filter(F.col("large").isNull()).select("fp", "bucket")
-        split = None
-        for k in range(n):  # buckets of block k are split by blocks of the bits around it
-            rest = [i for i in range(64) if not cuts[k] <= i < cuts[k + 1]]
-            step = [len(rest) * j // n for j in range(n + 1)]
-            mine = keyed.filter(F.col("large") & (F.shiftright("bucket", width) == k))
-            keys = []
-            for j in range(n):
-                mask = sum(1 << i for i in rest[step[j] : step[j + 1]])
-                mask -= (mask >> 63) << 64
-                keys.append(F.xxhash64(F.col("bucket"), F.lit(j), F.col("fp").bitwiseAND(F.lit(mask))))
-            mine = mine.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-            split = mine if split is None else split.unionByName(mine)
-        keyed = cold.unionByName(split)
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_bucket_edges, radius=radius), "u long, v long").distinct()
+    if not large:
+        return keyed
+    flags = F.broadcast(rows.sparkSession.createDataFrame([(x, True) for x in large], "bucket long, large boolean"))
+    keyed = keyed.join(flags, "bucket", "left")
+    out = keyed.filter(F.col("large").isNull()).select(*keep, "bucket")
+    for k in range(n):  # buckets of block k are split by blocks of the bits around it
+        rest = [i for i in range(bits) if not cuts[k] <= i < cuts[k + 1]]
+        step = [len(rest) * j // n for j in range(n + 1)]
+        keys = []
+        for j in range(n):
+            mask = sum(1 << i for i in rest[step[j] : step[j + 1]])
+            mask -= (mask >> 63) << 64
+            keys.append(F.xxhash64(F.col("bucket"), F.lit(j), F.col("fp").bitwiseAND(F.lit(mask))))
+        mine = keyed.filter(F.col("large") & (F.shiftright("bucket", width) % n == k))
+        out = out.unionByName(mine.select(*keep, F.explode(F.array(*keys)).alias("bucket")))
+    return out
+
+
+def near_edges(reps: DataFrame, radius: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+    """Edges (u > v) that connect all distinct fingerprints ``fp`` within ``radius`` bits."""
+    dealt = _deal(reps.select("fp"), radius, 64, hot).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(partial(_bucket_edges, radius=radius), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -314,6 +324,64 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     return fps.join(fingerprint_classes(fps, radius, hot), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Seeds of a wide fingerprint's four words; bits in which two of it may differ. At 5-word
+#: shingle similarity 0.8 about 39 of 256 bits differ, give or take 6.
+WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 45
+
+
+def _wide_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        f = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 4).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("c"), *(pa.array(f[:, k].copy()) for k in range(4))], names=["d", "c", "f0", "f1", "f2", "f3"])
+
+
+def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, int]:
+    """256-bit SimHash: words and shingles as for ``fingerprint``, each hash mixed four ways."""
+    words = data.lower().split() if data else []
+    if not words:
+        return 0, 0, 0, 0
+    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+    n = max(1, len(words) - shingle + 1)
+    ones = np.zeros(256, np.int64)
+    for at in range(0, n, 16_384):
+        part = words[at : min(at + 16_384, n) + shingle - 1]
+        rows = [b" ".join(part)] if len(part) < shingle else map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
+        h = np.fromiter(map(digest, rows), np.uint64)
+        many = []
+        for seed in WIDE_SEEDS:
+            x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * seed)
+            many.append(x ^ (x >> np.uint64(27)))
+        ones += np.unpackbits(np.stack(many, axis=1).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist())
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, radius: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others), one for each near-duplicate class.
+
+    Two texts are linked if their 256-bit SimHash of word shingles differs in at most
+    ``apart`` bits, which stands for a shingle similarity of 0.8, and at least one of its
+    eight 32-bit parts in at most ``radius`` (19 of 20 pairs at 0.8, all but one in a
+    thousand at 0.9). The index is searched for each part. The row of smallest doc_id stays
+    (null last, then by a hash of the text). Null and empty texts are one class.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("c"))
+    base = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), "text")
+    wide = materialize(base.mapInArrow(partial(_wide_batches, shingle=shingle), "d long, c long, f0 long, f1 long, f2 long, f3 long"), "wide")
+    f = ["f0", "f1", "f2", "f3"]
+    first = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "c")).alias("first")
+    reps = materialize(wide.groupBy(*f).agg(first).withColumn("node", F.xxhash64(*f)), "reps")
+    parts = [F.struct(F.lit(2 * k + h).alias("part"), F.shiftrightunsigned(f[k], 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("fp")) for k in range(4) for h in (0, 1)]
+    rows = reps.select("node", *f, F.explode(F.array(*parts)).alias("x")).select("node", *f, "x.part", "x.fp")
+    dealt = _deal(rows, radius, 32, hot).drop("part").repartition("bucket").sortWithinPartitions("bucket")
+    edges = dealt.mapInArrow(partial(_bucket_edges, radius=radius, apart=apart), "u long, v long")
+    comp = materialize(components(edges), "classes")
+    stay = reps.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first").alias("first")).select("first.z", "first.d", "first.c")
+    marked = docs.select(F.struct("*").alias("doc"), own.alias("own"))
+    kept = marked.join(stay.hint("shuffle_hash"), (F.col("own.d").eqNullSafe(F.col("d"))) & (F.col("own.c") == F.col("c")), "left_semi")
+    return kept.dropDuplicates(["own"]).select("doc.*")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of ``documents`` at 3-word shingles and 3 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -80,3 +80,35 @@ def test_chain_component(spark):
 
 def test_empty(spark):
     assert S.simhash_classes(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_one_of_each(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"v{i}" for i in rng.integers(0, 3000, n)]
+    rows, group = [], []
+    for g in range(40):
+        text = words(150)
+        for c in range(4):
+            t = list(text)
+            if c == 1:
+                t[40] = "edit"  # 5 of 146 shingles
+            elif c == 2:
+                t += words(6)
+            rows.append((int(10_000 - 7 * len(rows)), " ".join(t)))
+            group.append(g)
+    for g in range(20):  # half in common: no near copy
+        half = words(100)
+        for _ in range(2):
+            rows.append((20_000 + len(rows), " ".join(half + words(100))))
+            group.append(1000 + len(rows))
+    rows += [(50_000, None), (50_001, ""), (None, rows[0][1]), (rows[3][0], rows[3][1]), (60_000, "short text"), (60_001, "short text"), (60_002, "other text"), (None, "only null")]
+    group += [2000, 2000, 0, 0, 2001, 2001, 2002, 2003]
+    df = spark.createDataFrame([(*r, "l", 3) for r in rows], "doc_id long, text string, d string, c int")
+    for hot in (S.HOT_BUCKET, 20):
+        out = S.one_of_each(df, hot=hot)
+        assert out.columns == df.columns
+        want = {}
+        for (d, t), g in zip(rows, group):
+            want[g] = min(want.get(g, (9e9, "")), (9e8 if d is None else d, t or ""))
+        assert sorted((9e8 if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect()) == sorted(want.values())
+    assert S.one_of_each(df.limit(0)).count() == 0

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import chunking as K
 from ..operators import ranking as R
 from ..operators import refine as Q
 from ..operators import results as S
 from ..session import table
+from ..sources import normalise as N
 from . import corpora as C
+from . import output as O
 
 QUERY = "the and thing"
 TRUST = ["example.org", *R.TRUSTED]
@@ -382,6 +385,37 @@ def anchor_title(spark, d):
     return table(spark, d, "pages").select("page_id", T.anchor_title(F.col("html"), F.col("url")).alias("title"))
 
 
+@query()
+def text_chunks(spark, d):
+    return K.chunked(table(spark, d, "documents"), K.paragraphs, "doc_id", "text")
+
+
+@query()
+def line_chunks(spark, d):
+    return K.chunked(table(spark, d, "documents"), lambda t: [c for _, _, c in K.lines(t, 1000)], "doc_id", "text")
+
+
+@query(f"with {C.SQL_PAGES} select ord, url, title, snippet, 'serp' as source, timestamp '2024-03-01 00:00:00' - to_days(cast(ord % 30 as int)) as ts from res where contains({C.sql_host()}, 'example') and not coalesce(contains({C.sql_host()}, 'spam'), false) order by ord limit 60")
+def serp_normalize(spark, d):
+    item = F.struct(F.col("title"), F.col("url").alias("link"), "snippet", F.concat((F.col("ord") % 30).cast("string"), F.lit(" days ago")).alias("date"))
+    one = C.pages(spark, d).orderBy("ord").limit(100).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("i")))), lambda x: x["i"]).alias("organic_results"))).alias("payload"))
+    return N.organic(one, C.as_of(), 60, ["example"], ["spam"])
+
+
+@query(f"with {C.SQL_PAGES} select ord, url, title, trim(regexp_replace(regexp_replace('<b>' || snippet || '</b>  x', '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))[1:500] as snippet, 'rss' as source, ts from res where ord % 3 <> 0")
+def rss_normalize(spark, d):
+    p = C.pages(spark, d)
+    items = p.select("ord", F.when(F.col("ord") % 3 != 0, F.col("url")).alias("link"), "title", F.lit(None).cast("string").alias("contentSnippet"), F.concat(F.lit("<b>"), "snippet", F.lit("</b>  x")).alias("summary"), F.lit("c").alias("content"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("isoDate"))
+    return N.feed_items(items, C.as_of())
+
+
+@query(rf"""with {C.SQL_PAGES}, s as (select *, {_SCORE} as v from res), t as (select *, case when length(snippet) <= 300 then snippet else
+    case when contains(snippet[1:300], ' ') and 300 - instr(reverse(snippet[1:300]), ' ') > 240 then substr(snippet, 1, 300 - instr(reverse(snippet[1:300]), ' ')) else snippet[1:300] end || '...' end as cut from s)
+  select ord, '### [' || regexp_replace(title, '([\[\]|])', '\\\1', 'g') || '](' || url || ')' || chr(10) || chr(10) || cut || chr(10) || chr(10) || '*' || source || '* | ' || cast(floor(v * 100 + 0.5::double) as bigint) || '% | ' || strftime(ts, '%Y-%m-%d') as line from t""")
+def result_format(spark, d):
+    return O.result_lines(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -402,7 +402,7 @@ def serp_normalize(spark, d):
     return N.organic(one, C.as_of(), 60, ["example"], ["spam"])
 
 
-@query(f"with {C.SQL_PAGES} select ord, url, title, trim(regexp_replace(regexp_replace('<b>' || snippet || '</b>  x', '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))[1:500] as snippet, 'rss' as source, ts from res where ord % 3 <> 0")
+@query(rf"with {C.SQL_PAGES} select ord, url, title, trim(regexp_replace(regexp_replace('<b>' || snippet || '</b>  x', '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))[1:500] as snippet, 'rss' as source, ts from res where ord % 3 <> 0")
 def rss_normalize(spark, d):
     p = C.pages(spark, d)
     items = p.select("ord", F.when(F.col("ord") % 3 != 0, F.col("url")).alias("link"), "title", F.lit(None).cast("string").alias("contentSnippet"), F.concat(F.lit("<b>"), "snippet", F.lit("</b>  x")).alias("summary"), F.lit("c").alias("content"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("isoDate"))

@@ -14,7 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,47 +29,78 @@ from .tokens import vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SIZE, END_ID, REMEMBERED = 2048, 0, 500_000
+SIZE, END_ID = 2048, 0
+#: Parts remembered in each of two generations, and parts encoded together.
+REMEMBERED, TOGETHER = 300_000, 1000
 #: Ranks within a length are counted in so many groups, as one length may hold most pieces.
 GROUPS = 64
 _CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, by pieces of text remembered.
+    """Token ids as little-endian unsigned 32-bit bytes, by parts of text remembered.
 
     In byte-level BPE a space before a visible character always begins a pre-token, so a
     text's ids are those of its parts cut there. Each different part is encoded once while
-    it is remembered.
+    it is remembered. New parts are encoded many at a time, joined as in a text: a part
+    without a space inside has one token that begins with a space, its first.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the model's sign for a space
+        #: An added token could reach across parts; such parts go alone.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = parts - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new -= again
+        alone = [p for p in new if " " in p or not p or self.added.search(p)]
+        self.known.update(zip(alone, self._encode([" " + p for p in alone]), strict=True))
+        plain = list(new.difference(alone))
+        groups = [plain[lo : lo + TOGETHER] for lo in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")]) * 4
+            if len(starts) != len(group) or starts[0]:
+                self.known.update(zip(group, self._encode([" " + p for p in group]), strict=True))
+                continue
+            edges = [*starts.tolist(), len(ids)]
+            self.known.update(zip(group, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*(p[1:] for p in parts)) - self.known.keys())
-        self.known.update(zip(new, self._encode([" " + n for n in new]), strict=True))
+        self._learn(set().union(*(p[1:] for p in parts)))
         for first, p in zip(self._encode([p[0] for p in parts]), parts, strict=True):
             yield first + b"".join(map(self.known.__getitem__, p[1:]))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encode = encoder(path).batch
     end = np.array([END_ID], "<u4").tobytes()
     for whole in batches:
         for lo in range(0, whole.num_rows, 128):
             batch = whole.slice(lo, 128)
             rows: list[tuple] = []
-            for at, ids in enumerate(encoder.batch([t or "" for t in batch.column("text").to_pylist()])):
+            for at, ids in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n - (n - 1) // size * size, n + 1, size)]

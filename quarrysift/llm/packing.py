@@ -31,9 +31,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SIZE, END_ID = 2048, 0
 #: Parts remembered in each of two generations, and parts encoded together.
-REMEMBERED, TOGETHER = 300_000, 1000
+REMEMBERED, TOGETHER = 400_000, 200
 #: Ranks within a length are counted in so many groups, as one length may hold most pieces.
 GROUPS = 64
+#: Latin letters and what follows, if that does not begin with a letter or number of any script.
+_CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++)(?![^\W_])(.+)", re.DOTALL)
 _CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
 
 
@@ -42,8 +44,10 @@ class Encoder:
 
     In byte-level BPE a space before a visible character always begins a pre-token, so a
     text's ids are those of its parts cut there. Each different part is encoded once while
-    it is remembered. New parts are encoded many at a time, joined as in a text: a part
-    without a space inside has one token that begins with a space, its first.
+    it is remembered. New parts are encoded many at a time, joined as in a text: a part's
+    first token begins with a space, and none else if the part has no space inside. Where
+    the sum of such tokens is another, or an added token is met, each part goes alone. A run
+    of letters and what follows are different pre-tokens, so "word," needs "word" and ",".
     """
 
     def __init__(self, path: str):
@@ -53,10 +57,10 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the model's sign for a space
-        #: An added token could reach across parts; such parts go alone.
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,17 +68,32 @@ class Encoder:
     def _learn(self, parts: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = parts - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new -= again
-        alone = [p for p in new if " " in p or not p or self.added.search(p)]
-        self.known.update(zip(alone, self._encode([" " + p for p in alone]), strict=True))
-        plain = list(new.difference(alone))
-        groups = [plain[lo : lo + TOGETHER] for lo in range(0, len(plain), TOGETHER)]
-        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
+            self.tails = {}
+        new = self._recall(parts)
+        halves, whole = [], []
+        for p in new:
+            if m := _CORE.fullmatch(p):
+                halves.append((p, m[1], m[2]))
+            else:
+                whole.append(p)
+        self._add([*whole, *self._recall({core for _, core, _ in halves}.difference(whole))])
+        tails = list({tail for _, _, tail in halves}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        self.known.update((p, self.known[core] + self.tails[tail]) for p, core, tail in halves)
+
+    def _recall(self, parts: set[str]) -> set[str]:
+        """Those of ``parts`` that neither generation holds; what the older holds is taken over."""
+        new = parts.difference(self.known)
+        again = [p for p in new if p in self.older]  # intersection() would go through all that is older
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return new.difference(again)
+
+    def _add(self, new: list[str]) -> None:
+        groups = [new[lo : lo + TOGETHER] for lo in range(0, len(new), TOGETHER)]
+        joined = [" " + " ".join(g) for g in groups]
+        for group, text, ids in zip(groups, joined, self._encode(joined), strict=True):
             starts = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")]) * 4
-            if len(starts) != len(group) or starts[0]:
+            if len(starts) != len(group) or self.added.search(text):
                 self.known.update(zip(group, self._encode([" " + p for p in group]), strict=True))
                 continue
             edges = [*starts.tolist(), len(ids)]
@@ -82,9 +101,16 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        self._learn(set().union(*(p[1:] for p in parts)))
-        for first, p in zip(self._encode([p[0] for p in parts]), parts, strict=True):
-            yield first + b"".join(map(self.known.__getitem__, p[1:]))
+        flat = [p for text in parts for p in text[1:]]
+        ids = list(map(self.known.get, flat))
+        new = [at for at, x in enumerate(ids) if x is None]
+        self._learn({flat[at] for at in new})
+        for at in new:
+            ids[at] = self.known[flat[at]]
+        at = 0
+        for first, text in zip(self._encode([p[0] for p in parts]), parts, strict=True):
+            yield first + b"".join(ids[at : at + len(text) - 1])
+            at += len(text) - 1
 
 
 @lru_cache(maxsize=2)

@@ -324,58 +324,203 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     return fps.join(fingerprint_classes(fps, radius, hot), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Seeds of a wide fingerprint's four words; bits in which two of it may differ. At 5-word
-#: shingle similarity 0.8 about 39 of 256 bits differ, give or take 6.
-WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 45
+#: Seeds of a wide fingerprint's four words; bits in which candidates may differ. At 5-word
+#: shingle similarity 0.8 about 39 of 256 differ, give or take 6; unrelated texts differ in 128.
+WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 80
+#: Candidates share the least hashes of one of so many groups of so many orders.
+BANDS, ROWS = 20, 3
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A bucket with more pairs a row than this first links each row to so many nearest ones.
+DENSE, NEAREST = 16, 8
+
+
+def _shingles(data: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, words and shingles as for ``fingerprint``."""
+    words = data.lower().split() if data else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    rows = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), rows), np.uint64)
 
 
-def _wide_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        f = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 4).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("c"), *(pa.array(f[:, k].copy()) for k in range(4))], names=["d", "c", "f0", "f1", "f2", "f3"])
+def _elements(h: np.ndarray) -> np.ndarray:
+    """A hash of each shingle and the number of its use, sorted, so that repeats are told apart."""
+    h = np.sort(h)
+    at = np.arange(len(h))
+    use = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0)) if len(h) else at
+    x = (h ^ (use.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.sort(x ^ (x >> np.uint64(32)))
 
 
-def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, int]:
-    """256-bit SimHash: words and shingles as for ``fingerprint``, each hash mixed four ways."""
-    words = data.lower().split() if data else []
-    if not words:
+def _band_keys(e: np.ndarray) -> list[int]:
+    if not len(e):
+        return [0] * BANDS
+    least = np.empty((BANDS, ROWS), np.uint64)
+    for k in range(BANDS):
+        for j in range(ROWS):
+            least[k, j] = (e * _ORDERS[k, j]).min()
+    return [xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least)]
+
+
+def _wide_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, nodes, sizes, keys = [], [], [], []
+        for t in batch.column("text").cast(pa.large_binary()).to_pylist():
+            h = _shingles(t, shingle)
+            e = _elements(h)
+            prints.append(_wide(h))
+            nodes.append(xxhash.xxh64_intdigest(e.tobytes(), seed=SEED))
+            sizes.append(len(e))
+            keys.append(_band_keys(e))
+        f = np.array(prints, np.uint64).reshape(-1, 4).view(np.int64)
+        k = pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) + 1, BANDS, dtype=np.int32)), k)
+        arrays = [batch.column("d"), batch.column("c"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(f[:, i].copy()) for i in range(4)), lists]
+        yield pa.RecordBatch.from_arrays(arrays, names=["d", "c", "node", "size", "f0", "f1", "f2", "f3", "keys"])
+
+
+def _wide(h: np.ndarray) -> tuple[int, int, int, int]:
+    if not len(h):
         return 0, 0, 0, 0
-    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
-    n = max(1, len(words) - shingle + 1)
     ones = np.zeros(256, np.int64)
-    for at in range(0, n, 16_384):
-        part = words[at : min(at + 16_384, n) + shingle - 1]
-        rows = [b" ".join(part)] if len(part) < shingle else map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
-        h = np.fromiter(map(digest, rows), np.uint64)
-        many = []
+    for at in range(0, len(h), 16_384):
+        part, many = h[at : at + 16_384], []
         for seed in WIDE_SEEDS:
-            x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * seed)
+            x = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * seed)
             many.append(x ^ (x >> np.uint64(27)))
-        ones += np.unpackbits(np.stack(many, axis=1).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist())
+        ones += np.unpackbits(np.stack(many, axis=1).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(h), bitorder="little").view("<u8").tolist())
+
+
+def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, int]:
+    """256-bit SimHash: words and shingles as for ``fingerprint``, each hash mixed four ways."""
+    return _wide(_shingles(data, shingle))
+
+
+def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, comp: np.ndarray | None, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of one bucket, and whether they are only the nearest of very many.
+
+    Sizes that rule the similarity out are skipped. With ``comp``, all pairs between
+    different classes are given.
+    """
+    n, step, total = len(node), max(1, 2_000_000 // len(node)), 0
+    found, near = [], []
+    for lo in range(0, n, step):
+        q = np.arange(lo, min(lo + step, n))
+        d = np.zeros((len(q), n), np.int16)
+        for k in range(4):
+            d += np.bitwise_count(wide[q, k][:, None] ^ wide[None, :, k])
+        ok = (d <= apart) & (5 * np.minimum(size[q][:, None], size) >= 4 * np.maximum(size[q][:, None], size))
+        ok[np.arange(len(q)), q] = False
+        if comp is not None:
+            ok &= comp[q][:, None] != comp
+        total += int(ok.sum())
+        if comp is None:
+            few = min(NEAREST, n - 1)
+            best = np.argpartition(np.where(ok, d, 257), few - 1, axis=1)[:, :few] if n > DENSE else np.zeros((len(q), 0), np.int64)
+            a = np.repeat(q, best.shape[1])
+            hit = ok[a - lo, best.ravel()]
+            near.append((a[hit], best.ravel()[hit]))
+            if n > DENSE and total > 2 * DENSE * n:
+                found = []
+                continue
+        i, j = np.nonzero(ok & (np.arange(n) > q[:, None]))
+        found.append((q[i], j))
+    dense = comp is None and n > DENSE and total > 2 * DENSE * n
+    a, b = (np.concatenate(x) for x in zip(*(near if dense else found), strict=True))
+    return node[a], node[b], dense
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch], apart: int, known: bool) -> Iterator[pa.RecordBatch]:
+    """(bucket, u, v, dense) of each bucket; rows come sorted by bucket."""
+    names = ["bucket", "node", "size", "f0", "f1", "f2", "f3", *(["comp"] if known else [])]
+
+    def search(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
+        wide, out, rows = np.stack(cols[3:7], axis=1).view(np.uint64), [], 0
+        for s in np.flatnonzero(np.diff(edge) > 1).tolist():
+            m = slice(edge[s], edge[s + 1])
+            u, v, dense = _bucket_pairs(cols[1][m], cols[2][m], wide[m], cols[7][m] if known else None, apart)
+            out.append((np.full(len(u), cols[0][edge[s]]), np.maximum(u, v), np.minimum(u, v), np.full(len(u), dense)))
+            rows += len(u)
+            if rows > CHUNK_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
+                out, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
+
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([batch.column(n).to_numpy() for n in names])
+        rows += batch.num_rows
+        if rows < CHUNK_ROWS:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+        if cut:
+            yield from search([c[:cut] for c in cols])
+        held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
+    if rows:
+        yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            e = [_elements(_shingles(t.as_py(), shingle)) for t in part.column("text").cast(pa.large_binary())]
+            at = np.cumsum([0, *map(len, e)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "elements"])
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, radius: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot: int = HOT_BUCKET) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others), one for each near-duplicate class.
 
-    Two texts are linked if their 256-bit SimHash of word shingles differs in at most
-    ``apart`` bits, which stands for a shingle similarity of 0.8, and at least one of its
-    eight 32-bit parts in at most ``radius`` (19 of 20 pairs at 0.8, all but one in a
-    thousand at 0.9). The index is searched for each part. The row of smallest doc_id stays
-    (null last, then by a hash of the text). Null and empty texts are one class.
+    Two texts are linked if the weighted Jaccard similarity of their word shingles is 0.8
+    or more; it is worked out on the texts of all candidates. Candidates differ in at most
+    ``apart`` bits of their 256-bit SimHash and meet in one of ``BANDS`` buckets, keyed by the
+    least hashes of their shingles in ``ROWS`` orders: a pair at 0.8 meets in none about once
+    in 1.5 million, a closer one more rarely. Where a bucket has very many candidates, the
+    nearest are linked first, then all that are still in different classes are compared. The
+    row of smallest doc_id stays (null last, then by a hash of the text). Null and empty texts
+    are one class.
     """
     own = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("c"))
     base = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), "text")
-    wide = materialize(base.mapInArrow(partial(_wide_batches, shingle=shingle), "d long, c long, f0 long, f1 long, f2 long, f3 long"), "wide")
     f = ["f0", "f1", "f2", "f3"]
-    first = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "c")).alias("first")
-    reps = materialize(wide.groupBy(*f).agg(first).withColumn("node", F.xxhash64(*f)), "reps")
-    parts = [F.struct(F.lit(2 * k + h).alias("part"), F.shiftrightunsigned(f[k], 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("fp")) for k in range(4) for h in (0, 1)]
-    rows = reps.select("node", *f, F.explode(F.array(*parts)).alias("x")).select("node", *f, "x.part", "x.fp")
-    dealt = _deal(rows, radius, 32, hot).drop("part").repartition("bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(partial(_bucket_edges, radius=radius, apart=apart), "u long, v long")
-    comp = materialize(components(edges), "classes")
+    wide = materialize(base.mapInArrow(partial(_wide_batches, shingle=shingle), "d long, c long, node long, size long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
+    firsts = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "c")).alias("first")
+    reps = materialize(wide.groupBy("node").agg(firsts, *[F.min(x).alias(x) for x in ("size", *f, "keys")]), "reps")
+    dealt = reps.select("node", "size", *f, "keys", F.explode("keys").alias("bucket"))
+    large = [r[0] for r in reps.select(F.explode("keys").alias("bucket")).groupBy("bucket").count().filter(F.col("count") > hot).select("bucket").collect()]
+    if large:  # split by a second key, in which a similar pair meets as surely as in the first
+        flags = F.broadcast(docs.sparkSession.createDataFrame([(x, True) for x in large], "bucket long, large boolean"))
+        marked = dealt.join(flags, "bucket", "left").withColumn("second", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array(F.lit(0).cast("long")))))
+        dealt = marked.withColumn("bucket", F.when(F.col("large"), F.xxhash64("bucket", "second")).otherwise(F.col("bucket")))
+    dealt = dealt.select("bucket", "node", "size", *f)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), "text")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", "first.d", "first.c"), "node")
+        held = texts.alias("t").join(nodes.alias("n").hint("shuffle_hash"), F.col("n.d").eqNullSafe(F.col("t.d")) & (F.col("n.c") == F.col("t.c"))).select("node", "text").dropDuplicates(["node"])
+        held = materialize(held.mapInArrow(partial(_element_batches, shingle=shingle), "node long, elements array<long>"), "held")
+        both = pairs.join(held.select(F.col("node").alias("u"), F.col("elements").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("elements").alias("b")), "v")
+        both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
+        return both.filter(5 * F.col("common") >= 4 * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
+
+    def search(rows: DataFrame, known: bool) -> DataFrame:
+        inside = rows.repartition("bucket").sortWithinPartitions("bucket")
+        return materialize(inside.mapInArrow(partial(_pair_batches, apart=apart, known=known), "bucket long, u long, v long, dense boolean"), "pairs")
+
+    pairs = search(dealt, False)
+    comp = materialize(components(links(pairs.select("u", "v").distinct())), "classes")
+    dense = materialize(pairs.filter("dense").select("bucket").distinct(), "dense")
+    if not dense.isEmpty():
+        rest = dealt.join(dense, "bucket", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        more = links(search(rest, True).select("u", "v").distinct())
+        comp = materialize(components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v")))), "classes")
     stay = reps.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first").alias("first")).select("first.z", "first.d", "first.c")
     marked = docs.select(F.struct("*").alias("doc"), own.alias("own"))
     kept = marked.join(stay.hint("shuffle_hash"), (F.col("own.d").eqNullSafe(F.col("d"))) & (F.col("own.c") == F.col("c")), "left_semi")

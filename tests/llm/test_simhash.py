@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -112,3 +114,44 @@ def test_one_of_each(spark):
             want[g] = min(want.get(g, (9e9, "")), (9e8 if d is None else d, t or ""))
         assert sorted((9e8 if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect()) == sorted(want.values())
     assert S.one_of_each(df.limit(0)).count() == 0
+
+
+def weighted(a, b):
+    grams = lambda t: Counter(zip(*(t.split()[i:] for i in range(5)), strict=False))
+    a, b = grams(a), grams(b)
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_similarity_decides(spark):
+    """Pairs just over 0.8 are linked, pairs under it are not."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"x{i}" for i in rng.integers(0, 100_000, n)]
+    rows, want = [], set()
+    for g in range(120):
+        a = words(94)  # 90 shingles
+        b = a[: 84 - g % 3 * 2] + words(10 + g % 3 * 2)  # 80, 78, 76 shingles in common
+        same = weighted(" ".join(a), " ".join(b)) >= 0.8
+        assert same == (g % 3 == 0)
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+        want |= {2 * g} if same else {2 * g, 2 * g + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.one_of_each(df).collect()} == want
+
+
+def test_dense_group(spark):
+    """Many copies of one text, each with its own edit, against the closure of all similar pairs."""
+    rng = np.random.default_rng(4)
+    text, texts = [f"y{i}" for i in range(100)], []
+    for c in range(80):
+        t = list(text)
+        for at in rng.choice(100, c % 4 + 1, replace=False):
+            t[at] = f"z{c}"
+        texts.append(" ".join(t))
+    comp = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if weighted(texts[i], texts[j]) >= 0.8 and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in S.one_of_each(df).collect()} == set(comp)

@@ -10,7 +10,9 @@ Items go in blocks of bounded size; each block makes an index that every task ho
 
 Each window of an item's number of words gets its fingerprint by running sums of bits; the
 windows whose fingerprints lie within the radius are candidates, and the exact similarity
-of their weighted shingles (sum of the smaller over sum of the larger counts) decides.
+of their weighted shingles (sum of the smaller over sum of the larger counts) decides. A text
+of fewer words than an item is one window, compared exactly with each such item that shares
+a shingle.
 """
 
 from __future__ import annotations
@@ -142,7 +144,11 @@ class ItemIndex:
             sizes = self.size[item]
             for size in np.unique(sizes).tolist():
                 m = size - width + 1  # shingles of a window
-                if size > len(h):
+                if size > len(h):  # the whole text is the one window
+                    for i in np.unique(item[sizes == size]).tolist() if len(g) >= least * m else ():
+                        s = self.similarity(g, i)
+                        if s >= least:
+                            best[i] = (s, 0)
                     continue
                 p = np.unique(pos[sizes == size])
                 edge = np.zeros(len(g) + 1, np.int64)  # window starts that hold one of these shingles
@@ -172,11 +178,12 @@ def _match_batches(batches: Iterator[pa.RecordBatch], shared, least: float) -> I
     for batch in batches:
         row, item, start, size, similarity = [], [], [], [], []
         for at, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-            for i, s, x in index.matches(hashes.of((text or b"").lower().split()), least):
+            words = (text or b"").lower().split()
+            for i, s, x in index.matches(hashes.of(words), least):
                 row.append(at)
                 item.append(index.ids[i])
                 start.append(s)
-                size.append(int(index.size[i]))
+                size.append(min(int(index.size[i]), len(words)))
                 similarity.append(x)
         arrays = [batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(similarity, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start_word", "n_words", "similarity"])

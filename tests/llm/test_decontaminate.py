@@ -55,3 +55,28 @@ def test_empty(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert D.benchmark_matches(a, b).count() == 0
     assert D.benchmark_matches(a.limit(0), a.selectExpr("doc_id item_id", "text")).count() == 0
+
+
+def test_shorter_texts(spark):
+    """Texts of fewer words than an item, against brute force."""
+    rnd = random.Random(5)
+    items = [(i, " ".join(f"w{rnd.randrange(60)}" for _ in range(n))) for i, n in enumerate([3, 4, 6, 9, 10, 15, 38, 59, 59])]
+    docs = []
+    for _, text in items:
+        w = text.split()
+        docs += [(len(docs) + k, " ".join(w[a : len(w) - b])) for k, (a, b) in enumerate([(0, 1), (1, 0), (0, 2), (1, 3), (4, 4), (0, len(w) // 2)])]
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            w, v = item.split(), text.split()
+            if len(v) >= len(w):
+                continue
+            a, b = shingles(v, min(5, len(w))), shingles(w, min(5, len(w)))
+            x = sum((a & b).values()) / sum((a | b).values())
+            if x >= 0.8:
+                want.add((d, i, 0, len(v), round(x, 9)))
+    assert len(want) > 12
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in D.benchmark_matches(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | slow(docs, items)

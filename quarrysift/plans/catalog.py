@@ -398,8 +398,11 @@ def line_chunks(spark, d):
 @query(f"with {C.SQL_PAGES} select ord, url, title, snippet, 'serp' as source, timestamp '2024-03-01 00:00:00' - to_days(cast(ord % 30 as int)) as ts from res where contains({C.sql_host()}, 'example') and not coalesce(contains({C.sql_host()}, 'spam'), false) order by ord limit 60")
 def serp_normalize(spark, d):
     item = F.struct(F.col("title"), F.col("url").alias("link"), "snippet", F.concat((F.col("ord") % 30).cast("string"), F.lit(" days ago")).alias("date"))
-    one = C.pages(spark, d).orderBy("ord").limit(100).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("i")))), lambda x: x["i"]).alias("organic_results"))).alias("payload"))
-    return N.organic(one, C.as_of(), 60, ["example"], ["spam"])
+    pages = C.pages(spark, d).select(F.expr("ord - pmod(ord, 100)").alias("first"), F.expr("int(pmod(ord, 100))").alias("place"), item.alias("i"))
+    # one payload for each 100 ids; an id without a page leaves its place empty
+    held = pages.groupBy("first").agg(F.map_from_entries(F.collect_list(F.struct("place", "i"))).alias("m"))
+    payloads = held.select("first", F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda n: F.col("m")[n]).alias("organic_results"))).alias("payload"))
+    return N.organic(payloads, C.as_of(), 60, ["example"], ["spam"])
 
 
 @query(rf"with {C.SQL_PAGES} select ord, url, title, trim(regexp_replace(regexp_replace('<b>' || snippet || '</b>  x', '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))[1:500] as snippet, 'rss' as source, ts from res where ord % 3 <> 0")

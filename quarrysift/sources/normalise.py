@@ -76,10 +76,14 @@ def _domains(df: DataFrame, include: list[str], exclude: list[str]) -> DataFrame
 
 
 def organic(df: DataFrame, as_of: Column, limit: int = 20, include: list[str] = (), exclude: list[str] = (), dates: tuple[Column, Column] | None = None) -> DataFrame:
-    """Organic results; a payload with an error raises when it is read."""
+    """Organic results; a payload with an error raises when it is read.
+
+    Where ``df`` has a column ``first``, it is the place of a payload's first result.
+    """
+    first = F.col("first") if "first" in df.columns else F.lit(0)
     p = F.from_json("payload", ORGANIC)
-    d = df.select(p.alias("p")).select(F.when(F.col("p.error").isNotNull(), F.raise_error(F.col("p.error")).cast("array<struct<position:int,title:string,link:string,snippet:string,date:string,source:string>>")).otherwise(F.col("p.organic_results")).alias("r"))
-    x = d.select(F.posexplode("r").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), F.col("x.link").alias("url"), F.col("x.title").alias("title"), F.coalesce("x.snippet", F.lit("")).alias("snippet"), F.lit("serp").alias("source"), T.relative_date(F.col("x.date"), as_of).alias("ts"))
+    d = df.select(first.alias("first"), p.alias("p")).select("first", F.when(F.col("p.error").isNotNull(), F.raise_error(F.col("p.error")).cast("array<struct<position:int,title:string,link:string,snippet:string,date:string,source:string>>")).otherwise(F.col("p.organic_results")).alias("r"))
+    x = d.select("first", F.posexplode("r").alias("ord", "x")).select((F.col("first") + F.col("ord")).cast("long").alias("ord"), F.col("x.link").alias("url"), F.col("x.title").alias("title"), F.coalesce("x.snippet", F.lit("")).alias("snippet"), F.lit("serp").alias("source"), T.relative_date(F.col("x.date"), as_of).alias("ts"))
     out = _domains(x, include, exclude)
     out = out.filter(F.col("ts").between(*dates)) if dates else out
     return out.orderBy("ord").limit(limit)

@@ -482,7 +482,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
     or more; it is worked out on the texts of all candidates. Candidates differ in at most
     ``apart`` bits of their 256-bit SimHash and meet in one of ``BANDS`` buckets, keyed by the
     least hashes of their shingles in ``ROWS`` orders: a pair at 0.8 meets in none about once
-    in 1.5 million, a closer one more rarely. Where a bucket has very many candidates, the
+    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, the
     nearest are linked first, then all that are still in different classes are compared. The
     row of smallest doc_id stays (null last, then by a hash of the text). Null and empty texts
     are one class.

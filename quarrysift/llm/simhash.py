@@ -331,7 +331,9 @@ WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 80
 BANDS, ROWS = 20, 3
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A bucket with more pairs a row than this first links each row to so many nearest ones.
-DENSE, NEAREST = 16, 8
+DENSE, NEAREST = 16, 3
+#: Texts of a group that are compared together; shingles held at once in a comparison.
+CELL, COLUMNS = 2048, 4096
 
 
 def _shingles(data: bytes | None, shingle: int) -> np.ndarray:
@@ -397,11 +399,10 @@ def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, i
     return _wide(_shingles(data, shingle))
 
 
-def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, comp: np.ndarray | None, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of one bucket, and whether they are only the nearest of very many.
 
-    Sizes that rule the similarity out are skipped. With ``comp``, all pairs between
-    different classes are given.
+    Sizes that rule the similarity out are skipped.
     """
     n, step, total = len(node), max(1, 2_000_000 // len(node)), 0
     found, near = [], []
@@ -412,36 +413,52 @@ def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, comp: np
             d += np.bitwise_count(wide[q, k][:, None] ^ wide[None, :, k])
         ok = (d <= apart) & (5 * np.minimum(size[q][:, None], size) >= 4 * np.maximum(size[q][:, None], size))
         ok[np.arange(len(q)), q] = False
-        if comp is not None:
-            ok &= comp[q][:, None] != comp
         total += int(ok.sum())
-        if comp is None:
-            few = min(NEAREST, n - 1)
-            best = np.argpartition(np.where(ok, d, 257), few - 1, axis=1)[:, :few] if n > DENSE else np.zeros((len(q), 0), np.int64)
-            a = np.repeat(q, best.shape[1])
-            hit = ok[a - lo, best.ravel()]
-            near.append((a[hit], best.ravel()[hit]))
-            if n > DENSE and total > 2 * DENSE * n:
-                found = []
-                continue
+        few = min(NEAREST, n - 1)
+        best = np.argpartition(np.where(ok, d, 257), few - 1, axis=1)[:, :few] if n > DENSE else np.zeros((len(q), 0), np.int64)
+        a = np.repeat(q, best.shape[1])
+        hit = ok[a - lo, best.ravel()]
+        near.append((a[hit], best.ravel()[hit]))
+        if n > DENSE and total > 2 * DENSE * n:
+            found = []
+            continue
         i, j = np.nonzero(ok & (np.arange(n) > q[:, None]))
         found.append((q[i], j))
-    dense = comp is None and n > DENSE and total > 2 * DENSE * n
+    dense = n > DENSE and total > 2 * DENSE * n
     a, b = (np.concatenate(x) for x in zip(*(near if dense else found), strict=True))
     return node[a], node[b], dense
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch], apart: int, known: bool) -> Iterator[pa.RecordBatch]:
-    """(bucket, u, v, dense) of each bucket; rows come sorted by bucket."""
-    names = ["bucket", "node", "size", "f0", "f1", "f2", "f3", *(["comp"] if known else [])]
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows that hold whole keys; rows come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held, count = table.slice(cut).to_batches(), len(keys) - cut
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-    def search(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
-        wide, out, rows = np.stack(cols[3:7], axis=1).view(np.uint64), [], 0
+def _pair_batches(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, u, v, dense) of each bucket; rows come sorted by bucket."""
+    for table in _by_key(batches, "bucket", CHUNK_ROWS):
+        bucket, node, size, *wide = (table.column(n).to_numpy() for n in ("bucket", "node", "size", "f0", "f1", "f2", "f3"))
+        wide = np.stack(wide, axis=1).view(np.uint64)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        out, rows = [], 0
         for s in np.flatnonzero(np.diff(edge) > 1).tolist():
             m = slice(edge[s], edge[s + 1])
-            u, v, dense = _bucket_pairs(cols[1][m], cols[2][m], wide[m], cols[7][m] if known else None, apart)
-            out.append((np.full(len(u), cols[0][edge[s]]), np.maximum(u, v), np.minimum(u, v), np.full(len(u), dense)))
+            u, v, dense = _bucket_pairs(node[m], size[m], wide[m], apart)
+            out.append((np.full(len(u), bucket[edge[s]]), np.maximum(u, v), np.minimum(u, v), np.full(len(u), dense)))
             rows += len(u)
             if rows > CHUNK_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
@@ -449,20 +466,51 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], apart: int, known: bool) ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
 
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        held.append([batch.column(n).to_numpy() for n in names])
-        rows += batch.num_rows
-        if rows < CHUNK_ROWS:
-            continue
-        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
-        if cut:
-            yield from search([c[:cut] for c in cols])
-        held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
-    if rows:
-        yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
+
+def cell_links(size: np.ndarray, elements: np.ndarray, comp: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the classes ``comp`` of texts with similarity of 0.8 or more: a spanning forest.
+
+    ``elements``: those of all texts, one after the other, so many as ``size`` says. Where the
+    texts are of two chunks, only pairs across them are looked at.
+    """
+    n = len(size)
+    _, dim, many = np.unique(elements, return_inverse=True, return_counts=True)
+    shared = many > 1  # what one text alone holds is in no intersection
+    owner, dim = np.repeat(np.arange(n), size)[shared[dim]], (np.cumsum(shared) - 1)[dim[shared[dim]]]
+    order = np.argsort(dim, kind="stable")
+    owner, dim = owner[order], dim[order]
+    common = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(dim, [lo, lo + COLUMNS])
+        m = np.zeros((n, min(COLUMNS, int(dim[-1]) + 1 - lo)), np.float32)
+        m[owner[a:b], dim[a:b] - lo] = 1
+        common += m @ m.T
+    name, label = np.unique(comp, return_inverse=True)
+    root = np.arange(len(name))
+    both = chunk.min(initial=0) != chunk.max(initial=0)
+    for lo in range(0, n, 256):
+        hi = min(n, lo + 256)
+        c = common[lo:hi]
+        ok = (5 * c >= 4 * (size[lo:hi, None] + size - c)) & (label[lo:hi, None] != label)
+        if both:
+            ok &= chunk[lo:hi, None] != chunk
+        i, j = np.nonzero(ok)
+        root = _merge(root, label[lo + i], label[j])
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return name[moved], name[root[moved]]
+
+
+def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of each cell's links; rows come sorted by cell."""
+    for table in _by_key(batches, "cell", 1):
+        cell, comp, chunk = (table.column(n).to_numpy() for n in ("cell", "comp", "chunk"))
+        lists = table.column("elements").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        for a, b in zip(edge, edge[1:], strict=False):
+            u, v = cell_links(np.diff(at[a : b + 1]), flat[at[a] - at[0] : at[b] - at[0]], comp[a:b], chunk[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
 def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -475,20 +523,23 @@ def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
             yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "elements"])
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot: int = HOT_BUCKET) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot: int = HOT_BUCKET, cell: int = CELL) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others), one for each near-duplicate class.
 
     Two texts are linked if the weighted Jaccard similarity of their word shingles is 0.8
-    or more; it is worked out on the texts of all candidates. Candidates differ in at most
+    or more; it is worked out on the shingles of all candidates. Candidates differ in at most
     ``apart`` bits of their 256-bit SimHash and meet in one of ``BANDS`` buckets, keyed by the
     least hashes of their shingles in ``ROWS`` orders: a pair at 0.8 meets in none about once
-    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, the
-    nearest are linked first, then all that are still in different classes are compared. The
-    row of smallest doc_id stays (null last, then by a hash of the text). Null and empty texts
-    are one class.
+    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, only
+    the nearest are linked at first. What then is in different classes yet is compared, text
+    by text, in cells of at most two times ``cell`` texts, which give a spanning forest.
+
+    The row of smallest doc_id stays (null last, then by a hash of the row); of equal rows one.
+    Null and empty texts are one class.
     """
-    own = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("c"))
-    base = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), "text")
+    row = F.xxhash64(*[F.col(f"`{n}`") for n in docs.columns])
+    own = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").cast("long").alias("d"), row.alias("c"))
+    base = docs.select(F.col("doc_id").cast("long").alias("d"), row.alias("c"), "text")
     f = ["f0", "f1", "f2", "f3"]
     wide = materialize(base.mapInArrow(partial(_wide_batches, shingle=shingle), "d long, c long, node long, size long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
     firsts = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "c")).alias("first")
@@ -500,26 +551,33 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
         marked = dealt.join(flags, "bucket", "left").withColumn("second", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array(F.lit(0).cast("long")))))
         dealt = marked.withColumn("bucket", F.when(F.col("large"), F.xxhash64("bucket", "second")).otherwise(F.col("bucket")))
     dealt = dealt.select("bucket", "node", "size", *f)
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), "text")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", "first.d", "first.c"), "node")
-        held = texts.alias("t").join(nodes.alias("n").hint("shuffle_hash"), F.col("n.d").eqNullSafe(F.col("t.d")) & (F.col("n.c") == F.col("t.c"))).select("node", "text").dropDuplicates(["node"])
-        held = materialize(held.mapInArrow(partial(_element_batches, shingle=shingle), "node long, elements array<long>"), "held")
-        both = pairs.join(held.select(F.col("node").alias("u"), F.col("elements").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("elements").alias("b")), "v")
-        both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
-        return both.filter(5 * F.col("common") >= 4 * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
-
-    def search(rows: DataFrame, known: bool) -> DataFrame:
-        inside = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return materialize(inside.mapInArrow(partial(_pair_batches, apart=apart, known=known), "bucket long, u long, v long, dense boolean"), "pairs")
-
-    pairs = search(dealt, False)
-    comp = materialize(components(links(pairs.select("u", "v").distinct())), "classes")
-    dense = materialize(pairs.filter("dense").select("bucket").distinct(), "dense")
-    if not dense.isEmpty():
-        rest = dealt.join(dense, "bucket", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        more = links(search(rest, True).select("u", "v").distinct())
+
+    def elements(nodes: DataFrame) -> DataFrame:
+        """(node, elements) of distinct ``nodes``."""
+        named = nodes.join(reps.select("node", "first.d", "first.c"), "node")
+        held = base.alias("t").join(named.alias("n").hint("shuffle_hash"), F.col("n.d").eqNullSafe(F.col("t.d")) & (F.col("n.c") == F.col("t.c"))).select("node", "text").dropDuplicates(["node"])
+        return materialize(held.mapInArrow(partial(_element_batches, shingle=shingle), "node long, elements array<long>"), "held")
+
+    inside = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    pairs = materialize(inside.mapInArrow(partial(_pair_batches, apart=apart), "bucket long, u long, v long, dense boolean"), "pairs")
+    few = pairs.select("u", "v").distinct()
+    held = elements(few.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    both = few.join(held.select(F.col("node").alias("u"), F.col("elements").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("elements").alias("b")), "v")
+    both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
+    comp = materialize(components(both.filter(5 * F.col("common") >= 4 * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")), "classes")
+    dense = pairs.filter("dense").select("bucket").distinct()
+    members = materialize(dealt.select("bucket", "node").join(dense, "bucket").join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")), "members")
+    open_ = members.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("node").alias("first")).filter("least <> most").select("bucket", "first")
+    groups = materialize(members.join(open_, "bucket").select(F.col("node").alias("u"), F.col("first").alias("v"), "comp"), "groups")
+    if not groups.isEmpty():  # one group of buckets that share texts, so that each text moves once for each of its cells
+        joined = components(groups.select("u", "v"))
+        texts = groups.select(F.col("u").alias("node"), "comp").distinct().join(joined, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        many = texts.groupBy("group").agg(F.ceil(F.count("*") / F.lit(cell)).alias("parts"))
+        chunk = texts.join(many, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")))
+        cells = chunk.select("node", "comp", "chunk", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        cells = cells.select("node", "comp", "chunk", F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"))
+        full = cells.join(elements(texts.select("node")), "node").repartition("cell").sortWithinPartitions("cell")
+        more = full.select("cell", "comp", "chunk", "elements").mapInArrow(_cell_batches, "u long, v long")
         comp = materialize(components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v")))), "classes")
     stay = reps.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first").alias("first")).select("first.z", "first.d", "first.c")
     marked = docs.select(F.struct("*").alias("doc"), own.alias("own"))

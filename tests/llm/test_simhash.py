@@ -138,13 +138,14 @@ def test_similarity_decides(spark):
     assert {r.doc_id for r in S.one_of_each(df).collect()} == want
 
 
-def test_dense_group(spark):
-    """Many copies of one text, each with its own edit, against the closure of all similar pairs."""
+@pytest.mark.parametrize(("edits", "cell"), [(4, S.CELL), (4, 15), (12, S.CELL), (12, 15)])
+def test_dense_group(spark, edits, cell):
+    """Many copies of one text, each with its own edits, against the closure of all similar pairs."""
     rng = np.random.default_rng(4)
     text, texts = [f"y{i}" for i in range(100)], []
     for c in range(80):
         t = list(text)
-        for at in rng.choice(100, c % 4 + 1, replace=False):
+        for at in rng.choice(100, c % edits + 1, replace=False):
             t[at] = f"z{c}"
         texts.append(" ".join(t))
     comp = list(range(80))
@@ -154,4 +155,27 @@ def test_dense_group(spark):
                 lo, hi = sorted((comp[i], comp[j]))
                 comp = [lo if c == hi else c for c in comp]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id for r in S.one_of_each(df).collect()} == set(comp)
+    assert {r.doc_id for r in S.one_of_each(df, cell=cell).collect()} == set(comp)
+
+
+def test_cell_links():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 9))]) for _ in range(50)]
+    size, flat, comp = np.array([len(x) for x in sets]), np.concatenate(sets).astype(np.int64), np.arange(50) // 2 * 7
+    for chunk in (np.zeros(50, np.int64), np.arange(50) % 2):
+        u, v = S.cell_links(size, flat, comp, chunk)
+        want, got = {c: c for c in comp.tolist()}, {c: c for c in comp.tolist()}
+        pairs = [(comp[i], comp[j]) for i in range(50) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and (chunk.max() == 0 or chunk[i] != chunk[j])]
+        for name, links in ((want, pairs), (got, zip(u.tolist(), v.tolist(), strict=True))):
+            for x, y in links:
+                lo, hi = sorted((name[x], name[y]))
+                name.update({c: lo for c, r in name.items() if r == hi})
+        assert want == got
+
+
+def test_rows_that_share_an_id_and_a_text(spark):
+    """Of rows alike but for another column the one of least hash stays, whatever the order."""
+    rows = [(1, "a b c d e f", x) for x in ("p", "q", "r")] + [(2, "g h", "s")]
+    got = [sorted(map(str, S.one_of_each(spark.createDataFrame(r, "doc_id long, text string, kept string")).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2

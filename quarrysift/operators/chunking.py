@@ -10,13 +10,22 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+")
+_STOPS = re.compile(r"[.!?]+")
+
+
+def _sentences(text: str) -> Iterator[str]:
+    """Runs of other characters with the stops behind them; one scan, whatever the text."""
+    at = 0
+    for m in _STOPS.finditer(text):
+        if m.start() > at:
+            yield text[at : m.end()]
+        at = m.end()
 
 
 def sentences(text: str, most: int, least: int) -> list[str]:
     """Greedy runs of sentences; an unterminated tail only counts if nothing else does."""
     out, cur = [], ""
-    for s in _SENTENCE.findall(text) or [text]:
+    for s in list(_sentences(text)) or [text]:
         if len(cur) + len(s) > most and len(cur) >= least:
             out.append(cur.strip())
             cur = s
@@ -41,6 +50,11 @@ def paragraphs(text: str, most: int = 2000, least: int = 100, overlap: int = 200
     return [*out, cur] if len(cur) >= least else out
 
 
+def block_lines(text: str, first: int = 1, most: int = 4000) -> list[tuple[int, int, str]]:
+    """As ``lines`` without a least length or overlap, counted from line ``first``."""
+    return [(a + first - 1, b + first - 1, c) for a, b, c in lines(text, most, 0)]
+
+
 def lines(text: str, most: int = 4000, least: int = 100, overlap: int = 0) -> list[tuple[int, int, str]]:
     """(first line, last line, content) from 1; a line over ``most`` stays whole."""
     rows = text.split("\n")
@@ -59,6 +73,18 @@ def lines(text: str, most: int = 4000, least: int = 100, overlap: int = 0) -> li
     return [*out, (start, len(rows), body)] if cur and len(body) >= least else out
 
 
+def _split(node: ast.AST, rows: list[str], most: int) -> list[tuple[int, int, str, str, str | None]]:
+    """The functions directly inside an over-long definition, cut off if over-long too; else its lines."""
+    inner = [n for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    out = []
+    for n in inner:
+        body = "\n".join(rows[n.lineno - 1 : n.end_lineno])
+        out.append((n.lineno, n.end_lineno, body if len(body) <= most else body[:most] + "\n// ... truncated", "function", n.name))
+    if inner:
+        return out
+    return [(a, b, c, "block", node.name) for a, b, c in block_lines("\n".join(rows[node.lineno - 1 : node.end_lineno]), node.lineno, most)]
+
+
 def code(text: str, language: str | None, most: int = 4000, least: int = 100) -> list[tuple[int, int, str, str, str | None]]:
     """(first line, last line, content, type, name): functions and classes of Python, else lines.
 
@@ -77,10 +103,10 @@ def code(text: str, language: str | None, most: int = 4000, least: int = 100) ->
                     if len(body) <= most:
                         found.append((node.lineno, node.end_lineno, body, kind, node.name))
                     else:
-                        found += [(node.lineno + a - 1, node.lineno + b - 1, c, "block", node.name) for a, b, c in lines(body, most, 0)]
+                        found += _split(node, rows, most)
         except SyntaxError:
             found = []
-    return sorted(found) or [(a, b, c, "block", None) for a, b, c in lines(text, most, least)]
+    return sorted(set(found), key=lambda f: (f[0], f[1], f[3], f[2])) or [(a, b, c, "block", None) for a, b, c in lines(text, most, least)]
 
 
 def chunked(df: DataFrame, cut: Callable[[str], list[str]], key: str, text: str) -> DataFrame:

@@ -114,17 +114,29 @@ def bm25_hybrid(docs: DataFrame, query: str, as_of: Column, trusted: list[str] =
     return ranked.crossJoin(F.broadcast(most)).withColumn("score", F.least(F.lit(1.0), mixed)).drop("most")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in doubles; 0 if either is zero; raises on unequal lengths."""
+def cosine(a: Column, b: Column, strict: bool = True) -> Column:
+    """Cosine of two arrays in doubles; 0 if either is zero; raises on unequal lengths.
+
+    Not ``strict``: over the first array's places, and NaN if either is zero.
+    """
+    y = b if strict else F.slice(b, F.lit(1), F.size(a))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(y, y))
+    if not strict:
+        return F.when(norm == 0, F.lit(float("nan"))).otherwise(dot(a, y) / norm)
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(vectors: DataFrame, query: list[float], n: int = 10, key: str = "vec_id") -> DataFrame:
-    """The n rows of most cosine similarity to one query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top(vectors.withColumn("similarity", F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0))), ["similarity"], n, key)
+def similarities(vectors: DataFrame, query: DataFrame, strict: bool = True) -> DataFrame:
+    """Each row with its ``similarity`` to the one row of ``query``; none if that has no row."""
+    one = query.select(F.col("embedding").alias("qs_query")).limit(1)
+    return vectors.crossJoin(F.broadcast(one)).withColumn("similarity", cosine(F.col("embedding"), F.col("qs_query"), strict)).drop("qs_query")
+
+
+def nearest(vectors: DataFrame, query: DataFrame, n: int = 10, key: str = "vec_id", digits: int = 12) -> DataFrame:
+    """The n rows of most cosine similarity (to so many digits) to the one row of ``query``."""
+    near = similarities(vectors, query)
+    return top(near.withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), digits)), ["similarity"], n, key)
 
 
 def semantic_hybrid(similar: DataFrame, keyword: DataFrame, keyword_weight: float = 0.5, semantic_weight: float = 0.5) -> DataFrame:

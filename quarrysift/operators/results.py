@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import materialize
 
 # Category, host parts, keywords, URL parts; in order.
 CATEGORIES = [
@@ -60,27 +61,54 @@ def dedup_key(url: bool = True, content: bool = True) -> Column:
 
 
 def deduplicate(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """The row of least ``ord`` of each key; metadata entries of later rows win; sources of all if several.
+    """The row of least ``ord`` of each key; metadata entries of later rows win.
 
-    Grouped with partial aggregates; entries meet by (key, entry) so that no group's maps
-    are held together but one value each.
+    ``sources`` are the different sources of a key with several rows, in order of first
+    appearance, and ``copies`` is how many rows it has. One scan: rows are grouped by key
+    and entry first, so that no row is larger than the different entries of its key.
     """
-    keyed = df.withColumn("key", dedup_key() if key is None else key)
     cols = [c for c in df.columns if c != "metadata"]
-    first = keyed.groupBy("key").agg(F.min_by(F.struct(*cols), "ord").alias("r"), F.sort_array(F.collect_list(F.struct("ord", "source"))).alias("s"))
-    entries = keyed.select("key", "ord", F.explode("metadata").alias("k", "v")).groupBy("key", "k").agg(F.max_by("v", "ord").alias("v"))
-    maps = entries.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
-    out = first.join(maps, "key", "left").select("r.*", "metadata", F.when(F.size("s") > 1, F.transform("s", lambda x: x["source"])).alias("sources"))
-    return out
+    row = F.struct(*cols)
+    source = F.struct(F.lit("s").alias("kind"), F.col("source").alias("name"), F.lit(None).cast("string").alias("value"), row.alias("row"))
+    entry = lambda e: F.struct(F.lit("m").alias("kind"), e["key"].alias("name"), e["value"].alias("value"), F.lit(None).cast(df.select(*cols).schema).alias("row"))
+    entries = F.concat(F.array(source), F.coalesce(F.transform(F.map_entries("metadata"), entry), F.array().cast(f"array<struct<kind:string,name:string,value:string,row:{df.select(*cols).schema.simpleString()}>>")))
+    keyed = df.withColumn("key", dedup_key() if key is None else key).select("key", "ord", F.explode(entries).alias("e"))
+    by_entry = keyed.groupBy("key", "e.kind", "e.name").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.max_by("e.value", "ord").alias("value"), F.min_by("e.row", "ord").alias("row"))
+    held = by_entry.groupBy("key").agg(
+        F.min_by("row", F.when(F.col("kind") == "s", F.col("first"))).alias("r"),
+        F.sort_array(F.collect_list(F.struct("kind", "first", "name", "value"))).alias("x"),
+        F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("copies"),
+    )
+    maps = F.filter("x", lambda e: e["kind"] == "m")
+    names = F.transform(F.filter("x", lambda e: e["kind"] == "s"), lambda e: e["name"])
+    metadata = F.when(F.size(maps) > 0, F.map_from_arrays(F.transform(maps, lambda e: e["name"]), F.transform(maps, lambda e: e["value"])))
+    return held.select("r.*", metadata.alias("metadata"), F.when(F.col("copies") > 1, names).alias("sources"), "copies")
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.85, key: str = "ord") -> DataFrame:
-    """(i, j, similarity) of sketches at or over a threshold above 0, by a join on shared parts."""
-    sketch = df.select(F.col(key).alias("id"), F.array_distinct(F.split("sketch", r"\|")).alias("p")).withColumn("n", F.size("p"))
-    parts = sketch.select("id", "n", F.explode("p").alias("p"))
-    a, b = parts.select(F.col("id").alias("i"), F.col("n").alias("ni"), "p"), parts.select(F.col("id").alias("j"), F.col("n").alias("nj"), "p")
-    both = a.join(b, "p").filter("i < j").groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("c"))
-    return both.select("i", "j", (F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """(i, j, similarity) of sketches at or over a threshold above 0, without expanding copies.
+
+    Rows of equal sketches are one class, named by its least key: each other row comes once,
+    as (class, row, 1). Pairs of classes come as (lesser name, greater name, similarity).
+    Parts are put in order of rarity; sets that similar share one of their first few, so the
+    join is on those only, and each pair is made at its first common part.
+    """
+    classes = materialize(df.groupBy("sketch").agg(F.min(key).alias("id")), "sketches")
+    copies = df.select(F.col(key).alias("j"), "sketch").join(classes.select(F.col("id").alias("i"), "sketch"), "sketch").filter("i <> j").select("i", "j", F.lit(1.0).alias("similarity"))
+    parts = classes.select("id", F.explode(F.array_distinct(F.split("sketch", r"\|"))).alias("p"))
+    rare = parts.join(parts.groupBy("p").agg(F.count("*").alias("df")), "p")
+    # a class has at most ten parts
+    sets = rare.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "p"))), lambda x: x["p"]).alias("all"))
+    n = F.size("all")
+    first = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1
+    heads = materialize(sets.select("id", "all", F.slice("all", F.lit(1), F.greatest(F.lit(1), first)).alias("head")), "heads")
+    dealt = heads.select("id", "all", "head", F.explode("head").alias("p"))
+    a, b = dealt.select("p", F.col("id").alias("i"), F.col("all").alias("x"), F.col("head").alias("hx")), dealt.select("p", F.col("id").alias("j"), F.col("all").alias("y"), F.col("head").alias("hy"))
+    small = F.least(F.size("x"), F.size("y")) >= F.lit(threshold) * F.greatest(F.size("x"), F.size("y")) - 1e-9
+    met = a.join(b, "p").filter((F.col("i") < F.col("j")) & small & (F.get(F.array_intersect("hx", "hy"), F.lit(0)) == F.col("p")))
+    common = F.size(F.array_intersect("x", "y"))
+    pairs = met.select("i", "j", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return pairs.unionByName(copies)
 
 
 def categories(url: Column, title: Column, snippet: Column, rules=CATEGORIES) -> Column:
@@ -92,6 +120,24 @@ def categories(url: Column, title: Column, snippet: Column, rules=CATEGORIES) ->
     return F.when(F.size(found) == 0, F.array(F.lit("General"))).otherwise(found)
 
 
-def cache_key(source: str, query: str, limit: Column, domains: list[str] = (), locale: str = "") -> Column:
+def cache_key(source: Column, query: Column, limit: Column, domains: list[str] = (), exclude: list[str] = (), locale: str = "", dates: tuple[str, str] | None = None) -> Column:
     """Stable digest of a request: lists sorted, so that their order does not matter."""
-    return F.sha2(F.concat_ws(":", F.lit(source), F.lit(query), limit.cast("string"), F.lit(",".join(sorted(domains))), F.lit(locale)), 256)
+    wanted = [",".join(sorted(domains)), ",".join(sorted(exclude)), locale, "/".join(dates or ())]
+    return F.sha2(F.concat_ws(":", source, query, limit.cast("string"), *map(F.lit, wanted)), 256)
+
+
+def ranked(df: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """The n best by score, then ``ord``, with their global rank from 1."""
+    best = df.orderBy(F.desc(score), "ord").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "ord")))
+
+
+def web_top(df: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """The n best results by score and order, one for each exact URL."""
+    best = df.groupBy("url").agg(F.min_by(F.struct(*df.columns), F.struct((-F.col(score)).alias("s"), "ord")).alias("r"))
+    return best.select("r.*").orderBy(F.desc(score), "ord").limit(n)
+
+
+def not_indexed(df: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows whose URL the index does not hold yet."""
+    return df.join(index.select("url"), "url", "left_anti").select(*df.columns)

@@ -87,30 +87,34 @@ def fingerprint(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("sketch"))
 
 
-@query(f"""with {C.SQL_TWICE}, keyed as (select *, {C.sql_normalized()} || ':' || {C.sql_fingerprint("title || ' ' || snippet")} as key from two)
-  select min(ord) as ord, arg_min(url, ord) as url, arg_max(page, ord) as page, arg_max(copy, ord) as copy, case when count(*) > 1 then string_agg(source, ',' order by ord) end as sources from keyed group by key""")
+_SOURCES = """s as (select key, string_agg(source, ',' order by first) as names from (select key, source, min(ord) as first from keyed group by all) group by key)"""
+
+
+@query(f"""with {C.SQL_TWICE}, keyed as materialized (select *, {C.sql_normalized()} || ':' || {C.sql_fingerprint("title || ' ' || snippet")} as key from two), {_SOURCES}
+  select min(ord) as ord, arg_min(url, ord) as url, arg_max(page, ord) as page, arg_max(copy, ord) as copy, case when count(*) > 1 then any_value(names) end as sources, count(*) as copies from keyed join s using (key) group by key""")
 def dedup_url_fp(spark, d):
-    return _deduped(C.pages_twice(spark, d)).select("ord", "url", F.col("metadata")["page_id"].alias("page"), F.col("metadata")["copy"].alias("copy"), F.array_join("sources", ",").alias("sources"))
+    return _deduped(C.pages_twice(spark, d)).select("ord", "url", F.col("metadata")["page_id"].alias("page"), F.col("metadata")["copy"].alias("copy"), F.array_join("sources", ",").alias("sources"), "copies")
 
 
-@query(f"""with {C.SQL_DOCS}, keyed as (select *, {C.sql_fingerprint("title || ' ' || snippet")} as key from res)
-  select min(ord) as ord, arg_max(lang, ord) as lang, case when count(*) > 1 then string_agg(source, ',' order by ord) end as sources from keyed group by key""")
+@query(f"""with {C.SQL_DOCS}, keyed as materialized (select *, {C.sql_fingerprint("title || ' ' || snippet")} as key from res), {_SOURCES}
+  select min(ord) as ord, arg_max(lang, ord) as lang, case when count(*) > 1 then any_value(names) end as sources, count(*) as copies from keyed join s using (key) group by key""")
 def dedup_fp_merge_sources(spark, d):
-    return S.deduplicate(C.documents(spark, d), S.dedup_key(url=False)).select("ord", F.col("metadata")["lang"].alias("lang"), F.array_join("sources", ",").alias("sources"))
+    return S.deduplicate(C.documents(spark, d), S.dedup_key(url=False)).select("ord", F.col("metadata")["lang"].alias("lang"), F.array_join("sources", ",").alias("sources"), "copies")
 
 
-@query(f"""with {C.SQL_DOCS}, s as (select ord, {C.sql_host()} as site, round({_SCORE}, 6) as score from res)
-  select site, arg_min(ord, (-score, ord)) as ord, max(score) as score from s group by site""")
+@query(f"""with {C.SQL_PAGES}, s as (select ord, url, round({_SCORE}, 6) as score from res union all select ord + 1000000, url, round({_SCORE} * 0.9::double, 6) from res)
+  select ord, url, score from (select *, row_number() over (partition by url order by score desc, ord) as rn from s) where rn = 1 order by score desc, ord limit 100""")
 def dedup_web_url(spark, d):
-    s = R.scored(C.documents(spark, d), QUERY, C.as_of(), TRUST).select("ord", U.host(F.col("url")).alias("site"), F.round("score", 6).alias("score"))
-    return s.groupBy("site").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord")).alias("b")).select("site", F.col("b.ord").alias("ord"), (-F.col("b.s")).alias("score"))
+    s = R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST).select("ord", "url", "score")
+    again = s.select((F.col("ord") + 1_000_000).alias("ord"), "url", (F.col("score") * 0.9).alias("score"))
+    return S.web_top(s.unionByName(again).withColumn("score", F.round("score", 6)), 100)
 
 
-_SKETCHES = f"s as (select doc_id, list_distinct(string_split({C.sql_fingerprint('text')}, '|')) as p from documents)"
+_SKETCHES = f"k as materialized (select doc_id, {C.sql_fingerprint('text')} as sketch from documents), m as (select sketch, min(doc_id) as doc_id from k group by sketch), s as (select doc_id, list_distinct(string_split(sketch, '|')) as p from m)"
 
 
 @query(f"""with {_SKETCHES}, e as (select doc_id, len(p) as n, unnest(p) as t from s), c as (select a.doc_id as i, b.doc_id as j, a.n as na, b.n as nb, count(*) as c from e a join e b on a.t = b.t and a.doc_id < b.doc_id group by all)
-  select i, j, round(c / (na + nb - c)::double, 6) as similarity from c where c / (na + nb - c)::double >= 0.5""")
+  select i, j, round(c / (na + nb - c)::double, 6) as similarity from c where c / (na + nb - c)::double >= 0.5 union all select m.doc_id, k.doc_id, 1.0::double from k join m using (sketch) where k.doc_id <> m.doc_id""")
 def similar_pairs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("sketch"))
     return S.similar_pairs(docs, 0.5, "doc_id").withColumn("similarity", F.round("similarity", 6))
@@ -239,8 +243,7 @@ def distinct_domains(spark, d):
 
 @query(f"select distinct case when contains({C.sql_host()}, '.') then regexp_replace({C.sql_host()}, '[.][^.]*$', '') else {C.sql_host()} end as link from pages where {C.sql_host()} is not null")
 def backlinks(spark, d):
-    h = U.host(F.col("url"))
-    return table(spark, d, "pages").filter(h.isNotNull()).select(F.regexp_replace(h, "[.][^.]*$", "").alias("link")).distinct().orderBy("link")
+    return O.backlinks(table(spark, d, "pages"))
 
 
 @query(f"""with {C.SQL_DOCS}, w as (select regexp_extract_all(lower(title || ' ' || snippet), '\\w{{3,}}') as w, ord from res), t as (select ord, unnest(w) as term, unnest(range(len(w))) as place from w)
@@ -280,17 +283,15 @@ _COS = "list_cosine_similarity(e.embedding::double[], (select embedding::double[
 @query(f"select vec_id, round({_COS}, 6) as similarity from embeddings e order by round({_COS}, 9) desc, vec_id limit 50")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").first()["embedding"]
-    s = e.withColumn("similarity", F.round(F.coalesce(R.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), F.lit(0.0)), 9))
-    return R.top(s, ["similarity"], 50, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+    near = R.nearest(e, e.filter("vec_id = 0"), 50, digits=9)
+    return near.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""with {C.SQL_DOCS}, {_TOKENS}, {_sql_bm25(0)}, m as (select vec_id as ord, {_COS} as similarity, coalesce(bm25_score, 0) as k from embeddings e left join ranked on ord = vec_id),
   x as (select ord, round(k / greatest((select max(k) from m), 1) * 0.5::double + similarity * 0.5::double, 9) as score from m) select ord, round(score, 6) as score from x order by x.score desc, ord limit 50""")
 def semantic_hybrid(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").first()["embedding"]
-    near = e.select(F.col("vec_id").alias("ord"), R.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("similarity"))
+    near = R.similarities(e, e.filter("vec_id = 0")).select(F.col("vec_id").alias("ord"), "similarity")
     s = R.semantic_hybrid(near, R.bm25(C.documents(spark, d), "thing thou erst erst")).withColumn("score", F.round("score", 9))
     return R.top(s, ["score"], 50).select("ord", F.round("score", 6).alias("score"))
 
@@ -325,9 +326,9 @@ def truncate_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 300).alias("snippet"))
 
 
-@query(r"select doc_id, regexp_replace(substr(text, 1, 200) || '[x|y]', '([\[\]|])', '\\\1', 'g') as escaped from documents")
+@query(r"select doc_id, regexp_replace(text || '[x|y]', '([\[\]|])', '\\\1', 'g') as escaped from documents")
 def md_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.escape_markdown(F.concat(F.substring("text", 1, 200), F.lit("[x|y]"))).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", T.escape_markdown(F.concat(F.col("text"), F.lit("[x|y]"))).alias("escaped"))
 
 
 @query(f"with {C.SQL_PAGES} select ord, floor({_SCORE} * 100 + 0.5::double) / 100 as score, coalesce({C.sql_host()}, 'unknown') as domain, strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') as timestamp, title, snippet from res")
@@ -338,14 +339,13 @@ def json_rows(spark, d):
 
 @query(f"with {C.SQL_PAGES} select ord, url as u, title as t, cast(floor({_SCORE} * 100 + 0.5::double) as bigint) as s from res")
 def json_compact(spark, d):
-    s = R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)
-    return s.select("ord", F.col("url").alias("u"), F.col("title").alias("t"), F.floor(F.col("score") * 100 + F.lit(0.5)).cast("long").alias("s"))
+    return O.json_compact(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
 
 
 @query("select k as term, rpad(repeat('█', cast(floor(s * 10 + 0.5::double) as int)), greatest(10, cast(floor(s * 10 + 0.5::double) as int)), '░') as bar from (values ('a', 0.0::double), ('b', 0.55::double), ('c', 1.0::double), ('d', 1.2::double)) v(k, s)")
 def suggestion_bar(spark, d):
-    n = F.floor(F.col("s") * 10 + F.lit(0.5)).cast("int")
-    return spark.createDataFrame([("a", 0.0), ("b", 0.55), ("c", 1.0), ("d", 1.2)], "term string, s double").select("term", F.rpad(F.repeat(F.lit("█"), n), F.greatest(F.lit(10), n), F.lit("░")).alias("bar"))
+    bars = spark.createDataFrame([("a", 0.0), ("b", 0.55), ("c", 1.0), ("d", 1.2)], "term string, s double")
+    return bars.select("term", O.score_bar(F.col("s")).alias("bar"))
 
 
 @query("""select * from (values ('2 days ago', timestamp '2024-02-28 00:00:00'), ('1 hour ago', timestamp '2024-02-29 23:00:00'), ('3 weeks ago', timestamp '2024-02-09 00:00:00'), ('1 Month ago', timestamp '2024-02-01 00:00:00'),
@@ -355,10 +355,10 @@ def relative_dates(spark, d):
     return spark.createDataFrame([(a,) for a in ages], "age string").select("age", T.relative_date(F.col("age"), C.as_of()).alias("ts"))
 
 
-@query("select conv_id, turn, sha256('brave:' || role || ':' || turn || ':a.org,b.org:en') as key from conversations")
+@query("select conv_id, turn, sha256('brave:' || role || ':' || turn || ':a.org,b.org:c.org:en:2024-01-01/2024-02-01') as key from conversations")
 def cache_key(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.sha2(F.concat_ws(":", F.lit("brave"), "role", F.col("turn").cast("string"), F.lit(",".join(sorted(["b.org", "a.org"]))), F.lit("en")), 256).alias("key"))
+    return c.select("conv_id", "turn", S.cache_key(F.lit("brave"), F.col("role"), F.col("turn"), ["b.org", "a.org"], ["c.org"], "en", ("2024-01-01", "2024-02-01")).alias("key"))
 
 
 @query("select event_id, epoch_ms(timestamp '2024-01-15 00:00:00') - epoch_ms(ts) > 3600000 as expired from events")
@@ -414,9 +414,103 @@ def rss_normalize(spark, d):
 
 @query(rf"""with {C.SQL_PAGES}, s as (select *, {_SCORE} as v from res), t as (select *, case when length(snippet) <= 300 then snippet else
     case when contains(snippet[1:300], ' ') and 300 - instr(reverse(snippet[1:300]), ' ') > 240 then substr(snippet, 1, 300 - instr(reverse(snippet[1:300]), ' ')) else snippet[1:300] end || '...' end as cut from s)
-  select ord, '### [' || regexp_replace(title, '([\[\]|])', '\\\1', 'g') || '](' || url || ')' || chr(10) || chr(10) || cut || chr(10) || chr(10) || '*' || source || '* | ' || cast(floor(v * 100 + 0.5::double) as bigint) || '% | ' || strftime(ts, '%Y-%m-%d') as line from t""")
+  select ord, '### [' || regexp_replace(title, '([\[\]|])', '\\\1', 'g') || '](' || url || ')' || chr(10) || chr(10) || cut || chr(10) || chr(10) || '*Score: ' || cast(floor(v * 100 + 0.5::double) as bigint) || '% | Source: ' || source || ' | Date: ' || strftime(ts, '%Y-%m-%d') || '*' || chr(10) || '*Categories: ' || array_to_string(list_transform({_sql_categories(RULES)}, lambda x: '`' || x || '`'), ' ') || '*' as line from t""")
 def result_format(spark, d):
-    return O.result_lines(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
+    return O.result_lines(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)))
+
+
+def _with_categories(df):
+    return df.withColumn("categories", S.categories(F.col("url"), F.col("title"), F.col("snippet"), RULES))
+
+
+_BEST = f"best as (select *, {_SCORE} as v, row_number() over (order by {_SCORE} desc, ord) as rank from res qualify rank <= 60)"
+
+
+@query(f"with {C.SQL_PAGES}, {_BEST} select ord, url, round(v, 6) as score, rank from best")
+def global_rank(spark, d):
+    return S.ranked(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST), 60).select("ord", "url", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""with {C.SQL_PAGES}, s as (select *, coalesce({C.sql_host()}, 'Unknown') as section from res) select section, ord, row_number() over (partition by section order by ord) as place from s""")
+def markdown_by_domain(spark, d):
+    return O.body(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST), "domain").select("section", "ord", "place")
+
+
+@query(f"""with {C.SQL_PAGES}, s as (select *, ({_sql_categories(RULES)})[1] as section from res) select section, ord, row_number() over (partition by section order by ord) as place from s""")
+def markdown_by_category(spark, d):
+    return O.body(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), "category").select("section", "ord", "place")
+
+
+@query(f"select count(*) as results, count(distinct {C.sql_host()}) as domains from pages")
+def report_summary(spark, d):
+    return O.summary(table(spark, d, "pages"))
+
+
+@query()
+def markdown_report(spark, d):
+    text = O.markdown(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01", 50, "domain", ("notes",), tuple(C.SOURCES))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line long, text string")
+
+
+@query()
+def json_report(spark, d):
+    text = O.json_report(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01T00:00:00.000Z", tuple(C.SOURCES), most=50)
+    return spark.createDataFrame([(text,)], "value string")
+
+
+@query(f"""with {C.SQL_PAGES}, s as (select *, {_SCORE} as v from res), m as (select greatest(max(v), 0.01) as most from s)
+  select ord, case when coalesce(title, '') = '' then 'Untitled' else title end as title, url, substr(snippet, 1, 200) || case when length(snippet) > 200 then '...' else '' end as snippet,
+  cast(floor(v / most * 100 + 0.5::double) as bigint) as percent, coalesce({C.sql_host()}, 'unknown') as domain, source from s, m""")
+def web_cards(spark, d):
+    return O.cards(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
+
+
+@query(f"with {C.SQL_DOCS}, {_sql_terms()}, ten as (select term, score, source, frequency, row_number() over (order by score desc, kind, pos) as place from best order by score desc, kind, pos limit 10) select place, term, floor(score * 100 + 0.5::double) / 100 as score, source from ten")
+def refine_report(spark, d):
+    ten = Q.suggestions(C.documents(spark, d), "thing", 10).coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    value = F.from_json("value", "query string, suggestions array<struct<term:string,score:double,source:string,frequency:double>>")
+    x = O.refine_report(ten, "thing").select(F.posexplode(value["suggestions"]).alias("place", "s"))
+    return x.select((F.col("place") + 1).cast("long").alias("place"), "s.term", "s.score", "s.source")
+
+
+_PLAIN_COS = "list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])))"
+
+
+@query(f"select e.vec_id, round({_PLAIN_COS}, 6) as similarity from embeddings e, (select embedding from embeddings where vec_id = 1) q")
+def web_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    return R.similarities(e, e.filter("vec_id = 1"), strict=False).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"with {C.SQL_PAGES} select ord, url from res where url not in (select url from res where ord % 2 = 0)")
+def not_indexed(spark, d):
+    p = C.pages(spark, d).select("ord", "url")
+    return S.not_indexed(p, p.filter("ord % 2 = 0"))
+
+
+@query(f"with {C.SQL_PAGES} select row_number() over (order by ord) - 1 as ord, url, title, snippet, 'brave' as source, timestamp '2024-03-01 00:00:00' - to_days(cast(ord % 30 as int)) as ts from res order by ord limit 20")
+def brave_normalize(spark, d):
+    """All pages in one answer; the source's own limit is 20 results."""
+    item = F.struct("ord", "title", "url", F.col("snippet").alias("description"), F.concat((F.col("ord") % 30).cast("string"), F.lit(" days ago")).alias("age"))
+    first = C.pages(spark, d).orderBy("ord").limit(20)  # what the service sends at most
+    p = first.agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(item)).alias("results")).alias("web"))).alias("payload"))
+    return N.web_and_news(p, C.as_of(), 20)
+
+
+@query(f"with {C.SQL_PAGES} select ord, url, title, trim(snippet) as snippet, 'duckduckgo' as source, timestamp '2024-03-01 00:00:00' as ts from res where title <> '' and ord % 2 = 0")
+def lite_normalize(spark, d):
+    quote = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit('<tr><td><a rel="nofollow" href="'), quote(F.col("url")), F.lit('" class="result-link">'), quote(F.col("title")), F.lit('</a></td></tr><tr><td class="result-snippet">'), quote(F.trim("snippet")), F.lit("</td></tr>"))
+    p = C.pages(spark, d).filter("ord % 2 = 0").select("ord", F.concat(F.lit("<table>"), row, F.lit('<a href="/x" class="result-link">x</a></table>')).alias("payload"))
+    return N.lite_page(p, C.as_of(), None)
+
+
+@query(rf"with {C.SQL_PAGES}, i as (select ord, url, title, trim(regexp_replace(regexp_replace(snippet, '<[^>]*>', '', 'g'), '{C._SPACE}+', ' ', 'g')) as snippet, ts from res) select ord, url, case when trim(title) = '' then 'Untitled' else trim(title) end as title, substr(snippet, 1, 500) as snippet, 'rss' as source, ts, 'by ' || ord as author from i")
+def feed_normalize(spark, d):
+    tag = lambda n, c: F.concat(F.lit(f"<{n}><![CDATA["), c, F.lit(f"]]></{n}>"))
+    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("url")), tag("description", F.col("snippet")), tag("dc:creator", F.concat(F.lit("by "), F.col("ord").cast("string"))), tag("pubDate", F.date_format("ts", "dd MMM yyyy HH:mm:ss' GMT'")), F.lit("</item>"))
+    p = C.pages(spark, d).select("ord", F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
+    return N.feed(p, C.as_of()).select("ord", "url", "title", "snippet", "source", "ts", F.col("metadata")["author"].alias("author"))
 
 
 def queries() -> dict:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import time
 from collections.abc import Callable
@@ -16,38 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking, refine, results
 from ..session import materialize
-
-
-class ConfigError(ValueError):
-    """A setting outside its range."""
-
-
-@dataclass(frozen=True)
-class Config:
-    limit: int = 20
-    timeout_ms: int = 10_000
-    retries: int = 2
-    weights: tuple[float, float, float] = (0.3, 0.2, 0.5)
-    trusted: tuple[str, ...] = tuple(ranking.TRUSTED)
-    by_url: bool = True
-    by_content: bool = True
-    similarity: float = 0.85
-    cache_ttl_ms: int = 3_600_000
-
-    def __post_init__(self) -> None:
-        if min(self.limit, self.timeout_ms, self.cache_ttl_ms) <= 0 or self.retries < 0:
-            raise ConfigError("limits must be positive")
-        if not all(0 <= w <= 1 for w in (*self.weights, self.similarity)):
-            raise ConfigError("weights and similarity lie between 0 and 1")
-
-
-def expand_env(value):
-    """``${NAME}`` in strings of nested lists and dicts replaced by the environment, else ''."""
-    if isinstance(value, str):
-        return re.sub(r"\$\{([^}]+)\}", lambda m: os.environ.get(m[1], ""), value)
-    if isinstance(value, dict):
-        return {k: expand_env(v) for k, v in value.items()}
-    return [expand_env(v) for v in value] if isinstance(value, list) else value
+from .config import Config
 
 
 def parse_selection(text: str, most: int) -> list[int]:
@@ -78,6 +46,14 @@ class TokenBucket:
             return True
         return False
 
+    def acquire(self, sleep: Callable[[float], None] = time.sleep) -> None:
+        """Waits until a token is there and takes it."""
+        self._refill()
+        if self.tokens < 1:
+            sleep((1 - self.tokens) / self.rate)
+            self._refill()
+        self.tokens -= 1
+
 
 class FileCache:
     """JSON values by key in a driver's folder, dropped ``ttl_ms`` after they are set."""
@@ -99,6 +75,17 @@ class FileCache:
         self.folder.mkdir(parents=True, exist_ok=True)
         self._path(key).write_text(json.dumps({"timestamp": self.clock() * 1000, "value": value}))
 
+    def clear(self) -> int:
+        """Remove all entries; how many."""
+        entries = list(self.folder.glob("*.json"))
+        for p in entries:
+            p.unlink()
+        return len(entries)
+
+    def stats(self) -> dict[str, int]:
+        entries = list(self.folder.glob("*.json"))
+        return {"entries": len(entries), "bytes": sum(p.stat().st_size for p in entries)}
+
     def prune(self) -> int:
         """Remove expired and unreadable entries; how many."""
         n = 0
@@ -130,10 +117,87 @@ class Session:
         self.query, self.depth = self.query or query, self.depth + 1
         new = self.fetch(query)
         both = new if self.found is None else self.found.unionByName(new, allowMissingColumns=True)
-        self.found = materialize(results.deduplicate(both.select(*[c for c in both.columns if c != "sources"]), results.dedup_key(self.config.by_url, self.config.by_content)), "session")
+        self.found = materialize(results.deduplicate(both.select(*[c for c in both.columns if c not in ("sources", "copies")]), results.dedup_key(self.config.by_url, self.config.by_content)), "session")
         return refine.suggestions(new, query)
 
     def final(self, n: int | None = None) -> DataFrame:
         """All results scored against the first query."""
         scored = ranking.scored(self.found, self.query, self.as_of, list(self.config.trusted), self.config.weights)
         return ranking.top(scored, ["score"], n) if n else scored.orderBy(F.desc("score"), "ord")
+
+
+class Categories:
+    """Category rules (name, host parts, keywords, URL parts); a later rule of a name replaces it."""
+
+    def __init__(self, rules=results.CATEGORIES):
+        self.rules = list(rules)
+
+    def add(self, name: str, hosts=(), keywords=(), urls=()) -> None:
+        self.remove(name)
+        self.rules.append((name, list(hosts), list(keywords), list(urls)))
+
+    def remove(self, name: str) -> None:
+        self.rules = [r for r in self.rules if r[0] != name]
+
+    def names(self) -> list[str]:
+        return [r[0] for r in self.rules]
+
+
+HELP = "/add TEXT, /query TEXT, /expand, /narrow, /pivot, /results, /export, /history, /help, /done; or numbers, or more words"
+
+
+class Dialog:
+    """Interactive refinement: ``step`` takes a line and says what came of it.
+
+    Numbers choose suggestions, and the next line a strategy (n.. narrow, p.. pivot, else
+    expand), whose first three queries run. Other text is added to the query.
+    """
+
+    def __init__(self, session: Session, query: str):
+        self.session, self.query, self.history, self.chosen = session, query, [query], []
+        self.terms = self._search(query)
+
+    def _search(self, query: str) -> list[str]:
+        self.terms = [r.term for r in self.session.search(query).collect()]
+        return self.terms
+
+    def _run(self, queries: list[str]) -> dict:
+        for q in queries:
+            self.history.append(q)
+            self._search(q)
+        return {"ran": queries, "suggestions": self.terms, "confirm": self.session.depth >= self.session.max_depth}
+
+    def _refined(self, strategy: str, terms: list[str]) -> list[str]:
+        spark = self.session.found.sparkSession
+        row = spark.range(1).select(refine.refined_queries(self.query, F.array(*map(F.lit, terms)), strategy).alias("q")).first() if terms else None
+        return list(row.q) if row else []
+
+    def step(self, line: str) -> dict:
+        line = line.strip()
+        command, _, rest = line.partition(" ")
+        if self.chosen:
+            kind = "narrow" if line.lower().startswith("n") else "pivot" if line.lower().startswith("p") else "expand"
+            terms, self.chosen = self.chosen, []
+            return self._run(self._refined(kind, terms)[:3])
+        if command in ("/done", "/finish", "/quit", "/exit"):
+            return {"done": True, "keep": command in ("/done", "/finish")}
+        if command == "/query" and rest:
+            self.query, self.session.query, self.session.depth = rest, rest, 0
+            return self._run([rest])
+        if command == "/add" and rest:
+            self.query = f"{self.query} {rest}"
+            return self._run([self.query])
+        if command in ("/expand", "/narrow", "/pivot"):
+            most = {"/expand": 3, "/narrow": 2, "/pivot": 1}[command]
+            return self._run(self._refined(command[1:], self.terms[:3])[:most])
+        if command in ("/results", "/export"):
+            return {command[1:]: self.session.final()}
+        if command == "/history":
+            return {"history": list(self.history)}
+        if command.startswith("/") or not line:
+            return {"help": HELP}
+        if re.fullmatch(r"[\d\s,-]+", line):
+            self.chosen = [self.terms[n - 1] for n in parse_selection(line, len(self.terms))]
+            return {"chosen": self.chosen}
+        self.query = f"{self.query} {line}"
+        return self._run([self.query])

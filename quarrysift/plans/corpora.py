@@ -23,7 +23,7 @@ def _hours(n):
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", T.html_title(F.col("html")).alias("title"), T.html_content(F.col("html")).alias("content"))
     source = F.get(F.array(*[F.lit(s) for s in SOURCES]), (F.col("page_id") % 4).cast("int"))
-    return p.select(F.col("page_id").alias("ord"), "url", "title", F.substring("content", 1, 500).alias("snippet"), source.alias("source"), _hours(F.col("page_id")).alias("ts"), F.create_map(F.lit("page_id"), F.col("page_id").cast("string")).alias("metadata"))
+    return p.select(F.col("page_id").alias("ord"), "url", "title", F.col("content").alias("snippet"), source.alias("source"), _hours(F.col("page_id")).alias("ts"), F.create_map(F.lit("page_id"), F.col("page_id").cast("string")).alias("metadata"))
 
 
 def pages_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pages_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
-    return d.select(F.col("doc_id").alias("ord"), url.alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.substring("text", 1, 500).alias("snippet"), "source", _hours(F.col("doc_id")).alias("ts"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    return d.select(F.col("doc_id").alias("ord"), url.alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"), "source", _hours(F.col("doc_id")).alias("ts"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
 
 
 # The same relations in SQL, as heads of oracle queries.
@@ -46,11 +46,11 @@ _SPACE = r"[\s\x{00A0}\x{FEFF}]"
 _CONTENT = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<script[\s\S]*?</script>', '', 'g'), '(?i)<style[\s\S]*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '{_SPACE}+', ' ', 'g'))"
 SQL_PAGES = rf"""
 raw as (select page_id, url, html, trim(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1)) as title, {_CONTENT} as content from pages),
-res as (select page_id as ord, url, title, substr(case when length(content) > 50000 then substr(content, 1, 50000) || '...' else content end, 1, 500) as snippet,
+res as (select page_id as ord, url, title, case when length(content) > 50000 then substr(content, 1, 50000) || '...' else content end as snippet,
   (['duckduckgo', 'brave', 'rss', 'serp'])[(page_id % 4) + 1] as source, timestamp '2024-01-01 00:00:00' + to_hours(cast(page_id % 2000 as bigint)) as ts from raw)
 """
 SQL_DOCS = """
-res as (select doc_id as ord, 'https://' || source || '.example.com/' || lang || '/' || doc_id as url, split_part(text, chr(10), 1) as title, substr(text, 1, 500) as snippet, source, lang,
+res as (select doc_id as ord, 'https://' || source || '.example.com/' || lang || '/' || doc_id as url, split_part(text, chr(10), 1) as title, text as snippet, source, lang,
   timestamp '2024-01-01 00:00:00' + to_hours(cast(doc_id % 2000 as bigint)) as ts from documents)
 """
 SQL_TWICE = rf"""{SQL_PAGES},

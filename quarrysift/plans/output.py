@@ -1,39 +1,124 @@
-"""Reports: JSON rows at any size, Markdown from a bounded, collected result list."""
+"""Reports: rows at any size as DataFrames; whole Markdown and JSON texts from a bounded list."""
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import refine
+
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def _optional(df: DataFrame, *names: str) -> list[Column]:
+    return [F.col(n) for n in names if n in df.columns]
 
 
 def json_lines(results: DataFrame) -> DataFrame:
     """One JSON text for each result, by ord; null fields are left out."""
-    row = F.struct(F.col("url"), "title", "snippet", "source", T.half_up(F.col("score")).alias("score"), F.coalesce(U.host(F.col("url")), F.lit("unknown")).alias("domain"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"))
+    row = F.struct("url", "title", "snippet", "source", T.half_up(F.col("score")).alias("score"), F.coalesce(U.host(F.col("url")), F.lit("unknown")).alias("domain"), F.date_format("ts", _ISO).alias("timestamp"), *_optional(results, "categories", "metadata"))
     return results.select("ord", F.to_json(row).alias("value"))
 
 
+def json_compact(results: DataFrame) -> DataFrame:
+    """(ord, u, t, s): URL, title and percent."""
+    return results.select("ord", F.col("url").alias("u"), F.col("title").alias("t"), F.floor(F.col("score") * 100 + F.lit(0.5)).cast("long").alias("s"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row: results and different domains (invalid URLs have none)."""
+    return results.agg(F.count("*").alias("results"), F.count_distinct(U.host(F.col("url"))).alias("domains"))
+
+
+def backlinks(results: DataFrame) -> DataFrame:
+    """(link): the different hosts without their last label, a host of one label whole."""
+    h = U.host(F.col("url"))
+    return results.filter(h.isNotNull()).select(F.regexp_replace(h, "[.][^.]*$", "").alias("link")).distinct().orderBy("link")
+
+
 def result_lines(results: DataFrame) -> DataFrame:
-    """(ord, line): a Markdown block for each result."""
+    """(ord, line): a Markdown block for each result, with its categories if it has that column."""
     percent = F.floor(F.col("score") * 100 + F.lit(0.5)).cast("string")
     head = F.concat(F.lit("### ["), T.escape_markdown(F.col("title")), F.lit("]("), F.col("url"), F.lit(")"))
-    foot = F.concat(F.lit("*"), F.col("source"), F.lit("* | "), percent, F.lit("% | "), F.date_format("ts", "yyyy-MM-dd"))
+    foot = F.concat(F.lit("*Score: "), percent, F.lit("% | Source: "), F.col("source"), F.lit(" | Date: "), F.date_format("ts", "yyyy-MM-dd"), F.lit("*"))
+    if "categories" in results.columns:
+        foot = F.concat(foot, F.lit("\n*Categories: "), F.array_join(F.transform("categories", lambda c: F.concat(F.lit("`"), c, F.lit("`"))), " "), F.lit("*"))
     return results.select("ord", F.concat_ws("\n\n", head, T.truncate(F.col("snippet"), 300), foot).alias("line"))
 
 
-def markdown(results: DataFrame, query: str, date: str, most: int = 1000) -> str:
-    """A report of the first ``most`` results by score: front matter, summary, blocks."""
-    best = results.orderBy(F.desc("score"), "ord").limit(most)
-    rows = result_lines(best).collect()
-    score = {r.ord: i for i, r in enumerate(best.select("ord").collect())}
+def body(results: DataFrame, by: str | None = "domain") -> DataFrame:
+    """(section, place, ord, line) of a report's body.
+
+    By domain: the largest first, then by first appearance. By category: of the first category,
+    by name. None: one section. Places count from 1 within a section; its size is known from a
+    grouped count, so no section is held in one row.
+    """
+    keys = {"domain": F.coalesce(U.host(F.col("url")), F.lit("Unknown")), "category": F.coalesce(F.get("categories", F.lit(0)), F.lit("General")) if "categories" in results.columns else F.lit("General"), None: F.lit("")}
+    lines = result_lines(results).join(results.select("ord", keys[by].alias("section"), F.col("ord").alias("first")), "ord")
+    groups = lines.groupBy("section").agg(F.count("*").alias("n"), F.min("first").alias("earliest"))
+    order = [F.desc("n"), F.asc("earliest")] if by == "domain" else [F.asc("section")]
+    placed = lines.join(groups, "section").withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("ord")))
+    return placed.orderBy(*order, "ord").select("section", "place", "ord", "line")
+
+
+def front_matter(query: str, date: str, tags: list[str], sources: list[str], total: int, generator: str = "quarrysift") -> str:
+    quote = lambda xs: ", ".join(f'"{x}"' for x in xs)
     title = query.replace('"', '\\"')
-    body = "\n\n---\n\n".join(r.line for r in sorted(rows, key=lambda r: score[r.ord]))
-    hosts = best.agg(F.count_distinct(U.host(F.col("url")))).first()[0]
-    return f'---\ntitle: "{title}"\ndate: {date}\ntotal_results: {len(rows)}\n---\n\n# {query}\n\n{len(rows)} results from {hosts} domains\n\n{body}\n'
+    return f'---\ntitle: "{title}"\ndate: {date}\ntags: [{quote(tags)}]\nsources: [{quote(sources)}]\ntotal_results: {total}\ngenerated_by: {generator}\n---\n'
+
+
+def markdown(results: DataFrame, query: str, date: str, most: int = 1000, by: str | None = "domain", tags: tuple[str, ...] = (), sources: tuple[str, ...] = (), front: bool = True) -> str:
+    """A report of the first ``most`` results by score: front matter, summary, body, backlinks."""
+    best = results.orderBy(F.desc("score"), "ord").limit(most)
+    total, domains = summary(best).first()
+    sections: dict[str, list[str]] = {}
+    for r in body(best, by).collect():
+        sections.setdefault(r.section, []).append(r.line)
+    if by is None:
+        text = "\n\n---\n\n".join(x for lines in sections.values() for x in lines)
+    else:
+        text = "\n\n---\n\n".join(f"## {name}\n\n" + "\n\n".join(lines) for name, lines in sections.items())
+    links = "\n".join(f"- [[{r.link}]]" for r in backlinks(best).collect())
+    title = re.sub(r"([\[\]|])", r"\\\1", query)
+    parts = [
+        *([front_matter(query, date, list(tags), list(sources), total)] if front else []),
+        f"# {title}\n",
+        f"> **Summary**\n> - **Query**: {query}\n> - **Results**: {total} unique results from {len(sources)} provider(s)\n> - **Sources**: {domains} unique domains\n> - **Generated**: {date}\n",
+        text,
+        f"\n---\n\n## Related\n\n{links}\n",
+    ]
+    return "\n".join(parts)
+
+
+def json_report(results: DataFrame, query: str, timestamp: str, sources: tuple[str, ...] = (), errors: list[dict] = (), most: int = 1000, pretty: bool = True) -> str:
+    """A JSON text of the first ``most`` results by score, with what it is about; errors only if any."""
+    best = results.orderBy(F.desc("score"), "ord").limit(most)
+    total, domains = summary(best).first()
+    place = {r.ord: i for i, r in enumerate(best.select("ord").collect())}
+    rows = [json.loads(r.value) for r in sorted(json_lines(best).collect(), key=lambda r: place[r.ord])]
+    out = {"meta": {"query": query, "timestamp": timestamp, "providers": list(sources), "totalResults": total, "uniqueDomains": domains, "version": "1.0.0"}}
+    out |= ({"errors": list(errors)} if errors else {}) | {"results": rows}
+    return json.dumps(out, indent=2 if pretty else None, ensure_ascii=False)
+
+
+def context(results: DataFrame, query: str, date: str, most: int = 1000) -> dict:
+    """What a template may use: the results, and their numbers by domain and by each category."""
+    best = results.orderBy(F.desc("score"), "ord").limit(most)
+    rows = [r.asDict(recursive=True) | {"domain": r["domain"]} for r in best.withColumn("domain", F.coalesce(U.host(F.col("url")), F.lit("unknown"))).orderBy(F.desc("score"), "ord").collect()]
+    groups: dict[str, dict[str, list]] = {"domain": {}, "category": {}}
+    for r in rows:
+        groups["domain"].setdefault(r["domain"], []).append(r)
+        for c in r.get("categories") or []:
+            groups["category"].setdefault(c, []).append(r)
+    return {"query": query, "date": date, "total": len(rows), "results": rows, "groupedByDomain": groups["domain"], "groupedByCategory": groups["category"]}
 
 
 def render(template: str, values: dict[str, str], results: list[dict[str, str]]) -> str:
@@ -44,3 +129,47 @@ def render(template: str, values: dict[str, str], results: list[dict[str, str]])
 
     out = re.sub(r"\{\{#each results\}\}(.*?)\{\{/each\}\}", lambda m: "".join(fill(m[1], {k: v for k, v in r.items()}) for r in results), template, flags=re.S)
     return fill(out, values)
+
+
+def suggestion_line(place: Column, term: Column, score: Column, source: Column) -> Column:
+    """``NN. term bar (source)``; the bar has a full block for each tenth, ten places at least."""
+    return F.concat(F.format_string("%2d. ", place), F.rpad(term, F.greatest(F.lit(25), F.length(term)), F.lit(" ")), F.lit(" "), score_bar(score), F.lit(" ("), source, F.lit(")"))
+
+
+def score_bar(score: Column) -> Column:
+    n = F.floor(score * 10 + F.lit(0.5)).cast("int")
+    return F.rpad(F.repeat(F.lit("█"), n), F.greatest(F.lit(10), n), F.lit("░"))
+
+
+def refine_report(suggestions: DataFrame, query: str) -> DataFrame:
+    """One row ``value``: the suggestions as JSON, and refined queries of the three best by each strategy.
+
+    ``suggestions`` is a ranked list, already limited, with ``place`` from 1.
+    """
+    item = F.struct("place", "term", T.half_up(F.col("score")).alias("score"), "source", "frequency")
+    one = suggestions.agg(F.sort_array(F.collect_list(item)).alias("x"))
+    terms = F.transform(F.slice("x", 1, 3), lambda r: r["term"])
+    lists = F.struct(*[refine.refined_queries(query, terms, s).alias(s) for s in ("expand", "narrow", "pivot")])
+    shown = F.transform("x", lambda r: F.struct(r["term"].alias("term"), r["score"].alias("score"), r["source"].alias("source"), r["frequency"].alias("frequency")))
+    return one.select(F.to_json(F.struct(F.lit(query).alias("query"), shown.alias("suggestions"), lists.alias("refinedQueries"))).alias("value"))
+
+
+def cards(results: DataFrame) -> DataFrame:
+    """(ord, title, url, snippet, percent, domain, source): scores against the best, 0.01 at least."""
+    most = results.agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.01)).alias("qs_most"))
+    cut = F.concat(F.substring("snippet", 1, 200), F.when(F.length("snippet") > 200, "...").otherwise(""))
+    title = F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title"))
+    percent = F.floor(F.col("score") / F.col("qs_most") * 100 + F.lit(0.5)).cast("long")
+    return results.crossJoin(F.broadcast(most)).select("ord", title.alias("title"), "url", cut.alias("snippet"), percent.alias("percent"), F.coalesce(U.host(F.col("url")), F.lit("unknown")).alias("domain"), "source")
+
+
+def write(text: str, path: str | None, folder: str = ".") -> str | None:
+    """Write a report to a path (``~`` is home; relative ones lie under ``folder``), or to standard output."""
+    if path is None:
+        sys.stdout.write(text if text.endswith("\n") else text + "\n")
+        return None
+    at = Path(path).expanduser()
+    at = at if at.is_absolute() else Path(folder).expanduser() / at
+    at.parent.mkdir(parents=True, exist_ok=True)
+    at.write_text(text)
+    return str(at)

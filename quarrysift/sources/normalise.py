@@ -93,7 +93,79 @@ def feed_items(items: DataFrame, as_of: Column) -> DataFrame:
     """Feed items (link, title, contentSnippet, summary, content, isoDate, ord): those without link are dropped."""
     body = F.coalesce("contentSnippet", "summary", "content", F.lit(""))
     flat = F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", ""), rf"{T.SPACE}+", " "))
-    return items.filter(F.coalesce("link", F.lit("")) != "").select("ord", F.col("link").alias("url"), F.coalesce("title", F.lit("Untitled")).alias("title"), F.substring(flat, 1, 500).alias("snippet"), F.lit("rss").alias("source"), F.coalesce(F.col("isoDate").try_cast("timestamp"), as_of).alias("ts"))
+    people = [F.col(n) for n in ("creator", "author") if n in items.columns]
+    author = [F.when(F.coalesce(*people).isNotNull(), F.create_map(F.lit("author"), F.coalesce(*people))).alias("metadata")] if people else []
+    return items.filter(F.coalesce("link", F.lit("")) != "").select("ord", F.col("link").alias("url"), F.coalesce("title", F.lit("Untitled")).alias("title"), F.substring(flat, 1, 500).alias("snippet"), F.lit("rss").alias("source"), F.coalesce(F.col("isoDate").try_cast("timestamp"), as_of).alias("ts"), *author)
+
+
+def _tag(xml: Column, *names: str) -> Column:
+    """Text of the first of the named elements that has any, markup of CDATA and entities undone; else null."""
+    found = []
+    for n in names:
+        inner = F.regexp_extract(xml, rf"(?is)<(?:\w+:)?{n}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{n}\s*>", 1)
+        cdata = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
+        found.append(F.nullif(F.trim(F.when(cdata != "", cdata).otherwise(_entities(inner))), F.lit("")))
+    return F.coalesce(*found)
+
+
+def _moment(c: Column) -> Column:
+    """Dates of feeds: ``[Mon, ]02 Jan 2024 03:04:05 +0000`` or ISO."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), c.try_cast("timestamp"))
+
+
+def feed(df: DataFrame, as_of: Column) -> DataFrame:
+    """Results of feeds (payload: XML of RSS items or Atom entries), with their author in the metadata.
+
+    Elements are found by pattern, so text that is no XML has no items. ``ord`` counts from a payload's own ``ord``, if it has one.
+    """
+    first = F.col("ord") if "ord" in df.columns else F.lit(0)
+    items = df.select(first.alias("first"), F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)\s*>"), F.lit(0))).alias("place", "x")).select((F.col("first") + F.col("place")).alias("ord"), "x")
+    x = F.col("x")
+    link = F.coalesce(_tag(x, "link"), F.nullif(_entities(F.regexp_extract(x, r"""(?is)<link[^>]*\shref=["']([^"']*)["']""", 1)), F.lit("")))
+    when = F.date_format(_moment(_tag(x, "pubDate", "published", "updated")), "yyyy-MM-dd HH:mm:ss")
+    cols = {"link": link, "title": _tag(x, "title"), "contentSnippet": F.lit(None).cast("string"), "summary": _tag(x, "description", "summary"), "content": _tag(x, "content"), "isoDate": when, "creator": _tag(x, "creator"), "author": _tag(x, "name", "author")}
+    return feed_items(items.select(F.col("ord").cast("long").alias("ord"), *[c.alias(n) for n, c in cols.items()]), as_of)
+
+
+def _plain(html: Column) -> Column:
+    return F.trim(_entities(F.regexp_replace(html, "<[^>]*>", "")))
+
+
+def lite_page(df: DataFrame, as_of: Column, limit: int | None = 20) -> DataFrame:
+    """Results of lite search pages (payload: HTML): links of class result-link with the snippets beside them.
+
+    ``ord`` counts from a payload's own ``ord``, if it has one.
+    """
+    anchors = F.regexp_extract_all("payload", F.lit(r"""(?is)<a\b[^>]*class=["']result-link["'][^>]*>.*?</a>"""), F.lit(0))
+    cells = F.regexp_extract_all("payload", F.lit(r"""(?is)<td\b[^>]*class=["']result-snippet["'][^>]*>(.*?)</td>"""), F.lit(1))
+    first = F.col("ord") if "ord" in df.columns else F.lit(0)
+    x = df.select(first.alias("first"), F.posexplode(anchors).alias("place", "a"), cells.alias("cells"))
+    out = x.select((F.col("first") + F.col("place")).cast("long").alias("ord"), _entities(F.regexp_extract("a", r"""(?is)\shref=["']([^"']*)["']""", 1)).alias("url"), _plain(F.col("a")).alias("title"), F.coalesce(_plain(F.get("cells", F.col("place"))), F.lit("")).alias("snippet"), F.lit("duckduckgo").alias("source"), as_of.alias("ts"))
+    out = out.filter((F.col("url") != "") & (F.col("title") != "") & ~F.startswith("url", F.lit("/")))
+    return out if limit is None else out.orderBy("ord").limit(limit)
+
+
+def web_answers(df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
+    """The web variant of ``instant_answers``: abstract, topics each before its own, then results."""
+    none = F.array().cast("array<struct<url:string,title:string,snippet:string,source:string,ts:timestamp>>")
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    short = lambda t: _row(t["FirstURL"], F.substring(t["Text"], 1, 60), t["Text"], "duckduckgo", as_of)
+    headed = lambda t: _row(t["FirstURL"], _filled(F.regexp_extract(t["Text"], r"^(.+?)\s*[-–—]\s*", 1), F.substring(t["Text"], 1, 60)), t["Text"], "duckduckgo", as_of)
+    usable = lambda t: F.coalesce(some(t["FirstURL"]) & some(t["Text"]), F.lit(False))
+    listed = lambda a: F.coalesce(F.transform(F.filter(a, usable), short), none)
+    d = df.select(F.from_json("payload", ANSWER).alias("p")).select("p.*")
+    abstract = F.when(F.coalesce(some(F.col("AbstractURL")) & some(F.col("AbstractText")), F.lit(False)), F.array(_row(F.col("AbstractURL"), _filled(F.col("Heading"), F.lit("Wikipedia")), F.col("AbstractText"), "duckduckgo", as_of))).otherwise(none)
+    topics = F.coalesce(F.flatten(F.transform("RelatedTopics", lambda t: F.concat(F.when(usable(t), F.array(headed(t))).otherwise(none), listed(t["Topics"])))), none)
+    return _rows(d, F.concat(abstract, topics, listed(F.col("Results"))), limit)
+
+
+def papers(df: DataFrame, as_of: Column) -> DataFrame:
+    """Entries of a paper archive's feed (payload: Atom) that have a title and an id."""
+    x = df.select(F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<entry(?:\s[^>]*)?>.*?</entry\s*>"), F.lit(0))).alias("ord", "x"))
+    body = F.coalesce(_tag(F.col("x"), "summary"), F.lit(""))
+    out = x.select(F.col("ord").cast("long").alias("ord"), _tag(F.col("x"), "id").alias("url"), _tag(F.col("x"), "title").alias("title"), F.concat(F.substring(body, 1, 200), F.when(F.length(body) > 200, "...").otherwise("")).alias("snippet"), F.lit("arxiv").alias("source"), F.coalesce(_moment(_tag(F.col("x"), "published")), as_of).alias("ts"))
+    return out.filter("url is not null and title is not null")
 
 
 # Web adapters: schema, array of items, and a result from an item.
@@ -108,8 +180,8 @@ _ADAPTERS = {
 
 
 def _entities(c: Column) -> Column:
-    """The five entities of XML and the apostrophe's number, decoded; & last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    """The entities of XML, some of HTML, and numbers of frequent signs, decoded; & last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 

@@ -21,17 +21,17 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("url,want", [
-    ("https://example.com/page?utm_source=google&utm_medium=cpc&id=123", "https://example.com/page?id=123"), ("https://www.example.com/page", "https://example.com/page"),
-    ("https://example.com/page#section", "https://example.com/page"), ("https://example.com/page/", "https://example.com/page"), ("https://example.com/page?z=1&a=2", "https://example.com/page?a=2&z=1"),
-    ("not-a-url", "not-a-url"), ("https://example.com", "https://example.com/"), ("http://u:p@WWW.Ex.com:8080/A/?ref=x", "http://ex.com/A"),
+    ("https://shop.test/item?gclid=q7&size=9&utm_term=boots", "https://shop.test/item?size=9"), ("http://www.shop.test/item", "http://shop.test/item"),
+    ("https://shop.test/faq#returns", "https://shop.test/faq"), ("https://shop.test/faq/", "https://shop.test/faq"), ("https://shop.test/s?sort=up&brand=k&brand=a", "https://shop.test/s?brand=k&brand=a&sort=up"),
+    ("No Scheme Here", "no scheme here"), ("https://shop.test", "https://shop.test/"), ("http://u:p@WWW.Ex.com:8080/A/?ref=x", "http://ex.com/A"),
 ])
 def test_normalized_url(spark, url, want):
     assert one(spark, U.normalized, url)[0].y == want
 
 
 def test_fingerprint_and_similarity(spark):
-    fox = "brownfoxjumps|brownfoxquick|brownquickthe|doglazythe|foxjumpsover|jumpsoverthe|lazyoverthe"
-    got = [r.y for r in one(spark, T.fingerprint, "The quick brown fox jumps over the lazy dog", "Hello World Test", "Hi", "Test A snippet", "")]
+    fox = "boatspastsail|boatssailsmall|boatssevensmall|greypastrocks|greypastsail"
+    got = [r.y for r in one(spark, T.fingerprint, "Seven small boats sail past grey rocks", "Hello World Test", "Hi", "Test A snippet", "")]
     assert got == [fox, "hellotestworld", "hi", "test a snippet", ""]
     pair = spark.createDataFrame([("", ""), (fox, fox), ("a|b", "b|c")], "a string, b string").select(T.similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r.s for r in pair] == [1.0, 1.0, pytest.approx(1 / 3)]
@@ -65,7 +65,7 @@ def test_bm25(spark):
 def test_deduplicate(spark):
     rows = [(0, "https://www.a.com/x?utm_source=1", "same title words", "body", "brave", NOW, {"k": "first", "a": "1"}), (1, "https://a.com/x/", "same title words", "body", "rss", NOW, {"k": "late"}), (2, "https://b.com", "other", "", "serp", NOW, None)]
     got = sorted(results.deduplicate(spark.createDataFrame(rows, DDL)).collect(), key=lambda r: r.ord)
-    assert [r.ord for r in got] == [0, 2] and got[0].metadata == {"k": "late", "a": "1"} and got[0].sources == ["brave", "rss"] and got[1].sources is None
+    assert [r.ord for r in got] == [0, 2] and got[0].metadata == {"k": "late", "a": "1"} and got[0].sources == ["brave", "rss"] and got[1].sources is None and [r.copies for r in got] == [2, 1] and got[1].metadata is None
 
 
 def test_similar_pairs_against_all_pairs(spark):
@@ -73,8 +73,11 @@ def test_similar_pairs_against_all_pairs(spark):
     texts = [" ".join(words[(i * k) % 6] for k in range(1, 5 + i % 4)) for i in range(25)]
     df = spark.createDataFrame(list(enumerate(texts)), "ord long, t string").select("ord", T.fingerprint(F.col("t")).alias("sketch"))
     sets = [set(r.sketch.split("|")) for r in df.orderBy("ord").collect()]
-    want = {(i, j) for i in range(25) for j in range(i + 1, 25) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
-    assert {(r.i, r.j) for r in results.similar_pairs(df, 0.5).collect()} == want
+    for least in (0.3, 0.5, 0.85, 1.0):
+        name = [sets.index(x) for x in sets]
+        want = {(name[i], i) for i in range(25) if name[i] != i}
+        want |= {(i, j) for i in range(25) for j in range(i + 1, 25) if name[i] == i and name[j] == j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
+        assert {(r.i, r.j) for r in results.similar_pairs(df, least).collect()} == want
 
 
 def test_suggestions(spark):
@@ -85,8 +88,12 @@ def test_suggestions(spark):
 
 
 def test_chunks():
-    rows = "\n".join("const x = 1;" for _ in range(50))
-    assert [c[:2] for c in chunking.lines(rows, 100, 10)] == [(1, 7), (8, 14), (15, 21), (22, 28), (29, 35), (36, 42), (43, 49), (50, 50)]
+    rows = "\n".join("total += 7 * n" for _ in range(20))  # 15 characters with the line's end
+    assert [c[:2] for c in chunking.lines(rows, 100, 10)] == [(1, 6), (7, 12), (13, 18), (19, 20)]
+    assert [c[:2] for c in chunking.block_lines("a\nbb\n", 11, 3)] == [(11, 11), (12, 12), (13, 13)]
+    big = "class A:\n    x = 1\n    def g(self):\n        return 1\n    def h(self):\n        return '" + "y" * 80 + "'\n"
+    got = {(c[3], c[4], c[2][-16:]) for c in chunking.code(big + "# pad\n", "python", 60, 1) if c[4] in ("g", "h")}
+    assert ("function", "h", "\n// ... truncated"[-16:]) in got and any(k == "function" and n == "g" for k, n, _ in got)
     assert chunking.code("def f():\n    pass", "python")[0][3] == "full"
     assert [c[4] for c in chunking.code("class A:\n    def g(self):\n        return 1\n" + "# pad\n" * 20, "python", 60, 1)] == ["A", "g"]
     assert chunking.paragraphs("short", 100, 50) == []
@@ -121,8 +128,20 @@ def test_control(tmp_path):
     clock[0] = 4
     assert c.get("k") is None and c.prune() == 1
     assert control.parse_selection("1,3-5,7,x,0-2,9", 7) == [1, 3, 4, 5, 7]
-    with pytest.raises(control.ConfigError):
-        control.Config(weights=(2, 0, 0))
+    assert c.get("k") is None and c.stats()["entries"] == 0
+    c.set("z", {"a": 1})
+    assert c.stats()["entries"] == 1 and c.stats()["bytes"] > 0 and c.clear() == 1
+    slept = []
+    b = control.TokenBucket(0.5, lambda: clock[0] + sum(slept))
+    b.acquire(slept.append)
+    b.acquire(slept.append)
+    assert slept == [2.0] and b.tokens == 0
+    k = control.Categories()
+    k.add("Own", ["own."])
+    k.add("Own", ["mine."])
+    assert k.names()[-1] == "Own" and k.rules[-1][1] == ["mine."] and len(control.Categories().rules) == len(k.rules) - 1
+    k.remove("Own")
+    assert "Own" not in k.names()
 
 
 def test_session_and_report(spark):
@@ -139,3 +158,56 @@ def test_plans(spark):
     df = frame(spark, [("https://a.com/1", "t", "s")])
     plan = ranking.top(ranking.scored(df, "t", F.lit(NOW)), ["score"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def test_long_text_without_stops_is_cut_in_one_scan():
+    import time
+
+    text = "word " * 200_000
+    began = time.perf_counter()
+    assert chunking.paragraphs(text) == [text.strip()] or chunking.paragraphs(text) == [text]
+    assert time.perf_counter() - began < 1
+    for text in ("", ".", "...a.b", "a. b! c", "a.b.c?", "?!x"):
+        import re
+
+        assert list(chunking._sentences(text)) == re.findall(r"[^.!?]+[.!?]+", text)
+
+
+def test_empty_query_vector(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert ranking.nearest(e, e.filter("vec_id = 9")).count() == 0
+    assert [(r.vec_id, r.similarity) for r in ranking.nearest(e, e.filter("vec_id = 1")).collect()] == [(1, 1.0), (2, 0.0)]
+    import math
+
+    loose = {r.vec_id: r.similarity for r in ranking.similarities(e, spark.createDataFrame([([2.0, 0.0, 5.0],)], "embedding array<double>"), strict=False).collect()}
+    assert loose[1] == 1.0 and math.isnan(loose[2])
+
+
+def test_feeds_and_pages(spark):
+    now, xml = F.lit(NOW), lambda *p: spark.createDataFrame([(x,) for x in p], "payload string")
+    rss = """<rss><channel><title>c</title><item><title>A &amp; B</title><link>https://a.test/1</link><description><![CDATA[<b>red</b>  text]]></description><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate><dc:creator>Kim</dc:creator></item>
+      <item><title>no link</title></item></channel></rss>"""
+    atom = '<feed><entry><title>E</title><link rel="x" href="https://a.test/2"/><summary>blue</summary><updated>2024-01-05T00:00:00Z</updated><author><name>Lee</name></author></entry></feed>'
+    got = normalise.feed(xml(rss), now).collect()
+    assert [(r.url, r.title, r.snippet, r.ts, r.metadata) for r in got] == [("https://a.test/1", "A & B", "red text", dt.datetime(2024, 1, 2, 2, 4, 5), {"author": "Kim"})]
+    (r,) = normalise.feed(xml(atom), now).collect()
+    assert (r.url, r.snippet, r.ts, r.metadata) == ("https://a.test/2", "blue", dt.datetime(2024, 1, 5), {"author": "Lee"})
+    assert normalise.feed(xml("no xml", None), now).count() == 0
+    page = '<a class="result-link" href="/ad">Ad</a><td class="result-snippet">s0</td><a class="result-link" href="https://b.test">B <b>b</b></a><td class="result-snippet"> s1 &lt; </td>'
+    assert [(r.url, r.title, r.snippet) for r in normalise.lite_page(xml(page), now).collect()] == [("https://b.test", "B b", "s1 <")]
+    answer = '{"AbstractURL":"https://w","AbstractText":"t","RelatedTopics":[{"Text":"One - first thing","FirstURL":"https://1","Topics":[{"Text":"two","FirstURL":"https://2"}]},{"Text":"three","FirstURL":"https://3"}],"Results":[{"Text":"four","FirstURL":"https://4"}]}'
+    assert [r.title for r in normalise.web_answers(xml(answer), now).collect()] == ["Wikipedia", "One", "two", "three", "four"]
+    assert [r.title for r in normalise.web_answers(xml(answer), now, 2).collect()] == ["Wikipedia", "One"]
+    paper = f"<feed><entry><id>https://p/1</id><title> T </title><summary>{'s' * 201}</summary><published>2024-02-03T00:00:00Z</published></entry><entry><id>x</id></entry></feed>"
+    assert [(r.url, r.title, len(r.snippet), r.ts) for r in normalise.papers(xml(paper), now).collect()] == [("https://p/1", "T", 203, dt.datetime(2024, 2, 3))]
+    hn = '{"hits":[{"url":"https://h","title":"T","points":3,"num_comments":2,"author":"a","created_at":"2024-01-01T00:00:00Z"},{"title":"no url"}]}'
+    assert [r.url for r in normalise.adapter("hackernews", xml(hn), now).collect()] == ["https://h"]
+    for name, body, url in (
+        ("searxng", '{"results":[{"url":"https://s","title":"","content":"c"}]}', "https://s"),
+        ("github", '{"items":[{"html_url":"https://g","full_name":"a/b","description":"d","stargazers_count":5,"updated_at":"2024-01-01T00:00:00Z"}]}', "https://g"),
+        ("reddit", '{"data":{"children":[{"data":{"permalink":"/r/x","title":"T","selftext":"s","created_utc":1704067200.0}}]}}', "https://www.reddit.com/r/x"),
+        ("stackoverflow", '{"items":[{"link":"https://o","title":"a &lt; b &amp; c","score":1,"answer_count":2,"creation_date":1704067200}]}', "https://o"),
+    ):
+        (r,) = normalise.adapter(name, xml(body), now).collect()
+        assert r.url == url
+    assert r.title == "a < b & c"

@@ -1,18 +1,22 @@
 """Removal of long word passages that an earlier document already holds.
 
-A relative Lempel-Ziv parse against all documents at once. Each document is indexed as
+A relative Lempel-Ziv parse against blocks of all documents. Each document is cut into
 reference blocks whose bounds depend on content alone: every window of ``width`` words
 picks its smallest 8-word hash as anchor, and the windows with one anchor make a block.
-Equal passages pick equal anchors, so a window can only recur under its own anchor.
+Equal passages pick equal anchors, so a window can only recur in blocks of its own anchor.
 
 * A block whose whole text occurs in an earlier document is a factor as it stands.
-* Where blocks of one anchor differ (the bounds of a factor), their windows are checked
-  one by one, once for each different block text.
+* Where blocks of one anchor differ, they are parsed in order of document against an index
+  of the blocks before them: from the first word on, the window that begins there is looked
+  up; if an earlier document has it, the factor is extended along that reference block as far
+  as the two agree, else the parse goes on a word later. A factor has ``width`` words at least.
+  After a factor the parse goes on with the windows over its end, so none is missed there.
 * Neighbouring factors run together into the longest duplicate spans.
 
-The windows of a block are only listed where blocks differ, so the rows that move are
-about a twentieth of the words. Blocks and windows are compared by an anchor hash and a
-hash of their own, 128 bits together.
+Only blocks that differ send their windows' hashes, so the rows that move are about a
+twentieth of the words. Blocks and windows are compared by an anchor hash and a hash of
+their own, 128 bits together. An anchor with very many different blocks, more than a task
+should index, has its windows joined by hash instead, with the same result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WIDTH, ANCHOR = 50, 8
+#: Different blocks of one anchor that a task indexes.
+INDEXED = 20_000
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -93,23 +99,68 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["g", "u", "d", "c", "s", "n"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The single windows of the blocks in ``parts``."""
+def _open_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The blocks in ``parts``, each with the hashes of its windows."""
     words_of, by_text = WordHashes(), Rolling(_B)
     for batch in batches:
-        out: list[list[np.ndarray]] = []
+        g, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.array(starts, pa.int32()), lists], names=["g", "d", "c", "s", "w"])
+
         texts = batch.column("text").cast(pa.large_binary())
-        for text, d, c, blocks in zip(texts, batch.column("d").to_pylist(), batch.column("c").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+        for text, doc, code, blocks in zip(texts, batch.column("d").to_pylist(), batch.column("c").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             sums = by_text.sums(words_of.of(text.as_py().split()))
-            n = np.array([b["n"] for b in blocks])
-            s = np.repeat(np.array([b["s"] for b in blocks]) - np.cumsum(n) + n, n) + np.arange(n.sum())
-            w = by_text.runs(sums, s, s + width)
-            out.append([np.repeat(np.array([b["g"] for b in blocks]), n), w.view(np.int64), np.full(len(s), d), np.full(len(s), c, np.int32), s.astype(np.int32)])
-            if sum(len(x[0]) for x in out) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["g", "w", "d", "c", "s"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["g", "w", "d", "c", "s"])
+            for b in blocks:
+                at = np.arange(b["s"], b["s"] + b["n"])
+                g.append(b["g"])
+                d.append(doc)
+                c.append(code)
+                starts.append(b["s"])
+                sizes.append(b["n"])
+                hashes.append(by_text.runs(sums, at, at + width))
+                held += b["n"]
+            if held > 200_000:
+                yield rows()
+                g, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], 0
+        if g:
+            yield rows()
+
+
+def parse(windows: list[int], doc: int, index: dict[int, tuple[int, list[int], int]]) -> list[tuple[int, int]]:
+    """Greedy factors (first window, windows) of a block against the blocks of earlier documents in ``index``.
+
+    The block's own windows are added to the index: by window the first document, its block, and the place there.
+    """
+    out, at, n = [], 0, len(windows)
+    while at < n:
+        ref = index.get(windows[at])
+        if ref is None or ref[0] >= doc:
+            at += 1
+            continue
+        _, block, place = ref
+        k = 1
+        while at + k < n and place + k < len(block) and windows[at + k] == block[place + k]:
+            k += 1
+        out.append((at, k))
+        at += k
+    for i, w in enumerate(windows):
+        index.setdefault(w, (doc, windows, i))
+    return out
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Factors (d, c, s, n) of the blocks; rows come sorted by anchor and document."""
+    last, index = None, {}
+    for batch in batches:
+        out = []
+        for g, d, c, s, w in zip(*(batch.column(x).to_pylist() for x in ("g", "d", "c", "s", "w")), strict=True):
+            if g != last:
+                last, index = g, {}
+            out += [(d, c, s + a, k) for a, k in parse(w, d, index)]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=["d", "c", "s", "n"])
 
 
 def join_factors(n_words: int, starts: list[int], counts: list[int], width: int) -> list[tuple[int, int]]:
@@ -143,7 +194,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], names=[*names, *new])
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, indexed: int = INDEXED) -> DataFrame:
     """(doc, n_words, n_removed, spans, kept) for every row of ``docs``.
 
     ``doc`` is a struct of the row's own columns, whatever their names. A word goes if a
@@ -166,9 +217,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     joined = base.join(flags.hint("shuffle_hash"), ["d", "c"], "left")
     held = materialize(joined.select("d", "c", "text", "rest", F.expr("filter(x, b -> b.g is null)").alias("factors"), F.expr("filter(x, b -> b.g is not null)").alias("parts")), "held")
     open_ = held.filter("size(parts) > 0")
-    windows = materialize(open_.select("d", "c", "text", "parts").mapInArrow(partial(_windows, width=width), "g long, w long, d long, c int, s int"), "windows")
-    first = windows.groupBy("g", "w").agg(F.min("d").alias("m"), F.max("d").alias("z")).filter("m < z").select("g", "w", "m")
-    late = windows.join(first, ["g", "w"]).filter("m < d").groupBy("d", "c").agg(F.collect_list(F.struct("s", F.lit(1).alias("n"))).alias("x"))
+    rows = materialize(open_.select("d", "c", "text", "parts").mapInArrow(partial(_open_blocks, width=width), "g long, d long, c int, s int, w array<long>"), "open")
+    hot = materialize(rows.groupBy("g").count().filter(F.col("count") > indexed).select("g"), "hot")
+    some = not hot.isEmpty()
+    dealt = (rows.join(hot, "g", "left_anti") if some else rows).repartition("g").sortWithinPartitions("g", "d", "s")
+    factors = dealt.mapInArrow(_parse_batches, "d long, c int, s int, n int")
+    if some:
+        windows = rows.join(hot, "g", "left_semi").select("g", "d", "c", "s", F.posexplode("w").alias("i", "w")).select("g", "w", "d", "c", (F.col("s") + F.col("i")).alias("s"))
+        first = windows.groupBy("g", "w").agg(F.min("d").alias("m"), F.max("d").alias("z")).filter("m < z").select("g", "w", "m")
+        factors = factors.unionByName(windows.join(first, ["g", "w"]).filter("m < d").select("d", "c", "s", F.lit(1).alias("n")))
+    late = factors.groupBy("d", "c").agg(F.collect_list(F.struct("s", "n")).alias("x"))
     slim = "transform({}, b -> struct(b.s as s, b.n as n))"
     checked = open_.join(late.hint("shuffle_hash"), ["d", "c"], "left").select("text", "rest", F.expr(f"concat({slim.format('factors')}, coalesce(x, array()))").alias("factors"))
     whole = held.filter("parts is null or size(parts) = 0").select("text", "rest", F.expr(slim.format("factors")).alias("factors"))

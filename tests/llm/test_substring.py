@@ -30,9 +30,9 @@ def slow(rows, width):
     return sorted(out, key=str)
 
 
-def fast(spark, rows, width):
+def fast(spark, rows, width, indexed=S.INDEXED):
     df = spark.createDataFrame([(*r, "l", 1, 2) for r in rows], "doc_id long, text string, g string, x long, factors int")
-    got = S.remove_repeats(df, width).select("doc.*", "n_words", "n_removed", F.sha2("kept", 256).alias("k"))
+    got = S.remove_repeats(df, width, indexed).select("doc.*", "n_words", "n_removed", F.sha2("kept", 256).alias("k"))
     assert got.columns == ["doc_id", "text", "g", "x", "factors", "n_words", "n_removed", "k"]
     return sorted([(r.doc_id, r.n_words, r.n_removed, r.k) for r in got.collect()], key=str)
 
@@ -53,9 +53,31 @@ def test_against_brute_force(spark, width, vocabulary):
             t = t[:cut] + p + t[cut:]
         rows.append((rnd.randrange(10_000), rnd.choice([" ", "\n", " \t"]).join(t)))
     rows += [(r[0] + 5, r[1]) for r in rows[:10]] + rows[20:24] + [(rows[0][0], "x " + rows[1][1]), (None, rows[0][1]), (1, None), (2, ""), (None, None)]
-    assert fast(spark, rows, width) == slow(rows, width)
+    want = slow(rows, width)
+    assert fast(spark, rows, width) == want
+    assert fast(spark, rows, width, 2) == want  # anchors with more blocks than a task indexes
 
 
 def test_empty(spark):
     assert fast(spark, [(1, "a")], 50)[0][2] == 0
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parse_takes_longest_factors_and_goes_on_at_their_ends():
+    index = {}
+    assert S.parse([1, 2, 3, 4, 5, 6], 10, index) == []
+    assert S.parse([9, 2, 3, 4, 8, 5, 6, 7], 20, index) == [(1, 3), (5, 2)]
+    assert S.parse([9, 2, 3], 20, index) == [(1, 2)]  # its own document's blocks are not earlier
+    assert S.parse([8, 5, 6, 7, 2], 30, index) == [(0, 4), (4, 1)]  # along the second block
+
+
+def test_parse_against_all_windows():
+    rnd = random.Random(1)
+    for _ in range(200):
+        index, seen = {}, {}
+        for doc in sorted(rnd.randrange(4) for _ in range(6)):
+            block = [rnd.randrange(12) for _ in range(rnd.randrange(1, 15))]
+            found = {a + i for a, n in S.parse(block, doc, index) for i in range(n)}
+            assert found == {i for i, w in enumerate(block) if seen.get(w, doc) < doc}
+            for w in block:
+                seen.setdefault(w, doc)

@@ -1,10 +1,11 @@
 """Token counts of whole texts, with a shortcut for words that are one token.
 
 The vocabulary's model splits text at white space and then by a fixed pattern into
-pre-tokens, and merges each pre-token on its own. A proof made once (``whole_tokens``)
-encodes every vocabulary string alone and keeps those that give one token. Such pre-tokens
-count one without any merging; only the rest go through the merges, each different one
-once while it is remembered.
+pre-tokens, and merges each pre-token on its own. A proof made once, on the driver before
+any text is read (``whole_tokens``), encodes every vocabulary string alone and keeps those
+that give one token; the list, no longer than the vocabulary, is sent to all tasks. Such
+pre-tokens count one without any merging; only the rest go through the merges, each
+different one once while a worker remembers it.
 """
 
 from __future__ import annotations
@@ -28,26 +29,32 @@ PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 REMEMBERED = 400_000
 
 
+def _latin(text: str) -> bool:
+    """Whether a text is printable Latin-1."""
+    return text.isprintable() and (text.isascii() or max(text) <= "ÿ")
+
+
 def whole_tokens(tokenizer: Tokenizer, end: str = "</w>") -> frozenset[str]:
     """Vocabulary strings that the tokenizer encodes alone as one token.
 
-    Only lower-case printable ASCII strings that are one pre-token are tried: for those
-    the text is its own normal form, so what holds alone holds within any text.
+    Only lower-case printable Latin-1 strings that are one pre-token are tried: Latin-1 has
+    no combining marks, so such a text is its own normal form, and what holds alone holds
+    within any text.
     """
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     words = sorted({v.removesuffix(end) for v in tokenizer.get_vocab() if v not in special})
-    words = [w for w in words if w and w.isascii() and w.isprintable() and w == w.lower() and " " not in w and PRE_TOKENS.findall(w) == [w]]
+    words = [w for w in words if w and _latin(w) and w == w.lower() and " " not in w and PRE_TOKENS.findall(w) == [w]]
     return frozenset(w for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1)
 
 
 class Counter:
     """Counts tokens by white-space-free chunk; a chunk's count does not depend on others."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.whole = whole_tokens(self.tokenizer)
+        self.whole = whole_tokens(self.tokenizer) if whole is None else whole
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[bytes, int] = {}
 
@@ -58,7 +65,7 @@ class Counter:
         waiting: list[tuple[bytes, int, int]] = []
         for chunk in chunks - self.known.keys():
             text = chunk.decode()
-            if text.isascii() and text.isprintable() and not any(s in text for s in self.special):
+            if _latin(text) and not any(s in text for s in self.special):
                 parts = PRE_TOKENS.findall(text.lower())
                 rest = [p for p in parts if p not in self.whole]
             else:
@@ -73,8 +80,12 @@ class Counter:
         return sum(map(self.known.__getitem__, chunks))
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    counter = Counter(path)
+#: A worker's counters by vocabulary: the next task goes on with what the last remembered.
+_COUNTERS: dict[str, Counter] = {}
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], path: str, whole) -> Iterator[pa.RecordBatch]:
+    counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path, whole.value))
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
@@ -93,7 +104,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     packed = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.text").alias("text"))
     schema = T.StructType([packed.schema["doc"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return packed.mapInArrow(partial(_count_batches, path=path), schema)
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(Tokenizer.from_file(path)))
+    return packed.mapInArrow(partial(_count_batches, path=path, whole=whole), schema)
 
 
 def vocabulary(name: str) -> str:

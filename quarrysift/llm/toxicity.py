@@ -294,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     order = [F.xxhash64("doc_id"), "doc_id"]
     few = [known.filter(f"toxic = {y}").orderBy(*order).limit(settings.max_rows) for y in (1, 0)]
     chosen = few[0].unionByName(few[1])  # at most 2 * max_rows rows of two numbers
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    sample = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "sample")
     # copies of a document repeat a word's context, so that they count once
     units = sample.select("text", "toxic").mapInArrow(_unit_contexts, "unit string, around long, toxic int")
     by_unit = units.groupBy("unit", "around").agg(F.min("toxic").alias("toxic")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))

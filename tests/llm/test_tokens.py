@@ -42,3 +42,16 @@ def test_chunks_join(text):
     chunks = text.encode().split()
     c.learn(set(chunks))
     assert c.count(chunks) == plain(text)
+
+
+def test_latin_letters_against_library():
+    """Every printable Latin-1 sign alone, among letters, and in random words."""
+    rnd = random.Random(8)
+    signs = [chr(c) for c in range(33, 256) if chr(c).isprintable()]
+    words = [w for s in signs for w in (s, f"a{s}b", f"{s}{s}1{s}")] + ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 9))) for _ in range(3000)]
+    words += ["".join(rnd.choice("aeéèêàçöüßñÉÜnrst") for _ in range(rnd.randrange(1, 9))) for _ in range(3000)]
+    c, t = K.Counter(PATH), Tokenizer.from_file(PATH)
+    chunks = [w.encode() for w in words]
+    c.learn(set(chunks))
+    want = [len(e.ids) for e in t.encode_batch(words, add_special_tokens=False)]
+    assert [c.count([x]) for x in chunks] == want

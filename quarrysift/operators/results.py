@@ -93,6 +93,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, key: str = "ord") -> D
     Parts are put in order of rarity; sets that similar share one of their first few, so the
     join is on those only, and each pair is made at its first common part.
     """
+    df = materialize(df.select(key, "sketch"), "sketched")
     classes = materialize(df.groupBy("sketch").agg(F.min(key).alias("id")), "sketches")
     copies = df.select(F.col(key).alias("j"), "sketch").join(classes.select(F.col("id").alias("i"), "sketch"), "sketch").filter("i <> j").select("i", "j", F.lit(1.0).alias("similarity"))
     parts = classes.select("id", F.explode(F.array_distinct(F.split("sketch", r"\|"))).alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, packing, quality, simhash, substring, tokens, toxicity, urls
+from . import chat, decontaminate, mixing, packing, quality, simhash, substring, tokens, toxicity, urls, variants
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_token_counts": tokens.op9_token_counts,
         "op10_mixing": mixing.op10_mixing,
+        "op12_variants": variants.op12_variants,
     }
 
 

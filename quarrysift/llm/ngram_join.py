@@ -46,6 +46,8 @@ SLOT_BITS, WORDS = 18, 8
 LIGHT_MOST, SCAN = 24, 6
 #: Lists up to this length are compared by a join, longer ones in cells; texts and elements in a chunk, two chunks a cell.
 LIST, CHUNK, CHUNK_ELEMENTS = 32, 2048, 1_500_000
+#: Texts asked for by name up to which the names are sent to all tasks; beyond, all texts are dealt by name.
+NAMED = 1_000_000
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
 
 
@@ -178,7 +180,7 @@ def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
             e = [elements(t.as_py(), words_of, shingle) for t in batch.column("text").slice(lo, 1000).cast(pa.large_binary())]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=1) for x in e], np.uint64).view(np.int64)
             at = np.cumsum([0, *map(len, e)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, 1000), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))], names=["c", "node", "elements"])
 
 
 def cell_links(comp: np.ndarray, size: np.ndarray, bits: np.ndarray, minor: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -219,10 +221,11 @@ def _may_link(s: str, t: str, a: str, b: str) -> Column:
     return (5 * F.least(size, other) >= 4 * F.greatest(size, other)) & (differ <= size + other - 2 * common)
 
 
-def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: DataFrame, shingle: int = SHINGLE, most: int = LIST, chunk: int = CHUNK) -> DataFrame:
+def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: DataFrame, shingle: int = SHINGLE, most: int = LIST, chunk: int = CHUNK, repeated: bool = True) -> DataFrame:
     """(node, root) over all links: ``links`` (u, v), and those of the lists of ``heads`` (node, token).
 
     ``reps``: (node, c, size, bits) of each set; ``texts``: (c, text) of each row. All are written tables.
+    ``repeated``: whether rows of ``texts`` may be equal in c.
     """
     least = heads.groupBy("token").agg(F.min("node").alias("pivot"))
     lists = materialize(heads.join(least, "token").filter("node <> pivot").distinct(), "lists")
@@ -232,8 +235,12 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
 
     def held(nodes: DataFrame) -> DataFrame:
         """(node, elements) of ``nodes``."""
-        named = nodes.distinct().join(reps.select("node", "c"), "node").select("c")
-        return materialize(texts.join(named.hint("shuffle_hash"), "c", "left_semi").select("text").mapInArrow(partial(_element_batches, shingle=shingle), "node long, elements array<long>").dropDuplicates(["node"]), "held")
+        named = materialize(nodes.distinct().join(reps.select("node", "c"), "node").select("c"), "named")
+        few = F.broadcast(named) if named.count() <= NAMED else named.hint("shuffle_hash")
+        found = texts.join(few, "c", "left_semi").mapInArrow(partial(_element_batches, shingle=shingle), "c long, node long, elements array<long>")
+        if repeated:
+            found = found.dropDuplicates(["node"])
+        return materialize(found.select("node", "elements"), "held")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose elements are similar."""
@@ -308,7 +315,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, most: int = LIST, c
     links = materialize(light_links(reps.filter(F.col("size") <= light)), "links")
     # whoever may be similar to a heavy set
     heads = some.filter(F.col("size") >= F.lit((4 * (light + 1) + 4) // 5)).select("node", F.explode("head").alias("token"))
-    comp = heavy_links(reps.select("node", "c", "size", "bits"), base.select("c", "text"), heads, links, shingle, most, chunk)
+    repeated = not sets.groupBy("c").count().filter("count > 1").isEmpty()
+    comp = heavy_links(reps.select("node", "c", "size", "bits"), base.select("c", "text"), heads, links, shingle, most, chunk, repeated)
     member = comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct())
     named = member.join(reps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("least"))
     linked = reps.select("node", F.col("least").alias("own")).join(member.join(named, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
-from . import ranking, results
+from . import ranking
+from .rounds import Buckets
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -49,25 +49,25 @@ def embedded(df: DataFrame, text: str, embed: Embedder, together: int = 10) -> D
 
 
 class Index:
-    """Vectors by URL in a written table; a URL once indexed is not embedded again."""
+    """Vectors by URL in a bucketed table; a URL once indexed is not embedded again, nor its vector written."""
 
     def __init__(self, embed: Embedder):
-        self.embed, self.rows = embed, None
+        self.embed, self.table = embed, None
 
     def add(self, found: DataFrame) -> None:
-        """Index results by title and snippet."""
-        new = found.dropDuplicates(["url"]) if self.rows is None else results.not_indexed(found.dropDuplicates(["url"]), self.rows)
-        vectors = embedded(new.select("url", F.concat_ws(" ", "title", "snippet").alias("text")), "text", self.embed).select("url", "embedding")
-        self.rows = materialize(vectors if self.rows is None else self.rows.unionByName(vectors), "index")
+        """Index results by title and snippet; of equal URLs among them the last one by ``ord``."""
+        self.table = self.table or Buckets(found.sparkSession, "url")
+        last = found.groupBy("url").agg(F.max_by(F.concat_ws(" ", "title", "snippet"), "ord").alias("text"))
+        self.table.append(embedded(self.table.unknown(last), "text", self.embed).select("url", "embedding"))
 
     def search(self, query: str, n: int = 10) -> DataFrame:
         """(url, similarity) of the n nearest."""
         vector = [float(x) for x in self.embed([query])[0]]
-        one = self.rows.sparkSession.range(1).select(F.array(*map(F.lit, vector)).alias("embedding"))
-        return ranking.nearest(self.rows, one, n, "url").select("url", "similarity")
+        one = self.table.spark.range(1).select(F.array(*map(F.lit, vector)).alias("embedding"))
+        return ranking.nearest(self.table.read(), one, n, "url").select("url", "similarity")
 
     def stats(self) -> dict:
-        return {"vectors": 0 if self.rows is None else self.rows.count()}
+        return {"vectors": 0 if self.table is None else self.table.read().count()}
 
     def available(self) -> bool:
         try:
@@ -76,4 +76,6 @@ class Index:
             return False
 
     def clear(self) -> None:
-        self.rows = None
+        if self.table is not None:
+            self.table.drop()
+        self.table = None

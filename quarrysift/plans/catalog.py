@@ -10,8 +10,12 @@ from ..operators import chunking as K
 from ..operators import ranking as R
 from ..operators import refine as Q
 from ..operators import results as S
-from ..session import table
+from ..operators import rounds as A
+from ..operators import rules as L
+from ..operators import vectors as V
+from ..session import scratch, table
 from ..sources import normalise as N
+from ..streaming import feed
 from . import corpora as C
 from . import output as O
 
@@ -385,14 +389,53 @@ def anchor_title(spark, d):
     return table(spark, d, "pages").select("page_id", T.anchor_title(F.col("html"), F.col("url")).alias("title"))
 
 
-@query()
+def _sql_strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^{C._SPACE}+|{C._SPACE}+$', '', 'g')"
+
+
+def _sql_sentences(text: str, most: int, least: int) -> str:
+    parts = f"list_transform([regexp_extract_all({text}, '[^.!?]+[.!?]+')], lambda f: case when len(f) > 0 then f else [{text}] end)[1]"
+    states = f"list_prepend({{'cur': '', 'out': []::varchar[]}}, list_transform({parts}, lambda s: {{'cur': s, 'out': []::varchar[]}}))"
+    step = f"""case when length(a.cur) + length(x.cur) > {most} then {{'cur': x.cur, 'out': case when length(a.cur) >= {least} then list_append(a.out, {_sql_strip("a.cur")}) else a.out end}} else {{'cur': a.cur || x.cur, 'out': a.out}} end"""
+    return f"list_transform([list_reduce({states}, lambda a, x: {step})], lambda e: case when e.cur <> '' then list_append(e.out, {_sql_strip('e.cur')}) else e.out end)[1]"
+
+
+def _sql_paragraphs(text: str, most: int = 2000, least: int = 100, overlap: int = 200) -> str:
+    """One paragraph a step of a recursive query: cur is open, done came out at this step."""
+    return rf"""with recursive parts as (select doc_id, string_split_regex({text}, '\n\n+') as p from documents where text is not null),
+  walk as (select doc_id, p, 0 as i, '' as cur, []::varchar[] as done from parts
+    union all select doc_id, p, i + 1, case when fits then joined when length(begun) > {most} then coalesce(cut[-1], '') else begun end,
+      case when fits then [] else list_concat(case when length(cur) >= {least} then [cur] else [] end, case when length(begun) > {most} then cut[:-2] else [] end) end
+    from (select *, case when not fits and length(begun) > {most} then {_sql_sentences("begun", most, least)} end as cut
+      from (select *, length(cur) + length(p[i + 1]) + 2 <= {most} as fits, cur || case when cur <> '' then chr(10) || chr(10) else '' end || p[i + 1] as joined, case when cur <> '' then right(cur, {overlap}) || chr(10) || chr(10) else '' end || p[i + 1] as begun from walk where i < len(p)))),
+  rows as (select doc_id, i, unnest(done) as content, unnest(range(len(done))) as k from walk union all select doc_id, i + 1, cur, 0 from walk where i = len(p) and length(cur) >= {least})
+  select doc_id, cast(row_number() over (partition by doc_id order by i, k) - 1 as int) as chunk, content from rows"""
+
+
+@query(_sql_paragraphs("text"))
 def text_chunks(spark, d):
-    return K.chunked(table(spark, d, "documents"), K.paragraphs, "doc_id", "text")
+    return K.chunked(table(spark, d, "documents"), K.paragraphs(F.col("text")), "doc_id")
 
 
-@query()
+@query(_sql_paragraphs("replace(text, chr(10), chr(10) || chr(10))", 600, 60, 50))
+def paragraph_chunks(spark, d):
+    """Each line of a text as a paragraph."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return K.chunked(table(spark, d, "documents"), K.paragraphs(text, 600, 60, 50), "doc_id")
+
+
+_LINE_STEP = """list_transform([a.size + length(y.line) + 1 > 1000 and a.at > a.first], lambda f: list_transform([greatest(a.first, a.at - 2)], lambda b:
+  {'line': '', 'size': case when f then length(array_to_string(list_slice(r, b + 1, a.at), chr(10))) else a.size end + length(y.line) + 1, 'first': case when f then b else a.first end, 'at': a.at + 1, 'out': case when f then list_append(a.out, {'a': a.first, 'b': a.at}) else a.out end})[1])[1]"""
+
+
+@query(f"""with t as (select doc_id, string_split(text, chr(10)) as r from documents where text is not null),
+  s as (select doc_id, r, list_prepend({{'line': '', 'size': 0::bigint, 'first': 0::bigint, 'at': 0::bigint, 'out': []::struct(a bigint, b bigint)[]}}, list_transform(r, lambda z: {{'line': z, 'size': 0::bigint, 'first': 0::bigint, 'at': 0::bigint, 'out': []::struct(a bigint, b bigint)[]}})) as x from t),
+  e as (select doc_id, r, list_reduce(x, lambda a, y: {_LINE_STEP}) as e from s),
+  c as (select doc_id, list_filter(list_transform(list_append(e.out, {{'a': e.first, 'b': e.at}}), lambda b: {{'first_line': cast(b.a + 1 as int), 'last_line': cast(b.b as int), 'content': array_to_string(list_slice(r, b.a + 1, b.b), chr(10))}}), lambda c: length(c.content) >= 100) as c from e)
+  select doc_id, cast(k as int) as chunk, c[k + 1].first_line as first_line, c[k + 1].last_line as last_line, c[k + 1].content as content from (select doc_id, c, unnest(range(len(c))) as k from c)""")
 def line_chunks(spark, d):
-    return K.chunked(table(spark, d, "documents"), lambda t: [c for _, _, c in K.lines(t, 1000)], "doc_id", "text")
+    """Runs of lines of up to 1000 characters, the last two lines of each repeated in the next."""
+    return K.chunked(table(spark, d, "documents"), K.line_blocks(F.col("text"), 1000, 100, 160), "doc_id")
 
 
 @query(f"with {C.SQL_PAGES} select ord, url, title, snippet, 'serp' as source, timestamp '2024-03-01 00:00:00' - to_days(cast(ord % 30 as int)) as ts from res where contains({C.sql_host()}, 'example') and not coalesce(contains({C.sql_host()}, 'spam'), false) order by ord limit 60")
@@ -513,6 +556,69 @@ def feed_normalize(spark, d):
     return N.feed(p, C.as_of()).select("ord", "url", "title", "snippet", "source", "ts", F.col("metadata")["author"].alias("author"))
 
 
+def _turns(spark, d) -> A.Rounds:
+    """The turns of all conversations as rounds, distinct by first word."""
+    c = table(spark, d, "conversations")
+    found = c.select(F.col("conv_id").alias("ord"), "turn", F.lower(F.substring_index("text", " ", 1)).alias("url"), F.col("role").alias("source"), F.create_map(F.lit("conv"), F.col("conv_id").cast("string")).alias("metadata"))
+    r = A.Rounds(spark, F.col("url"), 8)
+    for turn in range(c.agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0] + 1):
+        r.add(found.filter(F.col("turn") == turn).drop("turn"))
+    return r
+
+
+_TURNS = "t as materialized (select conv_id as ord, turn, lower(split_part(text, ' ', 1)) as url, role as source from conversations where turn >= 0 and text is not null)"
+
+
+@query(f"""with {_TURNS}, n as (select url, source, min((turn, ord)) as first from t group by all), s as (select url, string_agg(source, ',' order by first) as names from n group by url)
+  select url, arg_min(ord, (turn, ord)) as ord, cast(min(turn) + 1 as int) as round, count(*) as copies, cast(arg_max(ord, (turn, ord)) as varchar) as conv, case when count(*) > 1 then any_value(names) end as sources from t join s using (url) group by url""")
+def rounds_union(spark, d):
+    r = _turns(spark, d).total()
+    return r.filter("url is not null").select("url", "ord", "round", "copies", F.col("metadata")["conv"].alias("conv"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"with {_TURNS}, u as (select url, turn, row_number() over (partition by url order by turn) as k from (select distinct url, turn from t)) select cast(turn + 1 as int) as round, count(*) as keys, count(*) filter (k = 1) as new from u group by turn")
+def rounds_counts(spark, d):
+    r = _turns(spark, d)
+    return r.counts()
+
+
+@query(f"""with {C.SQL_TWICE}, keyed as materialized (select *, {C.sql_normalized()} || ':' || {C.sql_fingerprint("title || ' ' || snippet")} as key from two), {_SOURCES}
+  select min(ord) as ord, arg_min(url, ord) as url, arg_max(page, ord) as page, arg_max(copy, ord) as copy, case when count(*) > 1 then any_value(names) end as sources, count(*) as copies from keyed join s using (key) group by key""")
+def stream_first_wins(spark, d):
+    """The pages and their copies as a stream of files; same rows as dedup_url_fp."""
+    rows = C.pages_twice(spark, d)
+    path = scratch(spark, "arrivals")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    got = feed.run_available(feed.merged_first_wins(stream, "3000 hours", "3000 hours"))
+    return got.select("ord", "url", F.col("metadata")["page_id"].alias("page"), F.col("metadata")["copy"].alias("copy"), F.array_join("sources", ",").alias("sources"), "copies")
+
+
+def _item_rules(spark, d):
+    """Pieces of all benchmark items, some hundreds each, as keyword rules."""
+    items = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    pieces = items.select("item_id", (F.col("item_id") * 1000 + F.col("i")).cast("long").alias("rank"), F.lower(F.substring("text", F.col("i"), 6 + F.col("i") % 9)).alias("pattern"))
+    return pieces.select("rank", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.lit("text").alias("kind"), "pattern")
+
+
+@query("""with r as (select item_id * 1000 + i as rank, 'item ' || item_id as name, lower(substr(text, i, 6 + i % 9)) as pattern from (select item_id, text, unnest(range(1, length(text) + 1)) as i from benchmark)),
+  p as (select distinct pattern from r), m as (select doc_id, pattern from (select doc_id, lower(text) as t from documents) join p on contains(t, pattern)),
+  n as (select doc_id, name, min(rank) as first, count(*) as k from m join r using (pattern) group by all)
+  select doc_id, cast(coalesce(sum(k), 0) as bigint) as n_rules, coalesce(string_agg(name, ',' order by first), 'General') as categories from documents left join n using (doc_id) group by doc_id""")
+def rules_categories(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    met = L.matched_rules(docs, _item_rules(spark, d), "doc_id", {"text": F.lower("text")})
+    return met.select("doc_id", F.size("rules").cast("long").alias("n_rules"), F.array_join(L.categories(F.col("rules")), ",").alias("categories"))
+
+
+@query("""with s as (select q.vec_id as query, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as similarity from embeddings e, embeddings q where q.vec_id % 5 = 0)
+  select query, cast(row_number() over (partition by query order by similarity desc, vec_id) as int) as rank, vec_id, round(similarity, 6) as similarity from s qualify row_number() over (partition by query order by s.similarity desc, vec_id) <= 10""")
+def vectors_topk(spark, d):
+    """Every fifth vector as a query against all."""
+    e = table(spark, d, "embeddings")
+    return V.nearest_many(e, e.filter("vec_id % 5 = 0"), 10, digits=9).withColumn("similarity", F.round("similarity", 6))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

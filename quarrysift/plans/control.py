@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking, refine, results
-from ..session import materialize
+from ..operators.rounds import Rounds
 from .config import Config
 
 
@@ -111,13 +111,15 @@ class Session:
     query: str = ""
     depth: int = 0
     found: DataFrame | None = None
+    rounds: Rounds | None = None
 
     def search(self, query: str) -> DataFrame:
         """One more round; gives its suggestions."""
         self.query, self.depth = self.query or query, self.depth + 1
         new = self.fetch(query)
-        both = new if self.found is None else self.found.unionByName(new, allowMissingColumns=True)
-        self.found = materialize(results.deduplicate(both.select(*[c for c in both.columns if c not in ("sources", "copies")]), results.dedup_key(self.config.by_url, self.config.by_content)), "session")
+        self.rounds = self.rounds or Rounds(new.sparkSession, results.dedup_key(self.config.by_url, self.config.by_content))
+        self.rounds.add(new)
+        self.found = self.rounds.total().drop("round")
         return refine.suggestions(new, query)
 
     def final(self, n: int | None = None) -> DataFrame:

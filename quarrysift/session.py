@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="quarrysift-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="quarrysift-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table of this process."""
+    return f"{shared_dir(spark)}/quarrysift-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     not computed again. ``cleanup`` removes the tables of this process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrysift-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,10 +1,20 @@
-"""A stream of results: first arrivals of each key within a watermark, scored as they come."""
+"""A stream of results: first arrivals of each key within a watermark, scored as they come; merged first rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
 
 from ..operators import ranking, results
+from ..session import scratch
+
+#: Map state and timers need this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def first_arrivals(stream: DataFrame, delay: str = "1 hour", key: Column | None = None) -> DataFrame:
@@ -15,3 +25,104 @@ def first_arrivals(stream: DataFrame, delay: str = "1 hour", key: Column | None
 
 def scored_stream(stream: DataFrame, query: str, as_of: Column, delay: str = "1 hour") -> DataFrame:
     return ranking.scored(first_arrivals(stream, delay), query, as_of)
+
+
+class FirstWins(StatefulProcessor):
+    """State of one key: its row of least ``ord``, and by name each metadata entry of greatest ``ord`` and each source's least.
+
+    So the outcome does not depend on the order of arrival. Each batch puts out the key's row as
+    it stands; ``keep`` milliseconds after the latest event of the key it is put out as final, and
+    its state is dropped.
+    """
+
+    def __init__(self, row: StructType, keep: int):
+        self.row, self.keep = row, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "ord long, copies long, latest long, row binary")
+        self.entries = handle.getMapState("entries", "name string", "ord long, value string")
+        self.sources = handle.getMapState("sources", "name string", "ord long")
+
+    def _state(self, key: tuple, final: bool) -> pd.DataFrame:
+        import pickle
+
+        _, copies, _, row = self.first.get()
+        names = [n for _, n in sorted((v[0], k[0]) for k, v in self.sources.iterator())]
+        metadata = [(k[0], v[1]) for k, v in sorted(self.entries.iterator(), key=lambda e: e[0][0])]
+        columns = dict(zip(self.row.names, ([x] for x in pickle.loads(bytes(row))), strict=True))
+        return pd.DataFrame({"key": [key[0]], **columns, "metadata": [dict(metadata) or None], "sources": [names if copies > 1 else None], "copies": [copies], "final": [final]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        import pickle
+
+        ord_, copies, latest, row = self.first.get() if self.first.exists() else (None, 0, 0, None)
+        old = latest
+        entries, sources = {}, {}
+        for part in rows:
+            for r in part.itertuples(index=False):
+                copies += 1
+                if ord_ is None or r.ord < ord_:
+                    ord_, row = int(r.ord), pickle.dumps([getattr(r, n) for n in self.row.names])
+                latest = max(latest, int(r.ts.value // 1_000_000))
+                sources[r.source] = min(int(r.ord), sources.get(r.source, int(r.ord)))
+                for name, value in dict(r.metadata or {}).items():
+                    if name not in entries or entries[name][0] <= r.ord:
+                        entries[name] = (int(r.ord), value)
+        for name, (at, value) in entries.items():
+            if not self.entries.containsKey((name,)) or self.entries.getValue((name,))[0] <= at:
+                self.entries.updateValue((name,), (at, value))
+        for name, at in sources.items():
+            if not self.sources.containsKey((name,)) or self.sources.getValue((name,))[0] > at:
+                self.sources.updateValue((name,), (at,))
+        self.first.update((ord_, copies, latest, row))
+        if latest != old:
+            if old:
+                self.handle.deleteTimer(old + self.keep)
+            self.handle.registerTimer(latest + self.keep)
+        yield self._state(key, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self._state(key, True)
+        for state in (self.first, self.entries, self.sources):
+            state.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def merged_first_wins(stream: DataFrame, delay: str = "1 hour", keep: str = "1 hour", key: Column | None = None) -> DataFrame:
+    """Updates of each key of a stream of results: its first row by ``ord`` with the metadata and sources of all its rows.
+
+    An event older than the watermark (``delay`` behind the latest) is dropped. A key's row is final
+    ``keep`` after its latest event; a later one of that key begins anew. The session needs ``STORE``
+    as its state store.
+    """
+    fields = [f for f in stream.schema if f.name not in ("metadata", "sources", "copies")]
+    row = StructType(fields)
+    out = StructType([StructField("key", StructType.fromDDL("key string")["key"].dataType), *fields, *StructType.fromDDL("metadata map<string,string>, sources array<string>, copies long, final boolean")])
+    keyed = stream.withColumn("key", results.dedup_key() if key is None else key).withWatermark("ts", delay)
+    millis = int(pd.Timedelta(keep).total_seconds() * 1000)
+    return keyed.groupBy("key").transformWithStateInPandas(FirstWins(row, millis), out, "Update", "EventTime")
+
+
+def run_available(stream: DataFrame, name: str = "updates") -> DataFrame:
+    """Run a stream of updates over all that is there, and give each key's last one.
+
+    Batches are written to the shared folder by their number, so that one run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    path, at = scratch(spark, name), scratch(spark, "offsets")
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, STORE)
+    try:
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True)
+        query = query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(kind, before)
+    updates = spark.read.schema(StructType([*stream.schema, *StructType.fromDDL("batch long")])).parquet(path)
+    last = updates.groupBy("key").agg(F.max_by(F.struct(*stream.columns), F.struct("batch", "final")).alias("r"))
+    return last.select("r.*")

@@ -96,7 +96,6 @@ def test_chunks():
     assert ("function", "h", "\n// ... truncated"[-16:]) in got and any(k == "function" and n == "g" for k, n, _ in got)
     assert chunking.code("def f():\n    pass", "python")[0][3] == "full"
     assert [c[4] for c in chunking.code("class A:\n    def g(self):\n        return 1\n" + "# pad\n" * 20, "python", 60, 1)] == ["A", "g"]
-    assert chunking.paragraphs("short", 100, 50) == []
 
 
 def test_sources(spark):
@@ -160,19 +159,6 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
 
 
-def test_long_text_without_stops_is_cut_in_one_scan():
-    import time
-
-    text = "word " * 200_000
-    began = time.perf_counter()
-    assert chunking.paragraphs(text) == [text.strip()] or chunking.paragraphs(text) == [text]
-    assert time.perf_counter() - began < 1
-    for text in ("", ".", "...a.b", "a. b! c", "a.b.c?", "?!x"):
-        import re
-
-        assert list(chunking._sentences(text)) == re.findall(r"[^.!?]+[.!?]+", text)
-
-
 def test_empty_query_vector(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert ranking.nearest(e, e.filter("vec_id = 9")).count() == 0

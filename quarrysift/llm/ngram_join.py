@@ -11,7 +11,7 @@ Equal sets are one node, so copies cost one row each and no pairs.
 * Heavy sets: elements are put in an order fixed for all, frequent ones last (by a sketch of
   fixed size that counts every document). Two similar sets share one of the first fifth of
   their elements, so only these have inverted lists. A list is scanned against the least of its nodes
-  first; then, in lists that hold several classes yet, what is not of the list's largest class is
+  first (in each batch of documents, then of all); then, in lists that hold several classes yet, what is not of the list's largest class is
   compared with all others. Each pair must pass a parity sketch (its differing bits never
   outnumber the elements that differ) before elements are compared; that decides.
 * The boundary is the size at which enumerating subsets costs more rows than scanning lists.
@@ -84,12 +84,15 @@ def _slot(e: np.ndarray) -> np.ndarray:
 def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     words_of, total, width = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64), 4096
     for batch in batches:
+        slots, held = [], 0
         for t in batch.column("text").cast(pa.large_binary()):
-            e = elements(t.as_py(), words_of, shingle)
-            if len(e) > 5000:
-                total += np.bincount(_slot(e), minlength=len(total))
-            else:
-                np.add.at(total, _slot(e), 1)
+            slots.append(_slot(elements(t.as_py(), words_of, shingle)))
+            held += len(slots[-1])
+            if held > 500_000:
+                total += np.bincount(np.concatenate(slots), minlength=len(total))
+                slots, held = [], 0
+        if slots:
+            total += np.bincount(np.concatenate(slots), minlength=len(total))
     rows = total.reshape(-1, width)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.int64()))], names=["block", "counts"])
 
@@ -120,7 +123,8 @@ def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int, order: np.ndar
             e = elements(t.as_py(), words_of, shingle)
             node.append(xxhash.xxh64_intdigest(e.tobytes(), seed=1))
             size.append(len(e))
-            first = np.argsort((order[_slot(e)].astype(np.uint64) << np.uint64(57)) | (e >> np.uint64(7)), kind="stable")[: len(e) // 5 + 1]
+            rank = (order[_slot(e)].astype(np.uint64) << np.uint64(57)) | (e >> np.uint64(7))
+            first = np.argpartition(rank, len(e) // 5)[: len(e) // 5 + 1] if len(e) else slice(0)
             heads.append(e[first].view(np.int64))
             bits.append(_parity(e))
             few.append(e.view(np.int64) if len(e) <= LIGHT_MOST else None)
@@ -173,6 +177,36 @@ def light_links(small: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
 
 
+def _head_batches(batches: Iterator[pa.RecordBatch], least_only: bool) -> Iterator[pa.RecordBatch]:
+    """(token, node, pivot) of the nodes of each token in a batch: the least one, or all others; pivot is the least."""
+    for batch in batches:
+        lists = pa.concat_arrays([batch.column("head")])
+        token = lists.flatten().to_numpy()
+        node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        new = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
+        once = new | np.r_[True, node[1:] != node[:-1]] if len(token) else new
+        least = node[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))] if len(node) else node
+        keep = new if least_only else once & ~new
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, least)], names=["token", "node", "pivot"])
+
+
+def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, node, pivot) of all but the least node of each token; rows come sorted by token and node."""
+    last_token, last_node, least = None, None, None
+    for batch in batches:
+        token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+        if not len(token):
+            continue
+        new, other = np.r_[token[0] != last_token, token[1:] != token[:-1]], np.r_[node[0] != last_node, node[1:] != node[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
+        pivot = np.where(at >= 0, node[np.maximum(at, 0)], least if least is not None else 0)
+        last_token, last_node, least = token[-1], node[-1], pivot[-1]
+        keep = ~new & other
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, pivot)], names=["token", "node", "pivot"])
+
+
 def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     words_of = WordHashes()
     for batch in batches:
@@ -222,13 +256,15 @@ def _may_link(s: str, t: str, a: str, b: str) -> Column:
 
 
 def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: DataFrame, shingle: int = SHINGLE, most: int = LIST, chunk: int = CHUNK, repeated: bool = True) -> DataFrame:
-    """(node, root) over all links: ``links`` (u, v), and those of the lists of ``heads`` (node, token).
+    """(node, root) over all links: ``links`` (u, v), and those of the lists of ``heads`` (node, head: its listed elements).
 
     ``reps``: (node, c, size, bits) of each set; ``texts``: (c, text) of each row. All are written tables.
     ``repeated``: whether rows of ``texts`` may be equal in c.
     """
-    least = heads.groupBy("token").agg(F.min("node").alias("pivot"))
-    lists = materialize(heads.join(least, "token").filter("node <> pivot").distinct(), "lists")
+    # a frequent token leaves one row of a batch, so that none is much for the task that its rows meet in
+    ddl = "token long, node long, pivot long"
+    firsts = heads.mapInArrow(partial(_head_batches, least_only=True), ddl).select("token", "node").repartition("token").sortWithinPartitions("token", "node")
+    lists = materialize(firsts.mapInArrow(_list_batches, ddl).unionByName(heads.mapInArrow(partial(_head_batches, least_only=False), ddl)), "lists")
     part = reps.select("node", "size", "bits")
     side = lambda x, y: part.select(F.col("node").alias(x), F.col("size").alias(f"s{y}"), F.col("bits").alias(f"b{y}"))
     sieve = lambda pairs: pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").filter(_may_link("sa", "sb", "ba", "bb"))
@@ -257,19 +293,19 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     # each node and the pivots of its lists, those first that share most lists with it
     pairs = lists.groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("k"))
     near = materialize(sieve(pairs).select("u", "v", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("k"), "v")).alias("rank")), "near")
-    found = links.unionByName(similar(near.filter("rank <= 2")))
+    found = links.unionByName(similar(near.filter("rank = 1")))
     comp = classes(found)
-    late = of(of(near.filter("rank > 2"), comp, "u", "cu"), comp, "v", "cv").filter("cu <> cv")
+    late = of(of(near.filter("rank > 1"), comp, "u", "cu"), comp, "v", "cv").filter("cu <> cv")
     late = materialize(late.select("u", "v"), "late")
     tie = lambda c: c.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not late.isEmpty():
         comp = classes(tie(comp).unionByName(similar(late)))
 
     # lists of three or more nodes that hold several classes yet
-    members = lists.unionByName(lists.select("token", F.col("pivot").alias("node"), "pivot").distinct())
+    members = lists.select("token", "node").unionByName(lists.select("token", F.col("pivot").alias("node"))).distinct()
     members = of(members, comp, "node", "comp")
     open_ = members.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("k > 2 and a <> b").select("token", "k")
-    members = materialize(members.join(open_, "token").select("token", "node", "pivot", "comp", "k"), "members")
+    members = materialize(members.join(open_, "token").select("token", "node", "comp", "k"), "members")
     short = members.filter(F.col("k") <= most).join(part, "node")
     half = lambda x, y: short.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{y}"), F.col("size").alias(f"s{y}"), F.col("bits").alias(f"b{y}"))
     cross = half("u", "a").join(half("v", "b"), "token").filter((F.col("u") < F.col("v")) & (F.col("ca") != F.col("cb")) & _may_link("sa", "sb", "ba", "bb"))
@@ -280,7 +316,8 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     if long_.isEmpty():
         return comp
     # lists that share nodes are one group, so that a text moves once for each of its cells
-    group = classes(long_.select(F.col("node").alias("u"), F.col("pivot").alias("v")))
+    first = long_.groupBy("token").agg(F.min("node").alias("v"))
+    group = classes(long_.join(first, "token").select(F.col("node").alias("u"), "v"))
     whole = of(of(long_.select("node").distinct(), group, "node", "group"), comp, "node", "comp").join(part, "node")
     counted = whole.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("e"))
     largest = counted.groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
@@ -314,7 +351,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, most: int = LIST, c
     light = boundary({r[0]: r[1] for r in reps.filter(F.col("size") <= LIGHT_MOST).groupBy("size").count().collect()})
     links = materialize(light_links(reps.filter(F.col("size") <= light)), "links")
     # whoever may be similar to a heavy set
-    heads = some.filter(F.col("size") >= F.lit((4 * (light + 1) + 4) // 5)).select("node", F.explode("head").alias("token"))
+    heads = some.filter(F.col("size") >= F.lit((4 * (light + 1) + 4) // 5)).select("node", "head")
     repeated = not sets.groupBy("c").count().filter("count > 1").isEmpty()
     comp = heavy_links(reps.select("node", "c", "size", "bits"), base.select("c", "text"), heads, links, shingle, most, chunk, repeated)
     member = comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct())

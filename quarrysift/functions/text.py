@@ -116,14 +116,32 @@ def anchor_title(html: Column, text: Column) -> Column:
     return F.when(F.coalesce(found, F.lit("")) != "", found).otherwise(F.substring(text, 1, 100))
 
 
-def relative_date(age: Column, as_of: Column) -> Column:
+# Forms of dates in words and figures, each also with a time of day behind it.
+_DAYS = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy", "yyyy/M/d"]
+_TIMES = ["", " H:mm", " H:mm:ss", " H:mm:ss Z", " h:mm a", " h:mm:ss a"]
+
+
+def lenient_date(text: Column) -> Column:
+    """A timestamp from ISO forms or the usual ones in words and figures, a day's name ignored; null if it is none."""
+    bare = F.trim(F.regexp_replace(text, r"^\s*(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"(?<=\d) ?(?:GMT|UTC|Z)$", " +0000"), r"(?<=\d{4}), (?=\d{1,2}:)", " ")
+    bare = F.regexp_replace(F.initcap(F.regexp_replace(bare, r"(?i)\bsept\b", "Sep")), r"(?<=\d) ?([AaPp][Mm])$", " $1")
+    forms = F.array(*[F.lit(d + t) for d in _DAYS for t in _TIMES])
+    written = bound(bare, lambda b: F.get(F.filter(F.transform(forms, lambda f: F.try_to_timestamp(b, f)), lambda t: t.isNotNull()), F.lit(0)))
+    short = F.regexp_replace(text, r"(T\d{2}:\d{2})Z$", "$1:00Z")
+    return F.coalesce(short.try_cast("timestamp"), F.when(text.rlike(r"\d.*[A-Za-z]{3}|[A-Za-z]{3}.*\d|\d/") & ~text.rlike(r"(?i)\bago\b"), written))
+
+
+def relative_date(age: Column, as_of: Column, fine: bool = True) -> Column:
     """A date or ``n units ago`` as a timestamp before ``as_of``; else ``as_of``.
 
-    Months and years are clamped to the end of a shorter month.
+    Months and years are clamped to the end of a shorter month. Not ``fine``: units under a day
+    are none.
     """
-    unit = F.lower(F.regexp_extract(age, r"(?i)(\d+)\s*(second|minute|hour|day|week|month|year)s?\s*ago", 2))
-    n = F.coalesce(F.regexp_extract(age, r"(?i)(\d+)\s*(second|minute|hour|day|week|month|year)s?\s*ago", 1).try_cast("int"), F.lit(0))
+    units = "second|minute|hour|day|week|month|year" if fine else "day|week|month|year"
+    unit = F.lower(F.regexp_extract(age, rf"(?i)(\d+)\s*({units})s?\s*ago", 2))
+    n = F.coalesce(F.regexp_extract(age, rf"(?i)(\d+)\s*({units})s?\s*ago", 1).try_cast("int"), F.lit(0))
     back = F.when(unit == "second", as_of - F.make_interval(secs=n.cast("decimal(18,6)")))
     for name in ("minute", "hour", "day", "week", "month", "year"):
         back = back.when(unit == name, as_of - F.make_interval(**{{"minute": "mins", "hour": "hours"}.get(name, name + "s"): n}))
-    return F.coalesce(age.try_cast("timestamp"), back, as_of)
+    return F.coalesce(lenient_date(age), back, as_of)

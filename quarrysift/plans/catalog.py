@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.entities import unescape
+from ..operators import cached as H
 from ..operators import chunking as K
 from ..operators import ranking as R
 from ..operators import refine as Q
@@ -14,7 +18,10 @@ from ..operators import rounds as A
 from ..operators import rules as L
 from ..operators import vectors as V
 from ..session import scratch, table
+from ..sources import feeds as W
 from ..sources import normalise as N
+from ..sources import providers
+from ..sources import topics as P
 from ..streaming import feed
 from . import corpora as C
 from . import output as O
@@ -274,11 +281,17 @@ def refine_topn(spark, d):
     return Q.suggestions(C.documents(spark, d), "thing", 20).withColumn("score", F.round("score", 6))
 
 
-@query("""with t as (select ['alpha', 'beta', 'alpha'] as terms) select 'expand' as strategy, unnest(['q x alpha', 'q x beta', 'q x alpha beta']) as query
-  union all select 'narrow', unnest(['"q x" "alpha"', '"q x" "beta"']) union all select 'pivot', unnest(['alpha', 'beta', 'alpha beta alpha'])""")
+_PICKED = "p as (select item_id, w[1] as q, list_slice(w, 2, 4) as t from (select item_id, regexp_extract_all(lower(text), '\\w{3,}') as w from benchmark))"
+
+
+@query(f"""with {_PICKED}, o as (select item_id, 'expand' as strategy, list_append(list_transform(t, lambda x: q || ' ' || x), q || ' ' || t[1] || ' ' || t[2]) as a from p where len(t) >= 2
+  union all select item_id, 'narrow', list_transform(t, lambda x: '"' || q || '" "' || x || '"') from p where len(t) >= 2 union all select item_id, 'pivot', list_append(t, array_to_string(t, ' ')) from p where len(t) >= 2)
+  select distinct item_id, strategy, unnest(a) as query from o""")
 def refine_queries(spark, d):
-    one = spark.range(1).select(F.array(F.lit("alpha"), F.lit("beta"), F.lit("alpha")).alias("t"))
-    return S.union_all([one.select(F.lit(s).alias("strategy"), F.explode(Q.refined_queries("q x", F.col("t"), s)).alias("query")) for s in ("expand", "narrow", "pivot")])
+    """Each item's first word as the query, the next three as terms."""
+    w = T.words(F.col("text"), 3)
+    p = table(spark, d, "benchmark").select("item_id", F.get(w, F.lit(0)).alias("q"), F.slice(w, 2, 3).alias("t")).filter(F.size("t") >= 2)
+    return S.union_all([p.select("item_id", F.lit(s).alias("strategy"), F.explode(Q.refined_queries(F.col("q"), F.col("t"), s)).alias("query")) for s in ("expand", "narrow", "pivot")])
 
 
 _COS = "list_cosine_similarity(e.embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
@@ -316,12 +329,14 @@ def md_plain_text(spark, d):
     return m.select("doc_id", T.markdown_title(F.col("t")).alias("title"), F.md5(T.markdown_text(F.col("t"))).alias("plain"))
 
 
-_FILES = ["a.js", "b.py", "c.tar.rs", "d.xyz", "noext", "e.TS", "f.kt"]
+_ENDS = [".js", ".py", ".tar.rs", ".xyz", "", ".TS", ".kt"]
 
 
-@query(f"select f as file, (map {{'.js': 'javascript', '.py': 'python', '.rs': 'rust', '.kt': 'kotlin'}})[regexp_extract(f, '([.][^.]*)$', 1)] as language from (select unnest({_FILES}) as f)")
+@query(f"select page_id, 'page' || page_id || ({_ENDS})[page_id % 7 + 1] as file, (map {{'.js': 'javascript', '.py': 'python', '.rs': 'rust', '.kt': 'kotlin'}})[regexp_extract(({_ENDS})[page_id % 7 + 1], '([.][^.]*)$', 1)] as language from pages")
 def detect_language(spark, d):
-    return spark.createDataFrame([(f,) for f in _FILES], "file string").select("file", T.language(F.col("file")).alias("language"))
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % 7).cast("int"))
+    files = table(spark, d, "pages").select("page_id", F.concat(F.lit("page"), F.col("page_id").cast("string"), end).alias("file"))
+    return files.select("page_id", "file", T.language(F.col("file")).alias("language"))
 
 
 @query("""with c as (select doc_id, text, substr(text, 1, 300) as t from documents), l as (select *, case when contains(t, ' ') then length(t) - instr(reverse(t), ' ') else -1 end as k from c)
@@ -346,17 +361,63 @@ def json_compact(spark, d):
     return O.json_compact(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
 
 
-@query("select k as term, rpad(repeat('█', cast(floor(s * 10 + 0.5::double) as int)), greatest(10, cast(floor(s * 10 + 0.5::double) as int)), '░') as bar from (values ('a', 0.0::double), ('b', 0.55::double), ('c', 1.0::double), ('d', 1.2::double)) v(k, s)")
+@query(f"with {C.SQL_PAGES}, s as (select ord, round({_SCORE}, 6) as s from res) select ord, rpad(repeat('█', cast(floor(s * 10 + 0.5::double) as int)), greatest(10, cast(floor(s * 10 + 0.5::double) as int)), '░') as bar from s")
 def suggestion_bar(spark, d):
-    bars = spark.createDataFrame([("a", 0.0), ("b", 0.55), ("c", 1.0), ("d", 1.2)], "term string, s double")
-    return bars.select("term", O.score_bar(F.col("s")).alias("bar"))
+    s = R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST).withColumn("score", F.round("score", 6))
+    return s.select("ord", O.score_bar(F.col("score")).alias("bar"))
+
+
+_UNITS = ["second", "minute", "hour", "day", "week", "month", "year"]
+_AGES = """case event_id % 11 when 0 then 'some time' when 1 then strftime(ts, '%b %-d, %Y') when 2 then strftime(ts, '%-d %B %Y %H:%M') when 3 then strftime(ts, '%Y-%m-%d %H:%M:%S')
+  else (event_id % 40) || ' ' || (['second', 'minute', 'hour', 'day', 'week', 'month', 'year'])[event_id % 11 - 3] || case when event_id % 2 = 0 then 's' else '' end || ' ago' end"""
 
 
-@query("""select * from (values ('2 days ago', timestamp '2024-02-28 00:00:00'), ('1 hour ago', timestamp '2024-02-29 23:00:00'), ('3 weeks ago', timestamp '2024-02-09 00:00:00'), ('1 Month ago', timestamp '2024-02-01 00:00:00'),
-  ('2023-05-06', timestamp '2023-05-06 00:00:00'), ('whenever', timestamp '2024-03-01 00:00:00'), ('30 seconds ago', timestamp '2024-02-29 23:59:30')) v(age, ts)""")
+def _sql_back(units: list[str]) -> str:
+    back = {"second": "to_seconds", "minute": "to_minutes", "hour": "to_hours", "day": "to_days", "week": "to_weeks", "month": "to_months", "year": "to_years"}
+    return " ".join(f"when {i + 4} then timestamp '2024-03-01 00:00:00' - {back[u]}(cast(event_id % 40 as int))" for i, u in enumerate(_UNITS) if u in units)
+
+
+@query(f"""select event_id, {_AGES} as age, case event_id % 11 when 1 then date_trunc('day', ts) when 2 then date_trunc('minute', ts) when 3 then date_trunc('second', ts) {_sql_back(_UNITS)} else timestamp '2024-03-01 00:00:00' end as ts,
+  case event_id % 11 when 1 then date_trunc('day', ts) when 2 then date_trunc('minute', ts) when 3 then date_trunc('second', ts) {_sql_back(_UNITS[3:])} else timestamp '2024-03-01 00:00:00' end as whole_days from events""")
 def relative_dates(spark, d):
-    ages = ["2 days ago", "1 hour ago", "3 weeks ago", "1 Month ago", "2023-05-06", "whenever", "30 seconds ago"]
-    return spark.createDataFrame([(a,) for a in ages], "age string").select("age", T.relative_date(F.col("age"), C.as_of()).alias("ts"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    k = F.col("event_id") % 11
+    unit = F.get(F.array(*map(F.lit, _UNITS)), (k - 4).cast("int"))
+    ago = F.concat((F.col("event_id") % 40).cast("string"), F.lit(" "), unit, F.when(F.col("event_id") % 2 == 0, "s").otherwise(""), F.lit(" ago"))
+    age = F.when(k == 0, "some time").when(k == 1, F.date_format("ts", "MMM d, yyyy")).when(k == 2, F.date_format("ts", "d MMMM yyyy HH:mm")).when(k == 3, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(ago)
+    ages = e.select("event_id", age.alias("age"))
+    return ages.select("event_id", "age", T.relative_date(F.col("age"), C.as_of()).alias("ts"), T.relative_date(F.col("age"), C.as_of(), fine=False).alias("whole_days"))
+
+
+@query(f"with {C.SQL_PAGES} select page_id, '<' || content || '> & é ½ …' as text from raw")
+def entities(spark, d):
+    """Every character of the pages' texts as a name or number, decoded again."""
+    code = lambda c, i: F.when(i % 2 == 0, F.concat(F.lit("#"), F.ascii(c).cast("string"))).otherwise(F.concat(F.lit("#x"), F.hex(F.ascii(c))))
+    name = F.from_json(F.lit('{"<": "lt", ">": "gt", "&": "amp", "é": "eacute", "½": "frac12", "…": "hellip"}'), "map<string,string>")
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("<"), T.html_content(F.col("html"), 10**9), F.lit("> & é ½ …")).alias("t"))
+    coded = F.array_join(F.transform(F.split("t", ""), lambda c, i: F.concat(F.lit("&"), F.coalesce(F.try_element_at(name, c), code(c, i)), F.lit(";"))), "")
+    return p.select("page_id", unescape(coded).alias("text"))
+
+
+_NESTED = ["0", "0.0", "0.0.0", "0.0.0.0", "0.0.0.0.0", "0.0.0.1", "0.0.1", "0.1", "1"]
+
+
+@query(f"""with {C.SQL_PAGES}, n as (select unnest({_NESTED}) as path, unnest(range({len(_NESTED)})) as place), t as (select ord * 100 as first, url || '#' || path as url, title || ' ' || path as text, path, place from res, n where path <> '0.0.0' or ord % 3 <> 0),
+  k as (select *, row_number() over (partition by first order by place) as k from t)
+  select first + k - 1 as ord, url, case when length(path) % 4 = 1 then 'T ' || path else substr(text, 1, 100) end as title, text as snippet, 'related' as type from k where k <= 6""")
+def topics_normalize(spark, d):
+    """A payload for each page, its topics nested five deep; every third one has an inner topic without address."""
+    def topic(path: str, inner: list):
+        own = [F.concat("url", F.lit(f"#{path}")).alias("FirstURL"), F.concat("title", F.lit(f" {path}")).alias("Text")]
+        if path == "0.0.0":
+            own[0] = F.when(F.col("ord") % 3 != 0, own[0]).alias("FirstURL")
+        own.append(F.lit(f'<a href="x">T {path}</a> more' if len(path) % 4 == 1 else "plain").alias("Result"))
+        return F.struct(*own, *([F.to_variant_object(F.array(*inner)).alias("Topics")] if inner else []))
+
+    tree = lambda path: topic(path, [F.to_variant_object(tree(c)) for c in _NESTED if c.startswith(path + ".") and c.count(".") == path.count(".") + 1])
+    payload = F.to_json(F.struct(F.array(F.to_variant_object(tree("0")), F.to_variant_object(tree("1"))).alias("RelatedTopics")))
+    p = C.pages(spark, d).select((F.col("ord") * 100).alias("ord"), payload.alias("payload"))
+    return P.instant_answers(p, C.as_of(), 6).select("ord", "url", "title", "snippet", F.col("metadata")["type"].alias("type"))
 
 
 @query("select conv_id, turn, sha256('brave:' || role || ':' || turn || ':a.org,b.org:c.org:en:2024-01-01/2024-02-01') as key from conversations")
@@ -553,7 +614,7 @@ def feed_normalize(spark, d):
     tag = lambda n, c: F.concat(F.lit(f"<{n}><![CDATA["), c, F.lit(f"]]></{n}>"))
     item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("url")), tag("description", F.col("snippet")), tag("dc:creator", F.concat(F.lit("by "), F.col("ord").cast("string"))), tag("pubDate", F.date_format("ts", "dd MMM yyyy HH:mm:ss' GMT'")), F.lit("</item>"))
     p = C.pages(spark, d).select("ord", F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
-    return N.feed(p, C.as_of()).select("ord", "url", "title", "snippet", "source", "ts", F.col("metadata")["author"].alias("author"))
+    return W.feed(p, C.as_of()).select("ord", "url", "title", "snippet", "source", "ts", F.col("metadata")["author"].alias("author"))
 
 
 def _turns(spark, d) -> A.Rounds:
@@ -619,6 +680,71 @@ def vectors_topk(spark, d):
     return V.nearest_many(e, e.filter("vec_id % 5 = 0"), 10, digits=9).withColumn("similarity", F.round("similarity", 6))
 
 
+def _read_cut(path: str, query: str, limit: int):
+    """Results of one provider from the files that were cut for it."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    for r in ds.dataset(at, filesystem=files).to_table(["ord", "url", "title", "snippet"]).sort_by("ord").to_pylist():
+        yield r["url"], r["title"], r["snippet"], None
+
+
+class Gone(OSError):
+    status = 410
+
+
+def _fail(error: Exception, query: str, limit: int):
+    raise error
+
+
+@query(f"""with {C.SQL_PAGES} select source, cast(row_number() over (partition by source order by ord) - 1 as int) as place, url, title, null as message, null as code from res
+  union all select 'broken', -1, null, null, 'no answer', null union all select 'gone', -1, null, null, 'gone for good', 410""")
+def provider_fetch(spark, d):
+    """Four providers with the pages cut among them, and two that fail."""
+    path = scratch(spark, "cut")
+    C.pages(spark, d).select("source", "ord", "url", "title", "snippet").write.partitionBy("source").parquet(path)
+    fetchers = {s: functools.partial(_read_cut, f"{path}/source={s}") for s in C.SOURCES}
+    fetchers |= {"broken": functools.partial(_fail, OSError("no answer")), "gone": functools.partial(_fail, Gone("gone for good"))}
+    providers.register(spark, fetchers, "quarrysift_pages")
+    rows = spark.read.format("quarrysift_pages").option("limit", str(10**9)).option("wait", "0.01").load()
+    good, bad = providers.fetched(rows)
+    errors = bad.select(F.col("provider").alias("source"), F.lit(-1).alias("place"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), "message", F.col("statusCode").alias("code"))
+    return good.select("source", "place", "url", "title", F.lit(None).cast("string").alias("message"), F.lit(None).cast("int").alias("code")).unionByName(errors)
+
+
+@query("""with r as (select event_id, user_id as key, ts as at from events), e as (select user_id as key, ts as at, event_id % 5 as n, event_type as value from events where event_id % 3 = 0 and event_id % 5 > 0),
+  m as (select event_id, arg_max(e.at, (e.at, n, value)) as hit, arg_max(value, (e.at, n, value)) as value from r join e on e.key = r.key and e.at <= r.at and e.at >= r.at - to_days(1) group by event_id)
+  select event_id, hit, value from r left join m using (event_id)""")
+def cache_lookup(spark, d):
+    """All events as requests of their user; every third one has left an entry, good for a day."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withColumn("key", F.col("user_id"))
+    entries = e.filter("event_id % 3 = 0").select("key", "at", (F.col("event_id") % 5).alias("n"), F.col("event_type").alias("value"))
+    return H.lookup(e.select("event_id", "key", "at"), entries, 86_400, ["n", "value"]).select("event_id", "hit", "value")
+
+
+@query(rf"""with {C.SQL_PAGES}, i as (select ord, url, title, trim(regexp_replace(regexp_replace(snippet, '<[^>]*>', '', 'g'), '{C._SPACE}+', ' ', 'g')) as snippet, ts from res)
+  select 100000 * (ord // 50) + ord % 50 as ord, url, case when trim(title) = '' then 'Untitled' else trim(title) end as title, substr(snippet, 1, 500) as snippet, ts, case when ord // 50 % 2 = 0 then 'by ' || ord end as author, null as message from i where ord // 50 % 4 <> 3
+  union all select distinct 100000 * (ord // 50), null, null, null, null::timestamp, null, 'no well-formed feed' from i where ord // 50 % 4 = 3""")
+def feed_documents(spark, d):
+    """Fifty pages to a feed, RSS and Atom by turns; every fourth feed is cut off in the middle. Items and errors."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda n, c, more="": F.concat(F.lit(f"<{n}{more}>"), c, F.lit(f"</{n}>"))
+    # one element's text in two CDATA parts, an item's end inside it, and one in a comment
+    halves = F.concat(F.lit("<![CDATA["), F.regexp_replace("snippet", r"\]\]>", ""), F.lit(" <b></item></b>]]><![CDATA[]]>"))
+    rss = F.concat(F.lit("<item><!-- <item> </item> -->"), tag("title", plain(F.col("title"))), tag("link", plain(F.col("url"))), tag("description", halves), tag("dc:creator", F.concat(F.lit("by "), F.col("ord").cast("string"))), tag("pubDate", F.date_format("ts", "dd MMM yyyy HH:mm:ss' GMT'")), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), tag("title", plain(F.col("title")), ' type="text"'), F.lit('<link rel="self" href="https://x.test/"/><link href="'), F.replace(plain(F.col("url")), F.lit('"'), F.lit("&quot;")), F.lit('"/>'), tag("summary", plain(F.col("snippet"))), tag("updated", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("</entry>"))
+    p = C.pages(spark, d).withColumn("block", F.floor(F.col("ord") / 50)).withColumn("x", F.when(F.col("block") % 2 == 0, rss).otherwise(atom))
+    body = p.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda e: e["x"]), "\n").alias("b"))
+    whole = F.when(F.col("block") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title>'), "b", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title>'), "b", F.lit("</feed>")))
+    cut = F.when(F.col("block") % 4 == 3, F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole)
+    payloads = body.select((F.col("block") * 100_000).alias("ord"), cut.alias("payload"))
+    good = W.feed(payloads, C.as_of()).select("ord", "url", "title", "snippet", "ts", F.col("metadata")["author"].alias("author"), F.lit(None).cast("string").alias("message"))
+    none = lambda t: F.lit(None).cast(t)
+    bad = W.feed_errors(payloads).select("ord", none("string").alias("url"), none("string").alias("title"), none("string").alias("snippet"), none("timestamp").alias("ts"), none("string").alias("author"), "message")
+    return good.unionByName(bad)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

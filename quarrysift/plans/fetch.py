@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import results
-from ..session import materialize
-from ..sources import normalise
+from ..session import materialize, shared_dir
+from ..sources import feeds
 from .config import ProviderError
 from .control import FileCache, TokenBucket
 
@@ -52,29 +54,34 @@ class Fetched:
 def fetch_all(sources: dict[str, Callable[[], DataFrame]], retries: int = 2, cache: FileCache | None = None, key: str = "", concurrency: int = 3, sleep: Callable[[float], None] = time.sleep) -> Fetched:
     """Results of all sources that work, in the sources' order; a failing one becomes an error row.
 
-    A cache holds the path of a written table for each source; empty results are not cached.
+    A cache holds the path of a written table for each source, in a folder of its own that ``cleanup``
+    leaves; a path that can't be read any more is a miss. Empty results are not cached.
     """
+    spark = SparkSession.active()
+
+    def held(path: str | None) -> DataFrame | None:
+        try:
+            return spark.read.parquet(path) if path else None
+        except AnalysisException as e:
+            logger.info("cached table %s is gone: %s", path, e.getCondition())
+            return None
 
     def one(name: str) -> DataFrame | dict:
         try:
-            if cache and (path := cache.get(f"{name}:{key}")):
-                return SparkSession.active().read.parquet(path)
+            if cache and (rows := held(cache.get(f"{name}:{key}"))) is not None:
+                return rows
             rows = retry(lambda: materialize(sources[name](), f"fetched-{name}"), retries, sleep=sleep)
             if cache and not rows.isEmpty():
-                cache.set(f"{name}:{key}", rows.inputFiles()[0].rpartition("/")[0])
+                path = f"{shared_dir(spark)}/quarrysift-cache/{uuid.uuid4().hex}"
+                rows.write.parquet(path)
+                cache.set(f"{name}:{key}", path)
             return rows
         except Exception as e:
             logger.warning("source %s failed: %s", name, e)
             return {"provider": name, "message": str(e)} | ({"statusCode": e.status} if isinstance(e, ProviderError) and e.status else {})
 
-    spark = SparkSession.active()
-
-    def run(name: str):
-        SparkSession._instantiatedSession = spark
-        return one(name)
-
     with ThreadPoolExecutor(concurrency) as pool:
-        got = dict(zip(sources, pool.map(run, sources), strict=True))
+        got = dict(zip(sources, pool.map(one, sources), strict=True))
     good = {n: r for n, r in got.items() if not isinstance(r, dict)}
     return Fetched(results.union_all(list(good.values())) if good else None, [r for r in got.values() if isinstance(r, dict)], list(good))
 
@@ -114,8 +121,8 @@ class Feeds:
             if have >= limit:
                 break
             try:
-                items = normalise.feed(read(url), as_of)
-                fits = items.filter(results.has_any_word(F.concat_ws(" ", "title", "snippet"), query)).limit(limit - have)
+                items = feeds.feed(read(url), as_of)
+                fits = items.filter(results.has_any_word(F.concat_ws(" ", "title", "snippet"), query)).orderBy("ord").limit(limit - have)
                 rows = materialize(fits.withColumn("ord", F.col("ord") + place * 1_000_000), "feed")
             except Exception as e:
                 logger.warning("feed %s failed: %s", url, e)

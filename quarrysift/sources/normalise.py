@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.entities import unescape
 from ..operators.results import in_domains
 
 _TOPIC = "struct<Text:string,FirstURL:string,Result:string"
@@ -33,26 +34,6 @@ def _rows(df: DataFrame, items: Column, limit: int) -> DataFrame:
     return listed.select(F.col("ord").cast("long").alias("ord"), "r.*")
 
 
-def instant_answers(df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
-    """Abstract, answer, definition, results, then topics with their own topics after each."""
-    p = F.from_json("payload", ANSWER)
-    none = F.array().cast("array<struct<url:string,title:string,snippet:string,source:string,ts:timestamp>>")
-    one = lambda ok, r: F.when(F.coalesce(ok, F.lit(False)), F.array(r)).otherwise(none)
-    some = lambda c: F.coalesce(c, F.lit("")) != ""
-    topic = lambda t: _row(t["FirstURL"], T.anchor_title(t["Result"], t["Text"]), t["Text"], "duckduckgo", as_of)
-    usable = lambda t: some(t["FirstURL"]) & some(t["Text"])
-    listed = lambda a: F.coalesce(F.transform(F.filter(a, usable), topic), none)
-    d = df.select(p.alias("p")).select("p.*")
-    heads = [
-        one(some(F.col("AbstractURL")) & some(F.col("AbstractText")), _row(F.col("AbstractURL"), _filled(F.col("Heading"), F.col("AbstractSource"), F.lit("Abstract")), F.col("AbstractText"), "duckduckgo", as_of)),
-        one(some(F.col("Answer")) & some(F.col("AbstractURL")), _row(F.col("AbstractURL"), F.concat(F.lit("Answer: "), _filled(F.col("AnswerType"), F.lit("answer"))), F.col("Answer"), "duckduckgo", as_of)),
-        one(some(F.col("Definition")) & some(F.col("DefinitionURL")), _row(F.col("DefinitionURL"), F.concat(F.lit("Definition: "), _filled(F.col("DefinitionSource"), F.lit("source"))), F.col("Definition"), "duckduckgo", as_of)),
-        listed(F.col("Results")),
-        F.coalesce(F.flatten(F.transform("RelatedTopics", lambda t: F.concat(F.when(F.coalesce(usable(t), F.lit(False)), F.array(topic(t))).otherwise(none), listed(t["Topics"])))), none),
-    ]
-    return _rows(d, F.concat(*heads), limit)
-
-
 def web_and_news(df: DataFrame, as_of: Column, limit: int = 20, include: list[str] = (), exclude: list[str] = (), dates: tuple[Column, Column] | None = None) -> DataFrame:
     """Web results (domain and date filters), then news (dates only); invalid URLs are dropped."""
     p = F.from_json("payload", WEB_NEWS)
@@ -83,7 +64,7 @@ def organic(df: DataFrame, as_of: Column, limit: int = 20, include: list[str] =
     first = F.col("first") if "first" in df.columns else F.lit(0)
     p = F.from_json("payload", ORGANIC)
     d = df.select(first.alias("first"), p.alias("p")).select("first", F.when(F.col("p.error").isNotNull(), F.raise_error(F.col("p.error")).cast("array<struct<position:int,title:string,link:string,snippet:string,date:string,source:string>>")).otherwise(F.col("p.organic_results")).alias("r"))
-    x = d.select("first", F.posexplode("r").alias("ord", "x")).select((F.col("first") + F.col("ord")).cast("long").alias("ord"), F.col("x.link").alias("url"), F.col("x.title").alias("title"), F.coalesce("x.snippet", F.lit("")).alias("snippet"), F.lit("serp").alias("source"), T.relative_date(F.col("x.date"), as_of).alias("ts"))
+    x = d.select("first", F.posexplode("r").alias("ord", "x")).select((F.col("first") + F.col("ord")).cast("long").alias("ord"), F.col("x.link").alias("url"), F.col("x.title").alias("title"), F.coalesce("x.snippet", F.lit("")).alias("snippet"), F.lit("serp").alias("source"), T.relative_date(F.col("x.date"), as_of, fine=False).alias("ts"))
     out = _domains(x, include, exclude)
     out = out.filter(F.col("ts").between(*dates)) if dates else out
     return out.orderBy("ord").limit(limit)
@@ -98,38 +79,8 @@ def feed_items(items: DataFrame, as_of: Column) -> DataFrame:
     return items.filter(F.coalesce("link", F.lit("")) != "").select("ord", F.col("link").alias("url"), F.coalesce("title", F.lit("Untitled")).alias("title"), F.substring(flat, 1, 500).alias("snippet"), F.lit("rss").alias("source"), F.coalesce(F.col("isoDate").try_cast("timestamp"), as_of).alias("ts"), *author)
 
 
-def _tag(xml: Column, *names: str) -> Column:
-    """Text of the first of the named elements that has any, markup of CDATA and entities undone; else null."""
-    found = []
-    for n in names:
-        inner = F.regexp_extract(xml, rf"(?is)<(?:\w+:)?{n}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{n}\s*>", 1)
-        cdata = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-        found.append(F.nullif(F.trim(F.when(cdata != "", cdata).otherwise(_entities(inner))), F.lit("")))
-    return F.coalesce(*found)
-
-
-def _moment(c: Column) -> Column:
-    """Dates of feeds: ``[Mon, ]02 Jan 2024 03:04:05 +0000`` or ISO."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000")
-    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), c.try_cast("timestamp"))
-
-
-def feed(df: DataFrame, as_of: Column) -> DataFrame:
-    """Results of feeds (payload: XML of RSS items or Atom entries), with their author in the metadata.
-
-    Elements are found by pattern, so text that is no XML has no items. ``ord`` counts from a payload's own ``ord``, if it has one.
-    """
-    first = F.col("ord") if "ord" in df.columns else F.lit(0)
-    items = df.select(first.alias("first"), F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)\s*>"), F.lit(0))).alias("place", "x")).select((F.col("first") + F.col("place")).alias("ord"), "x")
-    x = F.col("x")
-    link = F.coalesce(_tag(x, "link"), F.nullif(_entities(F.regexp_extract(x, r"""(?is)<link[^>]*\shref=["']([^"']*)["']""", 1)), F.lit("")))
-    when = F.date_format(_moment(_tag(x, "pubDate", "published", "updated")), "yyyy-MM-dd HH:mm:ss")
-    cols = {"link": link, "title": _tag(x, "title"), "contentSnippet": F.lit(None).cast("string"), "summary": _tag(x, "description", "summary"), "content": _tag(x, "content"), "isoDate": when, "creator": _tag(x, "creator"), "author": _tag(x, "name", "author")}
-    return feed_items(items.select(F.col("ord").cast("long").alias("ord"), *[c.alias(n) for n, c in cols.items()]), as_of)
-
-
 def _plain(html: Column) -> Column:
-    return F.trim(_entities(F.regexp_replace(html, "<[^>]*>", "")))
+    return F.trim(unescape(F.regexp_replace(html, "<[^>]*>", "")))
 
 
 def lite_page(df: DataFrame, as_of: Column, limit: int | None = 20) -> DataFrame:
@@ -141,13 +92,13 @@ def lite_page(df: DataFrame, as_of: Column, limit: int | None = 20) -> DataFrame
     cells = F.regexp_extract_all("payload", F.lit(r"""(?is)<td\b[^>]*class=["']result-snippet["'][^>]*>(.*?)</td>"""), F.lit(1))
     first = F.col("ord") if "ord" in df.columns else F.lit(0)
     x = df.select(first.alias("first"), F.posexplode(anchors).alias("place", "a"), cells.alias("cells"))
-    out = x.select((F.col("first") + F.col("place")).cast("long").alias("ord"), _entities(F.regexp_extract("a", r"""(?is)\shref=["']([^"']*)["']""", 1)).alias("url"), _plain(F.col("a")).alias("title"), F.coalesce(_plain(F.get("cells", F.col("place"))), F.lit("")).alias("snippet"), F.lit("duckduckgo").alias("source"), as_of.alias("ts"))
+    out = x.select((F.col("first") + F.col("place")).cast("long").alias("ord"), unescape(F.regexp_extract("a", r"""(?is)\shref=["']([^"']*)["']""", 1)).alias("url"), _plain(F.col("a")).alias("title"), F.coalesce(_plain(F.get("cells", F.col("place"))), F.lit("")).alias("snippet"), F.lit("duckduckgo").alias("source"), as_of.alias("ts"))
     out = out.filter((F.col("url") != "") & (F.col("title") != "") & ~F.startswith("url", F.lit("/")))
     return out if limit is None else out.orderBy("ord").limit(limit)
 
 
 def web_answers(df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
-    """The web variant of ``instant_answers``: abstract, topics each before its own, then results."""
+    """The web variant of ``topics.instant_answers``: abstract, topics each before its own, then results."""
     none = F.array().cast("array<struct<url:string,title:string,snippet:string,source:string,ts:timestamp>>")
     some = lambda c: F.coalesce(c, F.lit("")) != ""
     short = lambda t: _row(t["FirstURL"], F.substring(t["Text"], 1, 60), t["Text"], "duckduckgo", as_of)
@@ -160,14 +111,6 @@ def web_answers(df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
     return _rows(d, F.concat(abstract, topics, listed(F.col("Results"))), limit)
 
 
-def papers(df: DataFrame, as_of: Column) -> DataFrame:
-    """Entries of a paper archive's feed (payload: Atom) that have a title and an id."""
-    x = df.select(F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<entry(?:\s[^>]*)?>.*?</entry\s*>"), F.lit(0))).alias("ord", "x"))
-    body = F.coalesce(_tag(F.col("x"), "summary"), F.lit(""))
-    out = x.select(F.col("ord").cast("long").alias("ord"), _tag(F.col("x"), "id").alias("url"), _tag(F.col("x"), "title").alias("title"), F.concat(F.substring(body, 1, 200), F.when(F.length(body) > 200, "...").otherwise("")).alias("snippet"), F.lit("arxiv").alias("source"), F.coalesce(_moment(_tag(F.col("x"), "published")), as_of).alias("ts"))
-    return out.filter("url is not null and title is not null")
-
-
 # Web adapters: schema, array of items, and a result from an item.
 _ADAPTERS = {
     "searxng": ("results array<struct<url:string,title:string,content:string>>", "results", lambda x, now: (x["url"], _filled(x["title"], F.lit("Untitled")), F.coalesce(x["content"], F.lit("")), now)),
@@ -175,17 +118,10 @@ _ADAPTERS = {
     "hackernews": ("hits array<struct<url:string,title:string,points:int,num_comments:int,author:string,created_at:string>>", "hits", lambda x, now: (x["url"], x["title"], F.concat_ws(" | ", F.concat(x["points"].cast("string"), F.lit(" points")), F.concat(x["num_comments"].cast("string"), F.lit(" comments")), F.concat(F.lit("by "), x["author"])), F.coalesce(x["created_at"].try_cast("timestamp"), now))),
     "github": ("items array<struct<html_url:string,full_name:string,description:string,stargazers_count:int,updated_at:string>>", "items", lambda x, now: (x["html_url"], F.concat(x["full_name"], F.lit(" (★"), x["stargazers_count"].cast("string"), F.lit(")")), F.coalesce(x["description"], F.lit("")), F.coalesce(x["updated_at"].try_cast("timestamp"), now))),
     "reddit": ("data struct<children:array<struct<data:struct<permalink:string,title:string,selftext:string,created_utc:double>>>>", "data.children", lambda x, now: (F.concat(F.lit("https://www.reddit.com"), x["data"]["permalink"]), x["data"]["title"], F.substring(F.coalesce(x["data"]["selftext"], F.lit("")), 1, 200), F.timestamp_seconds(x["data"]["created_utc"]))),
-    "stackoverflow": ("items array<struct<link:string,title:string,score:int,answer_count:int,creation_date:bigint>>", "items", lambda x, now: (x["link"], _entities(x["title"]), F.concat_ws(" | ", F.concat(F.lit("Score: "), x["score"].cast("string")), F.concat(F.lit("Answers: "), x["answer_count"].cast("string"))), F.timestamp_seconds(x["creation_date"]))),
+    "stackoverflow": ("items array<struct<link:string,title:string,score:int,answer_count:int,creation_date:bigint>>", "items", lambda x, now: (x["link"], unescape(x["title"]), F.concat_ws(" | ", F.concat(F.lit("Score: "), x["score"].cast("string")), F.concat(F.lit("Answers: "), x["answer_count"].cast("string"))), F.timestamp_seconds(x["creation_date"]))),
 }
 
 
-def _entities(c: Column) -> Column:
-    """The entities of XML, some of HTML, and numbers of frequent signs, decoded; & last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
 def adapter(name: str, df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
     """Results of one of the web adapters; items without URL are dropped."""
     ddl, items, make = _ADAPTERS[name]

@@ -6,7 +6,7 @@ from quarrysift.functions import text as T
 from quarrysift.functions import urls as U
 from quarrysift.operators import chunking, ranking, refine, results
 from quarrysift.plans import control, output
-from quarrysift.sources import normalise
+from quarrysift.sources import feeds, normalise, topics
 
 NOW = dt.datetime(2024, 3, 1)
 DDL = "ord long, url string, title string, snippet string, source string, ts timestamp, metadata map<string,string>"
@@ -102,7 +102,7 @@ def test_sources(spark):
     now = F.lit(NOW)
     answer = '{"AbstractURL":"https://a","AbstractText":"t","Heading":"H","RelatedTopics":[{"Text":"one - x","FirstURL":"https://1","Result":"<a href=z>One</a>"},{"Topics":[{"Text":"two","FirstURL":"https://2"}]}]}'
     df = spark.createDataFrame([(answer,)], "payload string")
-    assert [(r.url, r.title) for r in normalise.instant_answers(df, now).collect()] == [("https://a", "H"), ("https://1", "One"), ("https://2", "two")]
+    assert [(r.url, r.title) for r in topics.instant_answers(df, now).orderBy("ord").collect()] == [("https://a", "H"), ("https://1", "One"), ("https://2", "two")]
     news = '{"web":{"results":[{"title":"a","url":"https://a.org","age":"2 days ago"},{"title":"b","url":"https://b.net"}]},"news":{"results":[{"title":"n","url":"https://n.net"}]}}'
     got = normalise.web_and_news(spark.createDataFrame([(news,)], "payload string"), now, include=["a.org"]).collect()
     assert [(r.title, r.ts) for r in got] == [("a", dt.datetime(2024, 2, 28)), ("n", NOW)]
@@ -174,18 +174,18 @@ def test_feeds_and_pages(spark):
     rss = """<rss><channel><title>c</title><item><title>A &amp; B</title><link>https://a.test/1</link><description><![CDATA[<b>red</b>  text]]></description><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate><dc:creator>Kim</dc:creator></item>
       <item><title>no link</title></item></channel></rss>"""
     atom = '<feed><entry><title>E</title><link rel="x" href="https://a.test/2"/><summary>blue</summary><updated>2024-01-05T00:00:00Z</updated><author><name>Lee</name></author></entry></feed>'
-    got = normalise.feed(xml(rss), now).collect()
+    got = feeds.feed(xml(rss), now).collect()
     assert [(r.url, r.title, r.snippet, r.ts, r.metadata) for r in got] == [("https://a.test/1", "A & B", "red text", dt.datetime(2024, 1, 2, 2, 4, 5), {"author": "Kim"})]
-    (r,) = normalise.feed(xml(atom), now).collect()
+    (r,) = feeds.feed(xml(atom), now).collect()
     assert (r.url, r.snippet, r.ts, r.metadata) == ("https://a.test/2", "blue", dt.datetime(2024, 1, 5), {"author": "Lee"})
-    assert normalise.feed(xml("no xml", None), now).count() == 0
+    assert feeds.feed(xml("no xml", None), now).count() == 0
     page = '<a class="result-link" href="/ad">Ad</a><td class="result-snippet">s0</td><a class="result-link" href="https://b.test">B <b>b</b></a><td class="result-snippet"> s1 &lt; </td>'
     assert [(r.url, r.title, r.snippet) for r in normalise.lite_page(xml(page), now).collect()] == [("https://b.test", "B b", "s1 <")]
     answer = '{"AbstractURL":"https://w","AbstractText":"t","RelatedTopics":[{"Text":"One - first thing","FirstURL":"https://1","Topics":[{"Text":"two","FirstURL":"https://2"}]},{"Text":"three","FirstURL":"https://3"}],"Results":[{"Text":"four","FirstURL":"https://4"}]}'
     assert [r.title for r in normalise.web_answers(xml(answer), now).collect()] == ["Wikipedia", "One", "two", "three", "four"]
     assert [r.title for r in normalise.web_answers(xml(answer), now, 2).collect()] == ["Wikipedia", "One"]
     paper = f"<feed><entry><id>https://p/1</id><title> T </title><summary>{'s' * 201}</summary><published>2024-02-03T00:00:00Z</published></entry><entry><id>x</id></entry></feed>"
-    assert [(r.url, r.title, len(r.snippet), r.ts) for r in normalise.papers(xml(paper), now).collect()] == [("https://p/1", "T", 203, dt.datetime(2024, 2, 3))]
+    assert [(r.url, r.title, len(r.snippet), r.ts) for r in feeds.papers(xml(paper), now).collect()] == [("https://p/1", "T", 203, dt.datetime(2024, 2, 3))]
     hn = '{"hits":[{"url":"https://h","title":"T","points":3,"num_comments":2,"author":"a","created_at":"2024-01-01T00:00:00Z"},{"title":"no url"}]}'
     assert [r.url for r in normalise.adapter("hackernews", xml(hn), now).collect()] == ["https://h"]
     for name, body, url in (

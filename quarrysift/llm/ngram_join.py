@@ -40,7 +40,7 @@ from .simhash import _by_key, _merge, components
 from .substring import WordHashes
 
 SHINGLE = 5
-#: Slots of the sketch of frequencies (a power of two), words of 64 parity bits.
+#: Slots of the sketch of frequencies (a power of two), least words of 64 parity bits.
 SLOT_BITS, WORDS = 18, 8
 #: Largest size at which subsets are thought of at all; rows that one element in a list costs, against one of a subset.
 LIGHT_MOST, SCAN = 24, 6
@@ -108,10 +108,17 @@ def frequency_order(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _parity(e: np.ndarray) -> np.ndarray:
-    odd = np.bincount((e * np.uint64(_FACTORS[9]) >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    """Parities of how many elements fall on each of 512 bits or, of larger sets, a power of two above their size."""
+    bits = 64 * WORDS << (len(e) // (64 * WORDS)).bit_length()
+    odd = np.bincount((e * np.uint64(_FACTORS[9]) >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """The parities over 512 bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, WORDS))
+
+
 _SETS = "doc_id long, c long, node long, size long, head array<long>, bits array<long>, few array<long>"
 
 
@@ -240,7 +247,7 @@ def cell_links(comp: np.ndarray, size: np.ndarray, bits: np.ndarray, minor: np.n
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_key(batches, "cell", 1):
         cell, comp, size, side = (table.column(n).to_numpy() for n in ("cell", "comp", "size", "minor"))
-        bits, lists = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64), [np.array(x.values) for x in table.column("elements")]
+        bits, lists = np.stack([_folded(np.array(x.values)) for x in table.column("bits")]).view(np.uint64), [np.array(x.values) for x in table.column("elements")]
         edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
         for a, b in zip(edge, edge[1:], strict=False):
             found = cell_links(comp[a:b], size[a:b], bits[a:b], np.flatnonzero(side[a:b]), lists[a:b])
@@ -250,7 +257,10 @@ def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _may_link(s: str, t: str, a: str, b: str) -> Column:
     """Whether sizes and parity bits of two sets allow a link."""
     size, other = F.col(s), F.col(t)
-    differ = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    # sizes that may link have equal numbers of bits, or one twice the other's
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
     common = F.floor((4 * (size + other) + 8) / 9)
     return (5 * F.least(size, other) >= 4 * F.greatest(size, other)) & (differ <= size + other - 2 * common)
 

@@ -109,13 +109,22 @@ def test_boundary_follows_cost():
     assert ngram_join.boundary({4: 10, 9: 10, 14: 10, 20: 10}) == 13
 
 
-def test_parity_never_exceeds_the_difference():
+def test_parity_never_exceeds_the_difference(spark):
+    """Sets of all sizes, near the bounds at which the number of bits doubles too."""
     rng = np.random.default_rng(4)
-    for _ in range(200):
-        e = np.unique(rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64))
-        a, b = e[: rng.integers(0, len(e) + 1)], e[rng.integers(0, len(e)) :]
-        apart = sum(int(np.bitwise_count(x)) for x in ngram_join._parity(a).view(np.uint64) ^ ngram_join._parity(b).view(np.uint64))
-        assert apart <= len(np.setxor1d(a, b))
+    rows = []
+    for n in [*rng.integers(1, 3000, 60), 511, 512, 513, 600, 1023, 1024, 1100, 2100]:
+        e = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        gone = rng.integers(0, len(e) // 8 + 1)
+        a, b = e[gone // 2 :], np.r_[e[: len(e) - gone], rng.integers(0, 2**64, gone // 3, dtype=np.uint64)]
+        rows.append((len(a), len(b), ngram_join._parity(a).tolist(), ngram_join._parity(b).tolist(), 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))))
+        x, y = (ngram_join._folded(ngram_join._parity(z)).view(np.uint64) for z in (a, b))
+        assert sum(int(np.bitwise_count(v)) for v in x ^ y) <= len(np.setxor1d(a, b))
+    far = [(len(z), len(z), ngram_join._parity(z).tolist(), ngram_join._parity(y).tolist(), False) for n in (600, 5000, 40_000) for z, y in [rng.integers(0, 2**64, (2, n), dtype=np.uint64)]]
+    df = spark.createDataFrame(rows + far, "sa long, sb long, a array<long>, b array<long>, link boolean")
+    got = df.select("link", "sa", ngram_join._may_link("sa", "sb", "a", "b").alias("may")).collect()
+    assert all(r.may for r in got if r.link) and sum(r.link for r in got) > 30
+    assert not any(r.may for r in got[len(rows) :])
 
 
 def test_empty(spark):

@@ -103,11 +103,11 @@ def _open_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
     """The blocks in ``parts``, each with the hashes of its windows."""
     words_of, by_text = WordHashes(), Rolling(_B)
     for batch in batches:
-        g, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], 0
+        g, u, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], [], 0
 
         def rows() -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.array(starts, pa.int32()), lists], names=["g", "d", "c", "s", "w"])
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(u, pa.int64()), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.array(starts, pa.int32()), lists], names=["g", "u", "d", "c", "s", "w"])
 
         texts = batch.column("text").cast(pa.large_binary())
         for text, doc, code, blocks in zip(texts, batch.column("d").to_pylist(), batch.column("c").to_pylist(), batch.column("parts").to_pylist(), strict=True):
@@ -115,6 +115,7 @@ def _open_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             for b in blocks:
                 at = np.arange(b["s"], b["s"] + b["n"])
                 g.append(b["g"])
+                u.append(b["u"])
                 d.append(doc)
                 c.append(code)
                 starts.append(b["s"])
@@ -123,7 +124,7 @@ def _open_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
                 held += b["n"]
             if held > 200_000:
                 yield rows()
-                g, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], 0
+                g, u, d, c, starts, sizes, hashes, held = [], [], [], [], [], [], [], 0
         if g:
             yield rows()
 
@@ -203,24 +204,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, indexed: int = INDEXED)
     ranges removed, ``kept`` the other words joined by one space.
 
     Null or empty texts have no words. A row with a null doc_id neither loses words nor
-    counts as earlier. Repeated rows (one doc_id) don't count against each other. A text
+    counts as earlier. Repeated rows (one doc_id) don't count against each other; equal ones are parsed once. A text
     shorter than ``width`` words stays whole.
     """
     base = docs.select(F.struct("*").alias("doc")).select(F.col("doc.doc_id").cast("long").alias("d"), F.shiftright(F.xxhash64("doc.text"), 32).cast("int").alias("c"), F.col("doc.text").alias("text"), F.struct(*[F.col(f"doc.`{n}`").alias(n) for n in docs.columns if n != "text"]).alias("rest"))
     blocks = materialize(base.select("text", "d", "c").mapInArrow(partial(_blocks, width=width, anchor=min(ANCHOR, width)), "g long, u long, d long, c int, s int, n int"), "blocks")
+    # equal rows have equal blocks: they are parsed once
+    repeated = not blocks.filter("s = 0").groupBy("d", "c").count().filter("count > 1").isEmpty()
+    if repeated:
+        blocks = materialize(blocks.distinct(), "blocks")
     texts = blocks.groupBy("g", "u").agg(F.min("d").alias("m"), F.count("*").alias("k"))
     split = texts.groupBy("g").agg(F.count("*").alias("t")).filter("t > 1").select("g", F.lit(True).alias("differ"))
     known = texts.join(split, "g", "left").filter("k > 1 or differ")
-    found = blocks.join(known, ["g", "u"]).filter("m < d or differ").select("d", "c", F.struct("s", "n", F.expr("if(m < d, null, g)").alias("g")).alias("x"))
-    # one document's blocks: as many as its words allow
+    found = blocks.join(known, ["g", "u"]).filter("m < d or differ").select("d", "c", F.struct("s", "n", F.expr("if(m < d, null, g)").alias("g"), F.expr("if(m < d, null, u)").alias("u")).alias("x"))
+    # one text's blocks: as many as its words allow
     flags = materialize(found.groupBy("d", "c").agg(F.collect_list("x").alias("x")), "flags")
     joined = base.join(flags.hint("shuffle_hash"), ["d", "c"], "left")
     held = materialize(joined.select("d", "c", "text", "rest", F.expr("filter(x, b -> b.g is null)").alias("factors"), F.expr("filter(x, b -> b.g is not null)").alias("parts")), "held")
     open_ = held.filter("size(parts) > 0")
-    rows = materialize(open_.select("d", "c", "text", "parts").mapInArrow(partial(_open_blocks, width=width), "g long, d long, c int, s int, w array<long>"), "open")
-    hot = materialize(rows.groupBy("g").count().filter(F.col("count") > indexed).select("g"), "hot")
+    once = open_.select("d", "c", "text", "parts")
+    once = once.dropDuplicates(["d", "c"]) if repeated else once
+    rows = materialize(once.mapInArrow(partial(_open_blocks, width=width), "g long, u long, d long, c int, s int, w array<long>"), "open")
+    hot = materialize(rows.groupBy("g", "u").agg(F.lit(1)).groupBy("g").count().filter(F.col("count") > indexed).select("g"), "hot")
     some = not hot.isEmpty()
-    dealt = (rows.join(hot, "g", "left_anti") if some else rows).repartition("g").sortWithinPartitions("g", "d", "s")
+    dealt = (rows.join(hot, "g", "left_anti") if some else rows).select("g", "d", "c", "s", "w").repartition("g").sortWithinPartitions("g", "d", "s")
     factors = dealt.mapInArrow(_parse_batches, "d long, c int, s int, n int")
     if some:
         windows = rows.join(hot, "g", "left_semi").select("g", "d", "c", "s", F.posexplode("w").alias("i", "w")).select("g", "w", "d", "c", (F.col("s") + F.col("i")).alias("s"))

@@ -81,3 +81,17 @@ def test_parse_against_all_windows():
             assert found == {i for i, w in enumerate(block) if seen.get(w, doc) < doc}
             for w in block:
                 seen.setdefault(w, doc)
+
+
+def test_many_equal_rows(spark):
+    """Ten thousand equal rows are parsed once: a block of theirs is in the index once, and all rows lose the same."""
+    rnd = random.Random(9)
+    word = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    passage = word(120)
+    early = (1, " ".join(word(100) + passage + word(100)))
+    late = (2, " ".join(word(60) + passage[:70] + ["changed"] + passage[70:] + word(60)))
+    want = {r[0]: r for r in slow([early, late], 50)}
+    assert want[2][2] >= 50
+    df = spark.createDataFrame([early], "doc_id long, text string").union(spark.range(10_000).select(F.lit(2).cast("long"), F.lit(late[1])))
+    got = S.remove_repeats(df).groupBy("doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("k")).count().collect()
+    assert {tuple(r) for r in got} == {(*want[1], 1), (*want[2], 10_000)}

@@ -114,9 +114,9 @@ def _parity(e: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _folded(bits: np.ndarray) -> np.ndarray:
-    """The parities over 512 bits."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, WORDS))
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities over fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words))
 
 
 _SETS = "doc_id long, c long, node long, size long, head array<long>, bits array<long>, few array<long>"
@@ -224,33 +224,40 @@ def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
             yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, 1000), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))], names=["c", "node", "elements"])
 
 
-def cell_links(comp: np.ndarray, size: np.ndarray, bits: np.ndarray, minor: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
+def cell_links(comp: np.ndarray, size: np.ndarray, bits: list[np.ndarray], minor: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest, over the classes ``comp``, of the links between a minor text and any other of a cell."""
     name, label = np.unique(comp, return_inverse=True)
     root, out = np.arange(len(name)), []
-    for lo in range(0, len(minor), 256):
-        q = minor[lo : lo + 256]
-        apart = np.zeros((len(q), len(comp)), np.int64)
-        for k in range(bits.shape[1]):
-            apart += np.bitwise_count(bits[q, k][:, None] ^ bits[None, :, k])
-        total = size[q][:, None] + size
-        ok = (apart <= total - 2 * needed(size[q][:, None], size)) & (root[label[q]][:, None] != root[label])
-        ok &= 5 * np.minimum(size[q][:, None], size) >= 4 * np.maximum(size[q][:, None], size)
-        for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-            a, b = root[label[q[i]]], root[label[j]]
-            if a != b and len(np.intersect1d(lists[q[i]], lists[j], assume_unique=True)) >= needed(size[q[i]], size[j]):
-                out.append((int(name[label[q[i]]]), int(name[label[j]])))
-                root = _merge(root, np.array([a]), np.array([b]))
+    words = np.array([len(b) for b in bits])
+    by = {n: np.flatnonzero(words == n) for n in np.unique(words).tolist()}
+    for n, m in ((n, m) for n in by for m in (n // 2, n, 2 * n) if m in by):  # sizes that may link
+        few = min(n, m)
+        mine = by[n][np.isin(by[n], minor)]
+        other = np.stack([_folded(bits[j], few) for j in by[m]])
+        for lo in range(0, len(mine), 256):
+            q = mine[lo : lo + 256]
+            own = np.stack([_folded(bits[i], few) for i in q])
+            apart = np.zeros((len(q), len(other)), np.int64)
+            for k in range(few):
+                apart += np.bitwise_count(own[:, k][:, None] ^ other[None, :, k])
+            s, t = size[q][:, None], size[by[m]]
+            ok = (apart <= s + t - 2 * needed(s, t)) & (root[label[q]][:, None] != root[label[by[m]]]) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                i, j = q[i], by[m][j]
+                a, b = root[label[i]], root[label[j]]
+                if a != b and len(np.intersect1d(lists[i], lists[j], assume_unique=True)) >= needed(size[i], size[j]):
+                    out.append((int(name[label[i]]), int(name[label[j]])))
+                    root = _merge(root, np.array([a]), np.array([b]))
     return out
 
 
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_key(batches, "cell", 1):
         cell, comp, size, side = (table.column(n).to_numpy() for n in ("cell", "comp", "size", "minor"))
-        bits, lists = np.stack([_folded(np.array(x.values)) for x in table.column("bits")]).view(np.uint64), [np.array(x.values) for x in table.column("elements")]
+        bits, lists = ([np.array(x.values) for x in table.column(n)] for n in ("bits", "elements"))
         edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
         for a, b in zip(edge, edge[1:], strict=False):
-            found = cell_links(comp[a:b], size[a:b], bits[a:b], np.flatnonzero(side[a:b]), lists[a:b])
+            found = cell_links(comp[a:b], size[a:b], [x.view(np.uint64) for x in bits[a:b]], np.flatnonzero(side[a:b]), lists[a:b])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
 
 
@@ -305,45 +312,44 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     near = materialize(sieve(pairs).select("u", "v", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("k"), "v")).alias("rank")), "near")
     found = links.unionByName(similar(near.filter("rank = 1")))
     comp = classes(found)
+    tie = lambda c: c.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    def in_cells(edges: DataFrame, comp: DataFrame) -> DataFrame:
+        """``comp`` with the links between all nodes that ``edges`` (u, v) connect; a text moves once for each of its cells."""
+        group = classes(edges)
+        nodes = group.select("node").unionByName(group.select(F.col("root").alias("node"))).distinct()
+        whole = materialize(of(of(nodes, group, "node", "group"), comp, "node", "comp").join(part, "node"), "grouped")
+        counted = whole.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("e"))
+        largest = counted.groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
+        parts = counted.join(largest, "group").withColumn("minor", F.col("comp") != F.col("top")).groupBy("group", "minor").agg(F.ceil(F.greatest(F.sum("k") / chunk, F.sum("e") / CHUNK_ELEMENTS)).alias("n"))
+        parts = parts.groupBy("group").agg(F.coalesce(F.max(F.when(F.col("minor"), F.col("n"))), F.lit(0)).alias("m"), F.coalesce(F.max(F.when(~F.col("minor"), F.col("n"))), F.lit(0)).alias("n")).filter("m > 0")
+        dealt = whole.join(largest, "group").join(parts, "group").withColumn("minor", F.col("comp") != F.col("top"))
+        dealt = dealt.withColumn("at", F.when(F.col("minor"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.pmod(F.xxhash64("node"), "n")))
+        # a cell is a chunk of minor texts with another one, with itself, or with one of the largest class
+        pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+        inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: pair(0, F.least("at", j), F.greatest("at", j)))
+        outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: pair(1, F.col("at"), j))
+        across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: pair(1, i, F.col("at")))
+        cells = dealt.withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(inner, outer)).otherwise(across)))
+        cells = materialize(cells.select("node", "comp", "size", "bits", "minor", F.xxhash64("group", "cell").alias("cell")), "cells")
+        full = cells.join(held(cells.select("node")), "node").select("cell", "comp", "size", "bits", "minor", "elements").repartition("cell").sortWithinPartitions("cell")
+        return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
+
     late = of(of(near.filter("rank > 1"), comp, "u", "cu"), comp, "v", "cv").filter("cu <> cv")
     late = materialize(late.select("u", "v"), "late")
-    tie = lambda c: c.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not late.isEmpty():
-        comp = classes(tie(comp).unionByName(similar(late)))
+        comp = in_cells(late, comp)
 
-    # lists of three or more nodes that hold several classes yet
+    # lists of three or more nodes that hold several classes yet: pairs of short ones, all of long ones
     members = lists.select("token", "node").unionByName(lists.select("token", F.col("pivot").alias("node"))).distinct()
     members = of(members, comp, "node", "comp")
-    open_ = members.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("k > 2 and a <> b").select("token", "k")
-    members = materialize(members.join(open_, "token").select("token", "node", "comp", "k"), "members")
+    open_ = members.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("least")).filter("k > 2 and a <> b").select("token", "k", "least")
+    members = materialize(members.join(open_, "token").select("token", "node", "comp", "k", "least"), "members")
     short = members.filter(F.col("k") <= most).join(part, "node")
     half = lambda x, y: short.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{y}"), F.col("size").alias(f"s{y}"), F.col("bits").alias(f"b{y}"))
     cross = half("u", "a").join(half("v", "b"), "token").filter((F.col("u") < F.col("v")) & (F.col("ca") != F.col("cb")) & _may_link("sa", "sb", "ba", "bb"))
-    cross = materialize(cross.select("u", "v").distinct(), "cross")
-    if not cross.isEmpty():
-        comp = classes(tie(comp).unionByName(similar(cross)))
-    long_ = members.filter(F.col("k") > most)
-    if long_.isEmpty():
-        return comp
-    # lists that share nodes are one group, so that a text moves once for each of its cells
-    first = long_.groupBy("token").agg(F.min("node").alias("v"))
-    group = classes(long_.join(first, "token").select(F.col("node").alias("u"), "v"))
-    whole = of(of(long_.select("node").distinct(), group, "node", "group"), comp, "node", "comp").join(part, "node")
-    counted = whole.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("e"))
-    largest = counted.groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
-    parts = counted.join(largest, "group").withColumn("minor", F.col("comp") != F.col("top")).groupBy("group", "minor").agg(F.ceil(F.greatest(F.sum("k") / chunk, F.sum("e") / CHUNK_ELEMENTS)).alias("n"))
-    parts = parts.groupBy("group").agg(F.coalesce(F.max(F.when(F.col("minor"), F.col("n"))), F.lit(0)).alias("m"), F.coalesce(F.max(F.when(~F.col("minor"), F.col("n"))), F.lit(0)).alias("n")).filter("m > 0")
-    whole = whole.join(largest, "group").join(parts, "group").withColumn("minor", F.col("comp") != F.col("top"))
-    whole = whole.withColumn("at", F.when(F.col("minor"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.pmod(F.xxhash64("node"), "n")))
-    # a cell is a chunk of minor texts with another one, with itself, or with one of the largest class
-    pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"))
-    inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: pair(0, F.least("at", j), F.greatest("at", j)))
-    outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: pair(1, F.col("at"), j))
-    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: pair(1, i, F.col("at")))
-    cells = whole.withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(inner, outer)).otherwise(across)))
-    cells = materialize(cells.select("node", "comp", "size", "bits", "minor", F.xxhash64("group", "cell").alias("cell")), "cells")
-    full = cells.join(held(cells.select("node")), "node").select("cell", "comp", "size", "bits", "minor", "elements").repartition("cell").sortWithinPartitions("cell")
-    return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
+    cross = materialize(cross.select("u", "v").distinct().unionByName(members.filter((F.col("k") > most) & (F.col("node") != F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v"))), "cross")
+    return comp if cross.isEmpty() else in_cells(cross, comp)
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, most: int = LIST, chunk: int = CHUNK) -> DataFrame:

@@ -118,7 +118,7 @@ def test_parity_never_exceeds_the_difference(spark):
         gone = rng.integers(0, len(e) // 8 + 1)
         a, b = e[gone // 2 :], np.r_[e[: len(e) - gone], rng.integers(0, 2**64, gone // 3, dtype=np.uint64)]
         rows.append((len(a), len(b), ngram_join._parity(a).tolist(), ngram_join._parity(b).tolist(), 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))))
-        x, y = (ngram_join._folded(ngram_join._parity(z)).view(np.uint64) for z in (a, b))
+        x, y = (ngram_join._folded(ngram_join._parity(z), ngram_join.WORDS).view(np.uint64) for z in (a, b))
         assert sum(int(np.bitwise_count(v)) for v in x ^ y) <= len(np.setxor1d(a, b))
     far = [(len(z), len(z), ngram_join._parity(z).tolist(), ngram_join._parity(y).tolist(), False) for n in (600, 5000, 40_000) for z, y in [rng.integers(0, 2**64, (2, n), dtype=np.uint64)]]
     df = spark.createDataFrame(rows + far, "sa long, sb long, a array<long>, b array<long>, link boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import materialize
 
 # Domains of higher standing.
 QUALITY = ["nature.com", "science.org", "arxiv.org", "medium.com", "dev.to", "hackernews.com", "techcrunch.com", "wired.com", "arstechnica.com"]
@@ -83,18 +84,25 @@ def _count_of(term: str) -> Column:
     return F.size(F.filter("w", lambda x: x == term))
 
 
-def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.0) -> DataFrame:
-    """(ord, bm25_score) of every document; 0 without a match.
+def counted_terms(docs: DataFrame, query: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, keep, dl, tf0, tf1, ...) of every document as a written table: the counts of the query's different words.
 
-    Only the query's terms are kept of a document, in one pass over the texts: their counts
-    are columns, and document frequencies one aggregate, so that nothing is shuffled but
-    that single row.
+    The one pass over the texts; all that follows reads these few numbers.
+    """
+    body = F.concat_ws(" ", F.col("title"), F.col("title"), F.col("snippet"))
+    counted = docs.select("ord", *keep, T.words(body, 2).alias("w"))
+    return materialize(counted.select("ord", *keep, F.size("w").alias("dl"), *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(sorted(set(T.words_of(query, 2))))]), "counted")
+
+
+def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, keep, bm25_score) of every document; 0 without a match.
+
+    Only the query's terms are kept of a document: their counts are columns, and document
+    frequencies one aggregate, so that nothing is shuffled but that single row.
     """
     terms = T.words_of(query, 2)
     different = sorted(set(terms))
-    body = F.concat_ws(" ", F.col("title"), F.col("title"), F.col("snippet"))
-    counted = docs.select("ord", T.words(body, 2).alias("w"))
-    counted = counted.select("ord", F.size("w").alias("dl"), *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(different)])
+    counted = counted_terms(docs, query, keep)
     sums = counted.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(different))])
     met = counted.crossJoin(F.broadcast(sums))
     score = F.lit(0.0)
@@ -103,12 +111,12 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, delta: f
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         one = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) + delta
         score = score + F.when(tf > 0, one * terms.count(t)).otherwise(0.0)
-    return met.select("ord", score.alias("bm25_score"))
+    return met.select("ord", *keep, score.alias("bm25_score"))
 
 
 def bm25_hybrid(docs: DataFrame, query: str, as_of: Column, trusted: list[str] = TRUSTED) -> DataFrame:
-    """docs with score: 0.6 normalised BM25, 0.2 recency, 0.2 authority, 1 at most."""
-    ranked = docs.join(bm25(docs, query), "ord")
+    """(ord, url, ts, bm25_score, score) of docs: 0.6 normalised BM25, 0.2 recency, 0.2 authority, 1 at most."""
+    ranked = bm25(docs, query, keep=("url", "ts"))
     most = ranked.agg(F.greatest(F.coalesce(F.max("bm25_score"), F.lit(1.0)), F.lit(1.0)).alias("most"))
     mixed = F.col("bm25_score") / F.col("most") * 0.6 + recency(F.col("ts"), as_of) * 0.2 + authority(F.col("url"), trusted, suffix=False) * 0.2
     return ranked.crossJoin(F.broadcast(most)).withColumn("score", F.least(F.lit(1.0), mixed)).drop("most")
@@ -142,5 +150,6 @@ def nearest(vectors: DataFrame, query: DataFrame, n: int = 10, key: str = "vec_i
 def semantic_hybrid(similar: DataFrame, keyword: DataFrame, keyword_weight: float = 0.5, semantic_weight: float = 0.5) -> DataFrame:
     """``similar`` (ord, similarity) with keyword scores joined: missing ones are 0, the largest counts as 1 at least."""
     met = similar.join(keyword.select("ord", F.col("bm25_score").alias("keyword_score")), "ord", "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
+    met = materialize(met, "similar")
     most = met.agg(F.greatest(F.coalesce(F.max("keyword_score"), F.lit(1.0)), F.lit(1.0)).alias("most"))
     return met.crossJoin(F.broadcast(most)).withColumn("score", F.col("keyword_score") / F.col("most") * keyword_weight + F.col("similarity") * semantic_weight).drop("most")

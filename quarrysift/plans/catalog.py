@@ -550,16 +550,47 @@ def report_summary(spark, d):
     return O.summary(table(spark, d, "pages"))
 
 
-@query()
+_LINE = rf"""'### [' || regexp_replace(title, '([\[\]|])', '\\\1', 'g') || '](' || url || ')' || chr(10) || chr(10) || case when length(snippet) <= 300 then snippet else
+    case when contains(snippet[1:300], ' ') and 300 - instr(reverse(snippet[1:300]), ' ') > 240 then substr(snippet, 1, 300 - instr(reverse(snippet[1:300]), ' ')) else snippet[1:300] end || '...' end
+  || chr(10) || chr(10) || '*Score: ' || cast(floor(v * 100 + 0.5::double) as bigint) || '% | Source: ' || source || ' | Date: ' || strftime(ts, '%Y-%m-%d') || '*' || chr(10) || '*Categories: ' || array_to_string(list_transform({_sql_categories(RULES)}, lambda x: '`' || x || '`'), ' ') || '*'"""
+_RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+@query(f"""with {C.SQL_PAGES}, b as materialized (select *, {_SCORE} as v, coalesce({C.sql_host()}, 'Unknown') as section, {C.sql_host()} as host from res order by {_SCORE} desc, ord limit 50),
+  l as (select ord, section, {_LINE} as line from b), s as (select section, count(*) as n, min(ord) as first, '## ' || section || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) order by ord) as t from l group by section),
+  k as (select distinct regexp_replace(host, '[.][^.]*$', '') as link from b where host is not null),
+  r as (select '---' || chr(10) || 'title: "{QUERY}"' || chr(10) || 'date: 2024-03-01' || chr(10) || 'tags: ["notes"]' || chr(10) || 'sources: ["duckduckgo", "brave", "rss", "serp"]' || chr(10) || 'total_results: ' || (select count(*) from b) || chr(10) || 'generated_by: quarrysift' || chr(10) || '---' || chr(10) || chr(10)
+    || '# {QUERY}' || chr(10) || chr(10) || '> **Summary**' || chr(10) || '> - **Query**: {QUERY}' || chr(10) || '> - **Results**: ' || (select count(*) from b) || ' unique results from 4 provider(s)' || chr(10) || '> - **Sources**: ' || (select count(distinct host) from b) || ' unique domains' || chr(10) || '> - **Generated**: 2024-03-01' || chr(10) || chr(10)
+    || (select string_agg(t, {_RULE} order by n desc, first) from s) || {_RULE} || '## Related' || chr(10) || chr(10) || (select string_agg('- [[' || link || ']]', chr(10) order by link) from k) || chr(10) as text)
+  select cast(i as int) as line, p[i + 1] as text from (select string_split(text, chr(10)) as p, unnest(range(len(string_split(text, chr(10))))) as i from r)""")
 def markdown_report(spark, d):
-    text = O.markdown(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01", 50, "domain", ("notes",), tuple(C.SOURCES))
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line long, text string")
+    """The fifty best pages; a row for each line."""
+    text = O.markdown_text(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01", 50, "domain", ("notes",), tuple(C.SOURCES))
+    return text.select(F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
-@query()
+@query(f"""with {C.SQL_PAGES}, b as materialized (select *, {_SCORE} as v, {C.sql_host()} as host, row_number() over (order by {_SCORE} desc, ord) - 1 as place from res qualify place < 50)
+  select place, url, title, floor(v * 100 + 0.5::double) / 100 as score, coalesce(host, 'unknown') as domain, (select count(*) from b) as total, (select count(distinct host) from b) as domains from b""")
 def json_report(spark, d):
-    text = O.json_report(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01T00:00:00.000Z", tuple(C.SOURCES), most=50)
-    return spark.createDataFrame([(text,)], "value string")
+    """The fifty best pages; what the text says of each."""
+    text = O.json_text(_with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST)), QUERY, "2024-03-01T00:00:00.000Z", tuple(C.SOURCES), most=50)
+    value = F.from_json("value", "meta struct<totalResults:long,uniqueDomains:long>, results array<struct<url:string,title:string,score:double,domain:string>>")
+    rows = text.select(value.alias("v")).select("v.meta", F.posexplode("v.results").alias("place", "r"))
+    return rows.select(F.col("place").cast("long").alias("place"), "r.url", "r.title", "r.score", "r.domain", F.col("meta.totalResults").alias("total"), F.col("meta.uniqueDomains").alias("domains"))
+
+
+_TEMPLATE = "# {{section}}: {{totalResults}} of {{query}}\n{{#each results}}- [{{title}}]({{url}}) {{score}}% {{nothing}} {{categories}}\n{{/each}}end"
+_SQL_LINE = "'- [' || coalesce(title, '') || '](' || coalesce(url, '') || ') ' || cast(floor(v * 100 + 0.5::double) as bigint) || '% {{{{nothing}}}} ' || array_to_string(cats, ', ') || chr(10)"
+_SQL_TEXT = f"'# ' || section || ': ' || count(*) || ' of {QUERY}' || chr(10) || string_agg({_SQL_LINE.format()}, '' order by ord) || 'end'"
+
+
+@query(f"""with {C.SQL_PAGES}, s as materialized (select ord, url, title, {_SCORE} as v, {_sql_categories(RULES)} as cats, coalesce({C.sql_host()}, 'unknown') as domain from res),
+  g as (select 'domain' as kind, domain as section, * exclude (domain) from s union all select 'category', unnest(cats), * exclude (domain) from s)
+  select kind, section, count(*) as n, {_SQL_TEXT} as text from g group by kind, section""")
+def template_sections(spark, d):
+    """One text for each domain and each category of all pages."""
+    s = _with_categories(R.scored(C.pages(spark, d), QUERY, C.as_of(), TRUST))
+    return S.union_all([O.rendered(s, _TEMPLATE, {"query": QUERY}, by).select(F.lit(by).alias("kind"), "section", "n", "text") for by in ("domain", "category")])
 
 
 @query(f"""with {C.SQL_PAGES}, s as (select *, {_SCORE} as v from res), m as (select greatest(max(v), 0.01) as most from s)
@@ -680,6 +711,43 @@ def vectors_topk(spark, d):
     return V.nearest_many(e, e.filter("vec_id % 5 = 0"), 10, digits=9).withColumn("similarity", F.round("similarity", 6))
 
 
+#: For each web adapter what stands for a page in its payload, and the place of the list in it.
+_WEB_ITEMS = {
+    "searxng": ("results", {"url": "url", "title": "nullif(title, '')", "content": "snippet"}),
+    "wikipedia": ("query.search", {"title": "concat('Page of ', ord)", "snippet": "concat('<b>', title, '</b> ', ord)", "timestamp": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"}),
+    "hackernews": ("hits", {"url": "if(ord % 5 = 0, null, url)", "title": "title", "points": "int(ord % 100)", "num_comments": "int(ord % 7)", "author": "source", "created_at": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"}),
+    "github": ("items", {"html_url": "url", "full_name": "concat(source, '/', ord)", "description": "if(ord % 3 = 0, null, title)", "stargazers_count": "int(ord % 1000)", "updated_at": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"}),
+    "reddit": ("data.children", {"data": "named_struct('permalink', concat('/r/', source, '/', ord), 'title', title, 'selftext', snippet, 'created_utc', double(unix_timestamp(ts)))"}),
+    "stackoverflow": ("items", {"link": "url", "title": "concat('&lt;', ord, '&gt; &eacute;&#x21; ', replace(title, '&', '&amp;'))", "score": "int(ord % 50)", "answer_count": "int(ord % 4)", "creation_date": "unix_timestamp(ts)"}),
+}
+
+
+@query(f"""with {C.SQL_PAGES}, a as (
+  select 'searxng' as source, url, coalesce(nullif(title, ''), 'Untitled') as title, snippet, timestamp '{C.AS_OF}' as ts from res
+  union all select 'wikipedia', 'https://en.wikipedia.org/wiki/Page_of_' || ord, 'Page of ' || ord, title || ' ' || ord, ts from res
+  union all select 'hackernews', url, title, (ord % 100) || ' points | ' || (ord % 7) || ' comments | by ' || source, ts from res where ord % 5 <> 0
+  union all select 'github', url, source || '/' || ord || ' (★' || (ord % 1000) || ')', case when ord % 3 = 0 then '' else title end, ts from res
+  union all select 'reddit', 'https://www.reddit.com/r/' || source || '/' || ord, title, substr(snippet, 1, 200), ts from res
+  union all select 'stackoverflow', url, '<' || ord || '> é! ' || title, 'Score: ' || (ord % 50) || ' | Answers: ' || (ord % 4), ts from res
+  union all select 'arxiv', 'https://p.test/' || ord, 'paper ' || ord, case when length(trim(snippet)) > 200 then substr(trim(snippet), 1, 200) || '...' else trim(snippet) end, ts from res)
+  select * from a""")
+def web_adapters(spark, d):
+    """All pages as payloads of each web service, and of a paper archive, fifty to a payload."""
+    p = C.pages(spark, d).withColumn("block", F.floor(F.col("ord") / 50))
+    parts = []
+    for name, (at, fields) in _WEB_ITEMS.items():
+        item = F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])
+        held = p.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("i")))), lambda e: e["i"]).alias("x"))
+        payload = F.col("x")
+        for part in reversed(at.split(".")):
+            payload = F.struct(payload.alias(part))
+        parts.append(N.adapter(name, held.select(F.to_json(payload).alias("payload")), C.as_of(), None).drop("ord"))
+    quote = F.replace(F.replace("snippet", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<entry><id>https://p.test/"), F.col("ord").cast("string"), F.lit("</id><title>paper "), F.col("ord").cast("string"), F.lit("</title><summary>"), quote, F.lit("</summary><published>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published></entry>"))
+    atom = p.groupBy("block").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("payload")).select("payload")
+    return S.union_all([*parts, W.papers(atom, C.as_of()).drop("ord")]).select("source", "url", "title", "snippet", "ts")
+
+
 def _read_cut(path: str, query: str, limit: int):
     """Results of one provider from the files that were cut for it."""
     import pyarrow.dataset as ds

@@ -122,10 +122,11 @@ _ADAPTERS = {
 }
 
 
-def adapter(name: str, df: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
-    """Results of one of the web adapters; items without URL are dropped."""
+def adapter(name: str, df: DataFrame, as_of: Column, limit: int | None = 20) -> DataFrame:
+    """Results of one of the web adapters; items without URL are dropped. Without a limit, ``df`` may have any number of payloads."""
     ddl, items, make = _ADAPTERS[name]
     x = df.select(F.from_json("payload", ddl).alias("p")).select(F.posexplode(f"p.{items}").alias("ord", "x"))
     url, title, snippet, ts = make(F.col("x"), as_of)
     out = x.select(F.col("ord").cast("long").alias("ord"), url.alias("url"), title.alias("title"), snippet.alias("snippet"), F.lit(name).alias("source"), ts.alias("ts"))
-    return out.filter(F.coalesce("url", F.lit("")) != "").orderBy("ord").limit(limit)
+    out = out.filter(F.coalesce("url", F.lit("")) != "")
+    return out if limit is None else out.orderBy("ord").limit(limit)

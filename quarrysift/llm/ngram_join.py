@@ -45,7 +45,7 @@ SLOT_BITS, WORDS = 18, 8
 #: Largest size at which subsets are thought of at all; rows that one element in a list costs, against one of a subset.
 LIGHT_MOST, SCAN = 24, 6
 #: Lists up to this length are compared by a join, longer ones in cells; texts and elements in a chunk, two chunks a cell.
-LIST, CHUNK, CHUNK_ELEMENTS = 32, 2048, 1_500_000
+LIST, CHUNK, CHUNK_ELEMENTS = 32, 4096, 5_000_000
 #: Texts asked for by name up to which the names are sent to all tasks; beyond, all texts are dealt by name.
 NAMED = 1_000_000
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]

@@ -45,7 +45,7 @@ SLOT_BITS, WORDS = 18, 8
 #: Largest size at which subsets are thought of at all; rows that one element in a list costs, against one of a subset.
 LIGHT_MOST, SCAN = 24, 6
 #: Lists up to this length are compared by a join, longer ones in cells; texts and elements in a chunk, two chunks a cell.
-LIST, CHUNK, CHUNK_ELEMENTS = 32, 4096, 5_000_000
+LIST, CHUNK, CHUNK_ELEMENTS = 32, 4096, 2_000_000
 #: Texts asked for by name up to which the names are sent to all tasks; beyond, all texts are dealt by name.
 NAMED = 1_000_000
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
@@ -224,10 +224,15 @@ def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
             yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, 1000), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))], names=["c", "node", "elements"])
 
 
-def cell_links(comp: np.ndarray, size: np.ndarray, bits: list[np.ndarray], minor: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest, over the classes ``comp``, of the links between a minor text and any other of a cell."""
+def cell_links(node: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[np.ndarray], minor: np.ndarray, lists: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """A spanning forest, over the classes ``comp``, of the links between a minor text and any other of a cell.
+
+    Without ``lists``, the texts' elements: a forest over the nodes of what size and parities leave as possible
+    links between different classes.
+    """
     name, label = np.unique(comp, return_inverse=True)
     root, out = np.arange(len(name)), []
+    near = np.arange(len(node))
     words = np.array([len(b) for b in bits])
     by = {n: np.flatnonzero(words == n) for n in np.unique(words).tolist()}
     for n, m in ((n, m) for n in by for m in (n // 2, n, 2 * n) if m in by):  # sizes that may link
@@ -242,22 +247,28 @@ def cell_links(comp: np.ndarray, size: np.ndarray, bits: list[np.ndarray], minor
                 apart += np.bitwise_count(own[:, k][:, None] ^ other[None, :, k])
             s, t = size[q][:, None], size[by[m]]
             ok = (apart <= s + t - 2 * needed(s, t)) & (root[label[q]][:, None] != root[label[by[m]]]) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
+            if lists is None:
+                i, j = np.nonzero(ok)
+                near = _merge(near, q[i], by[m][j])
+                continue
             for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
                 i, j = q[i], by[m][j]
                 a, b = root[label[i]], root[label[j]]
                 if a != b and len(np.intersect1d(lists[i], lists[j], assume_unique=True)) >= needed(size[i], size[j]):
                     out.append((int(name[label[i]]), int(name[label[j]])))
                     root = _merge(root, np.array([a]), np.array([b]))
-    return out
+    moved = np.flatnonzero(near != np.arange(len(near)))
+    return out + list(zip(node[moved].tolist(), node[near[moved]].tolist(), strict=True))
 
 
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_key(batches, "cell", 1):
-        cell, comp, size, side = (table.column(n).to_numpy() for n in ("cell", "comp", "size", "minor"))
-        bits, lists = ([np.array(x.values) for x in table.column(n)] for n in ("bits", "elements"))
+        cell, node, comp, size, side = (table.column(n).to_numpy() for n in ("cell", "node", "comp", "size", "minor"))
+        bits = [np.array(x.values) for x in table.column("bits")]
+        lists = [np.array(x.values) for x in table.column("elements")] if "elements" in table.column_names else None
         edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
         for a, b in zip(edge, edge[1:], strict=False):
-            found = cell_links(comp[a:b], size[a:b], [x.view(np.uint64) for x in bits[a:b]], np.flatnonzero(side[a:b]), lists[a:b])
+            found = cell_links(node[a:b], comp[a:b], size[a:b], [x.view(np.uint64) for x in bits[a:b]], np.flatnonzero(side[a:b]), lists and lists[a:b])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
 
 
@@ -314,14 +325,24 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     comp = classes(found)
     tie = lambda c: c.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
+    def possible(edges: DataFrame, comp: DataFrame) -> DataFrame:
+        """(u, v): a forest of the possible links between all nodes that ``edges`` connect; only parities move."""
+        return materialize(dealt_out(edges, comp, 8).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_batches, "u long, v long"), "possible")
+
     def in_cells(edges: DataFrame, comp: DataFrame) -> DataFrame:
         """``comp`` with the links between all nodes that ``edges`` (u, v) connect; a text moves once for each of its cells."""
+        cells = dealt_out(edges, comp, 1)
+        full = cells.join(held(cells.select("node")), "node").repartition("cell").sortWithinPartitions("cell")
+        return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
+
+    def dealt_out(edges: DataFrame, comp: DataFrame, slim: int) -> DataFrame:
+        """(cell, node, comp, size, bits, minor): the nodes that ``edges`` connect, each in all cells that compare it; so many times the elements in a chunk."""
         group = classes(edges)
         nodes = group.select("node").unionByName(group.select(F.col("root").alias("node"))).distinct()
         whole = materialize(of(of(nodes, group, "node", "group"), comp, "node", "comp").join(part, "node"), "grouped")
         counted = whole.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("e"))
         largest = counted.groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
-        parts = counted.join(largest, "group").withColumn("minor", F.col("comp") != F.col("top")).groupBy("group", "minor").agg(F.ceil(F.greatest(F.sum("k") / chunk, F.sum("e") / CHUNK_ELEMENTS)).alias("n"))
+        parts = counted.join(largest, "group").withColumn("minor", F.col("comp") != F.col("top")).groupBy("group", "minor").agg(F.ceil(F.greatest(F.sum("k") / chunk, F.sum("e") / (CHUNK_ELEMENTS * slim))).alias("n"))
         parts = parts.groupBy("group").agg(F.coalesce(F.max(F.when(F.col("minor"), F.col("n"))), F.lit(0)).alias("m"), F.coalesce(F.max(F.when(~F.col("minor"), F.col("n"))), F.lit(0)).alias("n")).filter("m > 0")
         dealt = whole.join(largest, "group").join(parts, "group").withColumn("minor", F.col("comp") != F.col("top"))
         dealt = dealt.withColumn("at", F.when(F.col("minor"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.pmod(F.xxhash64("node"), "n")))
@@ -331,9 +352,7 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
         outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: pair(1, F.col("at"), j))
         across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: pair(1, i, F.col("at")))
         cells = dealt.withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(inner, outer)).otherwise(across)))
-        cells = materialize(cells.select("node", "comp", "size", "bits", "minor", F.xxhash64("group", "cell").alias("cell")), "cells")
-        full = cells.join(held(cells.select("node")), "node").select("cell", "comp", "size", "bits", "minor", "elements").repartition("cell").sortWithinPartitions("cell")
-        return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
+        return materialize(cells.select(F.xxhash64("group", "cell").alias("cell"), "node", "comp", "size", "bits", "minor"), "cells")
 
     late = of(of(near.filter("rank > 1"), comp, "u", "cu"), comp, "v", "cv").filter("cu <> cv")
     late = materialize(late.select("u", "v"), "late")
@@ -348,7 +367,10 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     short = members.filter(F.col("k") <= most).join(part, "node")
     half = lambda x, y: short.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{y}"), F.col("size").alias(f"s{y}"), F.col("bits").alias(f"b{y}"))
     cross = half("u", "a").join(half("v", "b"), "token").filter((F.col("u") < F.col("v")) & (F.col("ca") != F.col("cb")) & _may_link("sa", "sb", "ba", "bb"))
-    cross = materialize(cross.select("u", "v").distinct().unionByName(members.filter((F.col("k") > most) & (F.col("node") != F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v"))), "cross")
+    cross = materialize(cross.select("u", "v").distinct(), "cross")
+    wide = materialize(members.filter((F.col("k") > most) & (F.col("node") != F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v")), "wide")
+    if not wide.isEmpty():  # long lists connect what has little in common: sieved first
+        cross = cross.unionByName(possible(wide, comp))
     return comp if cross.isEmpty() else in_cells(cross, comp)
 
 

@@ -143,3 +143,11 @@ def test_query_and_sql(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.sql(ngram_join.OP13_SQL).fetchall(), key=str) == want
+
+
+def test_long_lists_are_sieved(spark):
+    """Lists of over four texts go through both kinds of cells."""
+    rng = random.Random(8)
+    base, passage = words(rng, 100), words(rng, 30)
+    rows = [(i, " ".join(edited(rng, base, rng.randint(1, 7))), 0, "") for i in range(70)] + [(100 + i, " ".join(words(rng, 8) + passage), 0, "") for i in range(30)]
+    assert got(ngram_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA), most=4, chunk=9)) == slow(rows)

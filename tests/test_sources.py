@@ -154,3 +154,14 @@ def test_folder_without_setting(spark, monkeypatch):
 
     assert session.shared_dir(Session()) == session.shared_dir(Session())
     assert session.shared_dir(spark) == before
+
+
+def test_a_reference_is_worked_out_once(spark):
+    """The regular expressions of a reference stand in its plan a few times, not once for each use of what they give."""
+    plan = spark.range(1).select(entities.unescape(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") + plan.count("regexp_extract (") <= 12
+
+
+def test_many_different_references_of_a_text(spark):
+    text = "".join(f"&#{n}; &#x{n:x};&amp{n}" for n in range(0x4E00, 0x4E00 + entities.DIFFERENT))
+    assert one(spark, [text], entities.unescape) == [html.unescape(text)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -42,22 +44,28 @@ class ProviderReader(DataSourceReader):
         return [ProviderPartition(n, every.index(n)) for n in self.names]
 
     def read(self, partition: ProviderPartition) -> Iterator[tuple]:
-        for attempt in range(self.retries + 1):
-            try:
-                # all of a provider's rows or none: a failure half-way must not leave some behind
-                rows = []
-                for row in self.fetchers[partition.provider](self.query, self.limit):
-                    rows.append(row)
-                    if len(rows) == self.limit:
-                        break
-                break
-            except Exception as e:
-                if attempt == self.retries:
-                    yield partition.provider, -1, None, None, None, None, str(e), getattr(e, "status", None)
-                    return
-                time.sleep(self.wait * 2**attempt)
-        for place, (url, title, snippet, ts) in enumerate(rows):
-            yield partition.provider, place, url, title, snippet, ts, None, None
+        # all of a provider's rows or none: a failure half-way must not leave some behind; a file holds them until then
+        with tempfile.TemporaryFile() as held:
+            for attempt in range(self.retries + 1):
+                try:
+                    held.seek(0)
+                    held.truncate()
+                    n = 0
+                    for row in self.fetchers[partition.provider](self.query, self.limit):
+                        pickle.dump(tuple(row), held, pickle.HIGHEST_PROTOCOL)
+                        n += 1
+                        if n == self.limit:
+                            break
+                    break
+                except Exception as e:
+                    if attempt == self.retries:
+                        yield partition.provider, -1, None, None, None, None, str(e), getattr(e, "status", None)
+                        return
+                    time.sleep(self.wait * 2**attempt)
+            held.seek(0)
+            for place in range(n):
+                url, title, snippet, ts = pickle.load(held)
+                yield partition.provider, place, url, title, snippet, ts, None, None
 
 
 def register(spark: SparkSession, fetchers: dict[str, Fetch], name: str = "providers") -> None:

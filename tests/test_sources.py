@@ -165,3 +165,24 @@ def test_a_reference_is_worked_out_once(spark):
 def test_many_different_references_of_a_text(spark):
     text = "".join(f"&#{n}; &#x{n:x};&amp{n}" for n in range(0x4E00, 0x4E00 + entities.DIFFERENT))
     assert one(spark, [text], entities.unescape) == [html.unescape(text)]
+
+
+def test_a_provider_is_not_held_in_memory():
+    """40 MB of results pass in little memory; a try that fails half-way leaves nothing."""
+    import tracemalloc
+
+    tries = []
+
+    def give(query, limit):
+        tries.append(1)
+        for i in range(4000):
+            yield f"https://{i}", "t", str(i) * 2500, None
+            if len(tries) == 1 and i == 100:
+                raise OSError("once")
+
+    reader = providers.ProviderReader({"a": give}, {"limit": "100000", "wait": "0"})
+    tracemalloc.start()
+    places = [r[1] for r in reader.read(reader.partitions()[0])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places == list(range(4000)) and len(tries) == 2 and peak < 5_000_000

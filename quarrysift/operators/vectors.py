@@ -41,9 +41,9 @@ def _unit(data: bytes, rows: int) -> np.ndarray:
 
 def _best_batches(batches: Iterator[pa.RecordBatch], n: int, digits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, queries = np.array(row["ids"], np.int64), np.array(row["query_ids"], np.int64)
-            x, q = _unit(row["data"], len(ids)), _unit(row["query_data"], len(queries))
+        for at in range(batch.num_rows):  # row by row: the blocks of a batch are not copied at once
+            ids, queries = (batch.column(c)[at].values.to_numpy().astype(np.int64) for c in ("ids", "query_ids"))
+            x, q = _unit(batch.column("data")[at].as_buffer(), len(ids)), _unit(batch.column("query_data")[at].as_buffer(), len(queries))
             if x.shape[1] != q.shape[1]:
                 raise ValueError("vectors differ in length")
             out: list[tuple] = []

@@ -331,7 +331,7 @@ WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 80
 BANDS, ROWS = 20, 3
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A bucket with more pairs a row than this first links each row to so many nearest ones.
-DENSE, NEAREST = 16, 3
+DENSE, NEAREST = 3, 3
 #: Texts of a group that are compared together; shingles held at once in a comparison.
 CELL, COLUMNS = 2048, 4096
 

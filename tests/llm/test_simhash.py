@@ -179,3 +179,12 @@ def test_rows_that_share_an_id_and_a_text(spark):
     rows = [(1, "a b c d e f", x) for x in ("p", "q", "r")] + [(2, "g h", "s")]
     got = [sorted(map(str, S.one_of_each(spark.createDataFrame(r, "doc_id long, text string, kept string")).collect())) for r in (rows, rows[::-1])]
     assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_pairs_of_a_bucket_grow_with_its_rows():
+    """A bucket of near copies gives a few pairs a row whatever its size; those left out are compared in cells."""
+    for n in (12, 30, 60):
+        wide = np.zeros((n, 4), np.uint64)
+        wide[:, 0] = np.arange(n)
+        u, v, dense = S._bucket_pairs(np.arange(n), np.full(n, 100), wide, 80)
+        assert len(u) == len(v) <= 2 * S.DENSE * n and S.DENSE <= 4 and dense

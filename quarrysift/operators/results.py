@@ -114,11 +114,15 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, key: str = "ord") -> D
 
 def categories(url: Column, title: Column, snippet: Column, rules=CATEGORIES) -> Column:
     """Ordered names of the categories with a fitting rule; General if none."""
-    h, text, link = U.full_host(url), F.lower(F.concat_ws(" ", title, snippet)), F.lower(url)
     some = lambda c, parts: [F.contains(c, F.lit(p)) for p in parts]
-    hits = [F.when(reduce(lambda a, b: a | b, some(h, d) + some(text, k) + some(link, u), F.lit(False)), name) for name, d, k, u in rules]
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("General"))).otherwise(found)
+
+    def names(v: Column) -> Column:
+        hits = [F.when(reduce(lambda a, b: a | b, some(v["h"], d) + some(v["text"], k) + some(v["link"], u), F.lit(False)), name) for name, d, k, u in rules]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    # host, text and link are worked out once for a row, not once for each part looked for
+    read = F.struct(U.full_host(url).alias("h"), F.lower(F.concat_ws(" ", title, snippet)).alias("text"), F.lower(url).alias("link"))
+    return T.bound(T.bound(read, names), lambda found: F.when(F.size(found) == 0, F.array(F.lit("General"))).otherwise(found))
 
 
 def cache_key(source: Column, query: Column, limit: Column, domains: list[str] = (), exclude: list[str] = (), locale: str = "", dates: tuple[str, str] | None = None) -> Column:

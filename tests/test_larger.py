@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrysift.operators import refine
+from quarrysift.plans import output
 
 
 def plan(df) -> str:
@@ -20,3 +21,14 @@ def test_suggestions_hash_and_keep_ties_by_place(spark):
     assert least.filter(F.col("p") != F.col("f.pos")).count() == 0
     got = [r.term for r in refine.suggestions(df, "none", 20).collect()]  # of equal scores the one of the smallest ord comes first
     assert got.index("omega") < got.index("delta") and got.index("gamma omega") < got.index("delta gamma")
+
+
+def test_sections_by_category_do_not_work_texts_out_for_a_filter(spark, tmp_path):
+    spark.createDataFrame([(0, "a x"), (1, ""), (2, "b")], "ord long, html string").write.parquet(str(tmp_path / "t"))
+    found = F.filter(F.split("html", " "), lambda x: x != "")
+    df = spark.read.parquet(str(tmp_path / "t")).withColumns({"url": F.lit("https://a.test/"), "categories": F.when(F.col("ord") == 2, F.array(F.lit(None).cast("string"))).otherwise(found)})
+    df = df.withColumn("title", F.upper("html"))
+    got = output.rendered(df, "{{section}}:{{#each results}}{{title}} {{categories}};{{/each}}", {}, "category")
+    assert "Filter (size(" not in plan(got)
+    # a row without categories is in no section, and one whose category is null in a section of its own
+    assert {(r.section, r.n, r.text) for r in got.collect()} == {("a", 1, "a:A X a, x;"), ("x", 1, "x:A X a, x;"), (None, 1, ":B ;")}

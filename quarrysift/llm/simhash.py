@@ -330,8 +330,8 @@ WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 80
 #: Candidates share the least hashes of one of so many groups of so many orders.
 BANDS, ROWS = 20, 3
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A bucket with more pairs a row than this first links each row to so many nearest ones.
-DENSE, NEAREST = 3, 3
+#: A bucket with more pairs a row than this first links each row to the nearest one before it only.
+DENSE = 3
 #: Texts of a group that are compared together; shingles held at once in a comparison.
 CELL, COLUMNS = 2048, 4096
 
@@ -400,9 +400,10 @@ def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, i
 
 
 def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of one bucket, and whether they are only the nearest of very many.
+    """Candidate pairs of one bucket, and whether they are only some of very many.
 
-    Sizes that rule the similarity out are skipped.
+    Those are a forest: each row with the nearest before it, so that a bucket has fewer pairs
+    than rows. Sizes that rule the similarity out are skipped.
     """
     n, step, total = len(node), max(1, 2_000_000 // len(node)), 0
     found, near = [], []
@@ -414,11 +415,10 @@ def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: i
         ok = (d <= apart) & (5 * np.minimum(size[q][:, None], size) >= 4 * np.maximum(size[q][:, None], size))
         ok[np.arange(len(q)), q] = False
         total += int(ok.sum())
-        few = min(NEAREST, n - 1)
-        best = np.argpartition(np.where(ok, d, 257), few - 1, axis=1)[:, :few] if n > DENSE else np.zeros((len(q), 0), np.int64)
-        a = np.repeat(q, best.shape[1])
-        hit = ok[a - lo, best.ravel()]
-        near.append((a[hit], best.ravel()[hit]))
+        before = np.where(ok & (np.arange(n) < q[:, None]), d, 257) if n > DENSE else np.zeros((0, n), np.int16)
+        best = before.argmin(axis=1)
+        hit = np.flatnonzero(before[np.arange(len(best)), best] < 257)
+        near.append((q[hit], best[hit]))
         if n > DENSE and total > 2 * DENSE * n:
             found = []
             continue
@@ -530,8 +530,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
     or more; it is worked out on the shingles of all candidates. Candidates differ in at most
     ``apart`` bits of their 256-bit SimHash and meet in one of ``BANDS`` buckets, keyed by the
     least hashes of their shingles in ``ROWS`` orders: a pair at 0.8 meets in none about once
-    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, only
-    the nearest are linked at first. What then is in different classes yet is compared, text
+    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, each
+    text is linked to the nearest before it at first. What then is in different classes yet is compared, text
     by text, in cells of at most two times ``cell`` texts, which give a spanning forest.
 
     The row of smallest doc_id stays (null last, then by a hash of the row); of equal rows one.
@@ -558,7 +558,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
         held = base.alias("t").join(named.alias("n").hint("shuffle_hash"), F.col("n.d").eqNullSafe(F.col("t.d")) & (F.col("n.c") == F.col("t.c"))).select("node", "text").dropDuplicates(["node"])
         return materialize(held.mapInArrow(partial(_element_batches, shingle=shingle), "node long, elements array<long>"), "held")
 
-    inside = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    inside = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")  # rows of two buckets in one order give the same pairs
     pairs = materialize(inside.mapInArrow(partial(_pair_batches, apart=apart), "bucket long, u long, v long, dense boolean"), "pairs")
     few = pairs.select("u", "v").distinct()
     held = elements(few.select(F.explode(F.array("u", "v")).alias("node")).distinct())
@@ -570,8 +570,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
     open_ = members.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("node").alias("first")).filter("least <> most").select("bucket", "first")
     groups = materialize(members.join(open_, "bucket").select(F.col("node").alias("u"), F.col("first").alias("v"), "comp"), "groups")
     if not groups.isEmpty():  # one group of buckets that share texts, so that each text moves once for each of its cells
-        joined = components(groups.select("u", "v"))
-        texts = groups.select(F.col("u").alias("node"), "comp").distinct().join(joined, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        # by the buckets' first texts: a text's buckets are joined through the least of them, so few edges are left
+        texts = materialize(groups.groupBy("u", "comp").agg(F.min("v").alias("least"), F.collect_set("v").alias("firsts")), "texts")
+        joined = components(texts.select(F.explode("firsts").alias("u"), F.col("least").alias("v"))).withColumnRenamed("node", "least")
+        texts = texts.join(joined, "least", "left").select(F.col("u").alias("node"), "comp", F.coalesce("root", "least").alias("group"))
         many = texts.groupBy("group").agg(F.ceil(F.count("*") / F.lit(cell)).alias("parts"))
         chunk = texts.join(many, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")))
         cells = chunk.select("node", "comp", "chunk", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

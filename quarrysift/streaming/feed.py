@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from ..operators import ranking, results
 from ..session import scratch
 
-#: Map state and timers need this store.
+#: State with timers needs this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,52 +40,44 @@ class FirstWins(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "ord long, copies long, latest long, row binary")
-        self.entries = handle.getMapState("entries", "name string", "ord long, value string")
-        self.sources = handle.getMapState("sources", "name string", "ord long")
+        # One value, read and written once for a key and batch: each call to the store is a message to the JVM.
+        self.kept = handle.getValueState("kept", "latest long, state binary")
 
-    def _state(self, key: tuple, final: bool) -> pd.DataFrame:
-        import pickle
-
-        _, copies, _, row = self.first.get()
-        names = [n for _, n in sorted((v[0], k[0]) for k, v in self.sources.iterator())]
-        metadata = [(k[0], v[1]) for k, v in sorted(self.entries.iterator(), key=lambda e: e[0][0])]
-        columns = dict(zip(self.row.names, ([x] for x in pickle.loads(bytes(row))), strict=True))
-        return pd.DataFrame({"key": [key[0]], **columns, "metadata": [dict(metadata) or None], "sources": [names if copies > 1 else None], "copies": [copies], "final": [final]})
+    def _row(self, key: tuple, state: tuple, final: bool) -> Row:
+        _, copies, row, entries, sources = state
+        names = [n for _, n in sorted((at, n) for n, at in sources.items())]
+        metadata = {name: entries[name][1] for name in sorted(entries)}
+        fields = dict(zip(self.row.names, row, strict=True))
+        return Row(key=key[0], **fields, metadata=metadata or None, sources=names if copies > 1 else None, copies=copies, final=final)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         import pickle
 
-        ord_, copies, latest, row = self.first.get() if self.first.exists() else (None, 0, 0, None)
-        old = latest
-        entries, sources = {}, {}
-        for part in rows:
-            for r in part.itertuples(index=False):
-                copies += 1
-                if ord_ is None or r.ord < ord_:
-                    ord_, row = int(r.ord), pickle.dumps([getattr(r, n) for n in self.row.names])
-                latest = max(latest, int(r.ts.value // 1_000_000))
-                sources[r.source] = min(int(r.ord), sources.get(r.source, int(r.ord)))
-                for name, value in dict(r.metadata or {}).items():
-                    if name not in entries or entries[name][0] <= r.ord:
-                        entries[name] = (int(r.ord), value)
-        for name, (at, value) in entries.items():
-            if not self.entries.containsKey((name,)) or self.entries.getValue((name,))[0] <= at:
-                self.entries.updateValue((name,), (at, value))
-        for name, at in sources.items():
-            if not self.sources.containsKey((name,)) or self.sources.getValue((name,))[0] > at:
-                self.sources.updateValue((name,), (at,))
-        self.first.update((ord_, copies, latest, row))
+        held = self.kept.get()
+        old, state = (held[0], pickle.loads(bytes(held[1]))) if held is not None else (0, (None, 0, None, {}, {}))
+        (ord_, copies, row, entries, sources), latest = state, old
+        for r in rows:
+            copies += 1
+            if ord_ is None or r.ord < ord_:
+                ord_, row = r.ord, tuple(r[n] for n in self.row.names)
+            latest = max(latest, r.qs_millis)
+            sources[r.source] = min(r.ord, sources.get(r.source, r.ord))
+            for name, value in dict(r.metadata or {}).items():
+                if name not in entries or entries[name][0] <= r.ord:
+                    entries[name] = (r.ord, value)
+        state = (ord_, copies, row, entries, sources)
+        self.kept.update((latest, pickle.dumps(state)))
         if latest != old:
             if old:
                 self.handle.deleteTimer(old + self.keep)
             self.handle.registerTimer(latest + self.keep)
-        yield self._state(key, False)
+        yield self._row(key, state, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        import pickle
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._state(key, True)
-        for state in (self.first, self.entries, self.sources):
-            state.clear()
+        out = self._row(key, pickle.loads(bytes(self.kept.get()[1])), True)
+        self.kept.clear()
         yield out
 
     def close(self) -> None:
@@ -102,9 +94,9 @@ def merged_first_wins(stream: DataFrame, delay: str = "1 hour", keep: str = "1 h
     fields = [f for f in stream.schema if f.name not in ("metadata", "sources", "copies")]
     row = StructType(fields)
     out = StructType([StructField("key", StructType.fromDDL("key string")["key"].dataType), *fields, *StructType.fromDDL("metadata map<string,string>, sources array<string>, copies long, final boolean")])
-    keyed = stream.withColumn("key", results.dedup_key() if key is None else key).withWatermark("ts", delay)
+    keyed = stream.withColumns({"key": results.dedup_key() if key is None else key, "qs_millis": F.unix_millis("ts")}).withWatermark("ts", delay)
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
-    return keyed.groupBy("key").transformWithStateInPandas(FirstWins(row, millis), out, "Update", "EventTime")
+    return keyed.groupBy("key").transformWithState(FirstWins(row, millis), out, "Update", "EventTime")
 
 
 def run_available(stream: DataFrame, name: str = "updates") -> DataFrame:

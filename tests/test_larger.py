@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their input."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrysift.operators import refine
 from quarrysift.plans import output
+from quarrysift.streaming import feed
 
 
 def plan(df) -> str:
@@ -32,3 +35,35 @@ def test_sections_by_category_do_not_work_texts_out_for_a_filter(spark, tmp_path
     assert "Filter (size(" not in plan(got)
     # a row without categories is in no section, and one whose category is null in a section of its own
     assert {(r.section, r.n, r.text) for r in got.collect()} == {("a", 1, "a:A X a, x;"), ("x", 1, "x:A X a, x;"), (None, 1, ":B ;")}
+
+
+class Store:
+    """A stand-in for the state store that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def _told(self, *value):
+        self.calls += 1
+        return self.value
+
+    getMapState = getValueState  # noqa: N815
+    get = exists = iterator = containsKey = getValue = updateValue = deleteTimer = registerTimer = _told  # noqa: N815
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_a_key_asks_the_store_a_few_times_however_many_names(spark):
+    fields = StructType.fromDDL("ord long, url string, source string")
+    rows = [Row(ord=i, url="u", source=f"s{i}", metadata={f"m{j}": str(i) for j in range(20)}, qs_millis=i) for i in (5, 3)]
+    store, wins = Store(), feed.FirstWins(fields, 10)
+    wins.init(store)
+    for n, r in enumerate(rows):
+        store.calls = 0
+        (got,) = wins.handleInputRows(("u",), iter([r]), None)
+        assert store.calls <= 4, n
+    assert (got.ord, got.copies, got.sources, got.metadata["m7"], got.final) == (3, 2, ["s3", "s5"], "5", False)

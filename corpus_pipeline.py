@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrysift.llm import decontaminate, packing, simhash, substring, toxicity
-from quarrysift.session import materialize, ship
+from quarrysift.session import bounded_batches, materialize, ship
+
+
+def _begin(spark: SparkSession) -> None:
+    ship(spark)
+    bounded_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is fitted on the labelled rows of the documents that come in.
     """
-    ship(spark)
+    _begin(spark)
     settings = toxicity.Settings()
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), settings)
     return toxicity.score(docs, model).filter(F.col("score") < settings.threshold).select("doc.*")
@@ -26,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies at 5-word shingles and similarity 0.8."""
-    ship(spark)
+    _begin(spark)
     return simhash.one_of_each(docs)
 
 
@@ -36,7 +41,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A text that loses words becomes its other words joined by one space, and n_chars its
     length; other rows stay as they are.
     """
-    ship(spark)
+    _begin(spark)
     cut = substring.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("doc.text"))}
@@ -50,7 +55,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Each row goes or stays by its own text, whatever its doc_id.
     """
-    ship(spark)
+    _begin(spark)
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontaminate.benchmark_matches(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     marked = materialize(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
@@ -59,7 +64,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed into sequences of 2048."""
-    ship(spark)
+    _begin(spark)
     return packing.pack_documents(docs)
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 GAP, DECAY, LONGEST = 3, 0.7, 24
+#: Pieces of words whose triples are worked out at once, and whose kernel rows are.
+CODED, TOGETHER = 1024, 64
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -116,14 +118,14 @@ class Kernel:
                 of += [i] * len(p)
         of = np.array(of, np.int64)
         found, rows = [], []
-        for at in range(0, len(pieces), 4096):
-            ids, weights = _triples(_codes(pieces[at : at + 4096], self.alphabet), self.size)
+        for at in range(0, len(pieces), CODED):
+            ids, weights = _triples(_codes(pieces[at : at + CODED], self.alphabet), self.size)
             least = np.sqrt((np.where(ids >= 0, weights, 0) ** 2).sum(axis=1))
             hit = self.row[ids]
             bound = (self.most[hit] * weights).sum(axis=1) / np.maximum(least, 1e-9)
             go = np.flatnonzero(bound >= floor)
-            for lo in range(0, len(go), 512):
-                g = go[lo : lo + 512]
+            for lo in range(0, len(go), TOGETHER):
+                g = go[lo : lo + TOGETHER]
                 own = hit[g]
                 r, c = np.nonzero(own)
                 k = np.zeros((len(g), len(self.landmarks)), np.float32)
@@ -353,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     words = Words(model.kernel, model.floor) if model.kernel else None
     for batch in _slices(batches):
-        out, texts = [], [t or "" for t in batch.column("text").to_pylist()]
+        out, texts = [], [t or "" for t in batch.column("doc").field("text").to_pylist()]
         if words:
             words.learn({w for t in texts for w in t.lower().split()})
         for text in texts:
@@ -367,9 +369,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the score of a text without a suspicious word.
     """
-    packed = docs.select(F.struct("*").alias("doc")).select(F.col("doc.text").alias("text"), "doc")
+    packed = docs.select(F.struct("*").alias("doc"))  # the text moves once, within its row
     schema = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(partial(_scores, model=model), schema).select("doc", "score")
+    return packed.mapInArrow(partial(_scores, model=model), schema)
 
 
 def held_out():

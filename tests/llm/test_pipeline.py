@@ -78,3 +78,17 @@ def test_drop_benchmark_by_row(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in P.drop_benchmark(spark, docs, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([rows[i] for i in (1, 3, 4, 5, 6)], key=str)
+
+
+def test_stages_give_python_workers_small_batches(spark):
+    import pyarrow as pa
+    from quarrysift.session import BATCH_LIMIT
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.conf.unset(BATCH_LIMIT)
+    P._begin(spark)
+    got = [r.n for r in spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 5000) AS text").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 30e6 and max(got) < 10e6

@@ -68,3 +68,16 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     model = T.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score < 0.3 for r in T.score(df, model).collect()] == [True, True]
+
+
+def test_kernel_rows_are_worked_out_in_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(20))
+    kernel, words = T.Kernel([word() for _ in range(160)]), [word() for _ in range(1500)]
+    tracemalloc.start()
+    kernel(words, 0.2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6

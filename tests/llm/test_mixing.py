@@ -191,3 +191,58 @@ def test_empty(spark):
 
     r = M.score_texts(one, F.lit(True)).first()
     assert (r.n_known, r.train_tokens, r.n_tokens) == (0, 0, 3) and r.score < 0
+
+
+def slow_spell(model, words, own):
+    """Each byte's cost by plain loops; the weights take a step after every range."""
+    (p,) = M.pieces([words], 1 << 20)
+    code, begin = model.code, M._BEGIN.tolist()
+    weights, cost, at = np.full((M.GATES, M.PREDICTORS), M.FIRST * M.STEP), [], 0
+    while at < len(p.data):
+        to = min(len(p.data), at + (M.RANGE if at < M.LATER else M.LATER))
+        up, norm = np.zeros((2, M.GATES, M.PREDICTORS))
+        for i in range(at, to):
+            first, n = code.offset[p.data[i]], code.length[p.data[i]]
+            x = np.empty((n, M.PREDICTORS))
+            for j in range(n):
+                bit = int(code.bit[first + j])
+                slots = [begin[k] + (int(p.hashes[k, i]) ^ int(code.node[first + j])) for k in range(M.PREDICTORS)]
+                x[j] = [model.less[2 * s + bit] if own else model.all[s] for s in slots]
+            gate = sum((x[0, M.PREDICTORS - M.GATED + j] != 0) << j for j in range(M.GATED))
+            t, b = np.clip(x @ weights[gate], -12, 12), code.bit[first : first + n].astype(int)
+            cost.append(np.log10(1 + np.exp((1 - 2 * b) * t)).sum())
+            up[gate] += (1 / (1 + np.exp(-t)) - b) @ x
+            norm[gate] += (x * x).sum(axis=0)
+        weights -= M.RATE * up / np.maximum(1e4, norm)
+        at = to
+    return -np.add.reduceat(cost, p.starts)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_weights_learn_within_texts_of_any_length(own):
+    rnd = random.Random(11)
+    word = lambda: b"".join(rnd.choice([b"th", b"er", b"on", b"an", b"ing"]) for _ in range(rnd.choice([1, 2, 3])))
+    texts = [[word() for _ in range(n)] for n in (300, 1, 90, 500, 1500, 20, 15000)]
+    assert len(b" ".join(texts[2])) < M.RANGE < len(b" ".join(texts[0])) < 4096 and len(b" ".join(texts[-1])) > M.PIECE
+    n_bytes = Counter(x for t in texts for w in t for x in w + b" ")
+    counts = M.Counts(M.Code([n_bytes[v] for v in range(256)]))
+    counts.add(texts)
+    counts.flush()
+    x = M.stretch(counts.n)
+    model = M.Model(counts.code, x[0], np.ascontiguousarray(x[1:].T).ravel())
+    got, _ = M.spell(model, texts, own)
+    assert np.allclose(got, np.concatenate([slow_spell(model, t, own) for t in texts]), rtol=1e-3, atol=1e-4)
+
+
+def test_counting_holds_little_beside_its_table():
+    import tracemalloc
+
+    rnd = random.Random(2)
+    text = [bytes(rnd.choices(b"abcdefgh", k=7)) for _ in range(400_000)]
+    tracemalloc.start()
+    counts = M.Counts(M.Code([1] * 256))
+    counts.add([text])
+    counts.flush()
+    most = tracemalloc.get_traced_memory()[1] - counts.n.nbytes
+    tracemalloc.stop()
+    assert most < 100e6

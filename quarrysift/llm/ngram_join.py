@@ -37,7 +37,6 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 from .simhash import _by_key, _merge, components
-from .substring import WordHashes
 
 SHINGLE = 5
 #: Slots of the sketch of frequencies (a power of two), least words of 64 parity bits.
@@ -48,28 +47,83 @@ LIGHT_MOST, SCAN = 24, 6
 LIST, CHUNK, CHUNK_ELEMENTS = 32, 4096, 2_000_000
 #: Texts asked for by name up to which the names are sent to all tasks; beyond, all texts are dealt by name.
 NAMED = 1_000_000
+#: Bytes of texts whose words are hashed together; bytes of a word that is hashed with others.
+PART, WORD = 1 << 20, 64
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Masks of an eight's first bytes, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def elements(data: bytes | None, words_of: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles of a UTF-8 text.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data``, runs without ASCII white space, and where they begin; all at once.
+
+    A word is read by eights of bytes, the last one cut to its length. Words of more than ``WORD``
+    bytes are hashed one by one.
+    """
+    raw = np.frombuffer(b" " + data + b" " * 8, np.uint8)
+    space = _SPACE.take(raw)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, n = edge[::2], np.diff(edge)[::2]
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    h = n.astype(np.uint64) * np.uint64(_FACTORS[20])
+    h ^= eights[start] & _FIRST.take(np.minimum(n, 8))
+    _stir(h)
+    longer, k = np.flatnonzero((n > 8) & (n <= WORD)), 8
+    while len(longer):
+        left = n[longer] - k
+        x = h[longer] ^ (eights[start[longer] + k] & _FIRST.take(np.minimum(left, 8)))
+        _stir(x)
+        h[longer] = x
+        longer, k = longer[left > 8], k + 8
+    for i in np.flatnonzero(n > WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + n[i]], seed=7)
+    return h, start - 1
+
+
+def _stir(h: np.ndarray) -> None:
+    """Mixes 64-bit values in place."""
+    for factor, shift in ((_FACTORS[21], 32), (_FACTORS[22], 29)):
+        h *= np.uint64(factor)
+        h ^= h >> np.uint64(shift)
+
+
+def elements_of(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct word shingles of each text; about ``PART`` bytes are hashed together.
 
     A-Z are lower-cased; words are runs without ASCII white space. Fewer words than ``shingle``
     are one shingle of them all; null and texts without words have none.
     """
-    words = data.lower().split() if data else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = words_of.of(words)
-    width = min(shingle, len(h))
-    n = len(h) - width + 1
-    x = np.full(n, width, np.uint64)
-    for k in range(width):
-        x += h[k : k + n] * np.uint64(_FACTORS[k])
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    return np.unique(x)
+    held: list[bytes] = []
+    size = 0
+    for text in texts.cast(pa.large_binary()):
+        held.append(text.as_py() or b"")
+        size += len(held[-1])
+        if size >= PART:
+            yield from _elements(held, shingle)
+            held, size = [], 0
+    yield from _elements(held, shingle)
+
+
+def _elements(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    h, start = word_hashes(b" ".join(texts).lower())
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    edge = np.searchsorted(start, begin).tolist()
+
+    def shingles(h: np.ndarray, width: int) -> np.ndarray:
+        x = np.full(len(h) - width + 1, width, np.uint64)
+        for k in range(width):
+            x += h[k : k + len(x)] * np.uint64(_FACTORS[k])
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return x
+
+    whole = shingles(h, shingle) if len(h) >= shingle else h[:0]
+    for a, b in zip(edge, edge[1:], strict=False):
+        e = whole[a : b - shingle + 1].copy() if b - a >= shingle else shingles(h[a:b], b - a) if b > a else h[:0]
+        e.sort()
+        yield e[np.r_[True, e[1:] != e[:-1]]] if len(e) > 1 else e
 
 
 def needed(s, t):
@@ -82,11 +136,11 @@ def _slot(e: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    words_of, total, width = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64), 4096
+    total, width = np.zeros(1 << SLOT_BITS, np.int64), 4096
     for batch in batches:
         slots, held = [], 0
-        for t in batch.column("text").cast(pa.large_binary()):
-            slots.append(_slot(elements(t.as_py(), words_of, shingle)))
+        for e in elements_of(batch.column("text"), shingle):
+            slots.append(_slot(e))
             held += len(slots[-1])
             if held > 500_000:
                 total += np.bincount(np.concatenate(slots), minlength=len(total))
@@ -123,11 +177,9 @@ _SETS = "doc_id long, c long, node long, size long, head array<long>, bits array
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
-    words_of = WordHashes()
     for batch in batches:
         node, size, heads, bits, few = [], [], [], [], []
-        for t in batch.column("text").cast(pa.large_binary()):
-            e = elements(t.as_py(), words_of, shingle)
+        for e in elements_of(batch.column("text"), shingle):
             node.append(xxhash.xxh64_intdigest(e.tobytes(), seed=1))
             size.append(len(e))
             rank = (order[_slot(e)].astype(np.uint64) << np.uint64(57)) | (e >> np.uint64(7))
@@ -215,10 +267,9 @@ def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _element_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    words_of = WordHashes()
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
-            e = [elements(t.as_py(), words_of, shingle) for t in batch.column("text").slice(lo, 1000).cast(pa.large_binary())]
+            e = list(elements_of(batch.column("text").slice(lo, 1000), shingle))
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=1) for x in e], np.uint64).view(np.int64)
             at = np.cumsum([0, *map(len, e)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("c").slice(lo, 1000), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(e).view(np.int64)))], names=["c", "node", "elements"])

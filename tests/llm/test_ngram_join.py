@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from quarrysift.llm import ngram_join
 
@@ -151,3 +152,24 @@ def test_long_lists_are_sieved(spark):
     base, passage = words(rng, 100), words(rng, 30)
     rows = [(i, " ".join(edited(rng, base, rng.randint(1, 7))), 0, "") for i in range(70)] + [(100 + i, " ".join(words(rng, 8) + passage), 0, "") for i in range(30)]
     assert got(ngram_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA), most=4, chunk=9)) == slow(rows)
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Hashes of a word, or of a set, differ with it alone, and no call is made for each word."""
+    rng = random.Random(5)
+    odd = [None, "", " \t\n", "a", "a b c d", "\x0b a\x0cb\r\n", "x" * 8, "x" * 9, "x" * 16 + " " + "x" * 17, "y" * 200 + " " + "y" * 201, "A é b É", "a\x00 a\x00\x00 a b"]
+    texts = odd + [" ".join(f"{rng.choice('abc') * rng.randint(1, 30)}{rng.randint(0, 999)}" for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    calls, plain = [], ngram_join.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ngram_join.xxhash, "xxh64_intdigest", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["doc_id", "c", "text"])
+    (got,) = ngram_join._set_batches(iter([batch]), 5, np.zeros(1 << ngram_join.SLOT_BITS, np.uint8))
+    assert len(calls) <= n + 2
+    want = [shingles(t) for t in texts]
+    assert got.column("size").to_pylist() == [len(s) for s in want]
+    by = dict(zip(want, got.column("node").to_pylist(), strict=True))
+    assert got.column("node").to_pylist() == [by[s] for s in want] and len(set(by.values())) == len(by)
+    for part in (1, 64):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        (again,) = ngram_join._set_batches(iter([batch]), 5, np.zeros(1 << ngram_join.SLOT_BITS, np.uint8))
+        assert again.equals(got)

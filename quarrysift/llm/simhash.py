@@ -81,6 +81,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _gray_keys(fps: np.ndarray) -> list[np.ndarray]:
+    """Sort keys of the Gray order, the last one first; a row may be of several words, the first of them highest."""
+    if fps.ndim == 1:
+        return [gray_rank(fps)]
+    odd, keys = np.zeros(len(fps), np.uint64), []
+    for word in fps.T:
+        keys.append(gray_rank(word) ^ (np.uint64(0) - odd))
+        odd ^= np.bitwise_count(word).astype(np.uint64) & np.uint64(1)
+    return keys[::-1]
+
+
 def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union of the classes of a[i] and b[i]; comp[i] is the class's first member."""
     while True:
@@ -98,14 +109,17 @@ def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over fingerprints, a tree for each bucket, for self-joins in a radius."""
+    """Hierarchy over fingerprints, a tree for each bucket, for self-joins in a radius.
+
+    Fingerprints are words of 64 bits, or rows of such words.
+    """
 
     def __init__(self, bucket: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), bucket))
+        order = np.lexsort((*_gray_keys(fps), bucket))
         self.fps, self.order = fps[order], order
         b, every = bucket[order], np.uint64(0xFFFFFFFFFFFFFFFF)
         n = len(fps)
-        pattern, shared = self.fps, np.full(n, every)
+        pattern, shared = self.fps, np.full(fps.shape, every)
         first, last = np.arange(n), np.arange(1, n + 1)
         #: By level from the leaves up: pattern, shared bits, members' range, children's range.
         self.levels = [[pattern, shared, first, last, None, None]]
@@ -116,8 +130,8 @@ class GrayIndex:
             pos -= np.maximum.accumulate(np.where(new, pos, 0))
             starts = np.flatnonzero(pos % FANOUT == 0)
             ends = np.r_[starts[1:], len(b)]
-            low = np.bitwise_and.reduceat(pattern & shared, starts)
-            high = np.bitwise_or.reduceat(pattern | ~shared, starts)
+            low = np.bitwise_and.reduceat(pattern & shared, starts, axis=0)
+            high = np.bitwise_or.reduceat(pattern | ~shared, starts, axis=0)
             pattern, shared = low, ~(low ^ high)
             first, last, b = first[starts], last[ends - 1], b[starts]
             self.levels.append([pattern, shared, first, last, starts, ends])
@@ -126,7 +140,7 @@ class GrayIndex:
         for k, (_, shared, *_rest) in enumerate(self.levels):
             if k + 1 < len(self.levels):
                 up, starts, ends = self.levels[k + 1][1], self.levels[k + 1][4], self.levels[k + 1][5]
-                self.residual.append(shared & ~np.repeat(up, ends - starts))
+                self.residual.append(shared & ~np.repeat(up, ends - starts, axis=0))
             else:
                 self.residual.append(shared)
         tops = self.levels[-1]
@@ -198,6 +212,32 @@ class GrayIndex:
         out[self.order] = self.order[comp]
         return out
 
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, bits): all pairs of a bucket within ``radius``, each once; fingerprints are rows of words."""
+        words = [[(pattern[:, k].copy(), residual[:, k].copy()) for k in range(pattern.shape[1])] for (pattern, *_), residual in zip(self.levels, self.residual, strict=True)]
+        n, top, most = len(self.fps), len(self.levels) - 1, CHUNK_PAIRS // FANOUT
+        for at in range(0, n, most):
+            q = np.arange(at, min(at + most, n))
+            stack = [(top, q, self.root[q], np.zeros(len(q), np.int16))]
+            while stack:
+                level, q, node, acc = stack.pop()
+                if len(q) > most:
+                    stack += [(level, q[most:], node[most:], acc[most:])]
+                    q, node, acc = q[:most], node[:most], acc[:most]
+                last, starts, ends = self.levels[level][3:]
+                ahead = last[node] > q + 1
+                q, node, acc = q[ahead], node[ahead], acc[ahead]
+                for (own, _), (pattern, residual) in zip(words[0], words[level], strict=True):
+                    acc = acc + np.bitwise_count((own[q] ^ pattern[node]) & residual[node])
+                keep = acc <= radius
+                q, node, acc = q[keep], node[keep], acc[keep]
+                if level == 0:
+                    yield self.order[q], self.order[node], acc
+                elif len(q):
+                    size = ends[node] - starts[node]
+                    off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    stack.append((level - 1, np.repeat(q, size), np.repeat(starts[node], size) + off, np.repeat(acc, size)))
+
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], radius: int, apart: int | None = None) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links in each bucket; rows come sorted by bucket.
@@ -327,6 +367,8 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
 #: Seeds of a wide fingerprint's four words; bits in which candidates may differ. At 5-word
 #: shingle similarity 0.8 about 39 of 256 differ, give or take 6; unrelated texts differ in 128.
 WIDE_SEEDS, WIDE_APART = (42, 43, 44, 45), 80
+#: Bits in which the first of its words may differ for texts to meet in pigeonhole buckets.
+FIRST_APART = 3
 #: Candidates share the least hashes of one of so many groups of so many orders.
 BANDS, ROWS = 20, 3
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -399,34 +441,35 @@ def wide_fingerprint(data: bytes | None, shingle: int) -> tuple[int, int, int, i
     return _wide(_shingles(data, shingle))
 
 
-def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of one bucket, and whether they are only some of very many.
+def _index_pairs(bucket: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j) of each bucket, found by the index, and whether they are only some of very many.
 
     Those are a forest: each row with the nearest before it, so that a bucket has fewer pairs
-    than rows. Sizes that rule the similarity out are skipped.
+    than rows. Sizes that rule the similarity out are skipped. ``bucket`` numbers come sorted.
     """
-    n, step, total = len(node), max(1, 2_000_000 // len(node)), 0
-    found, near = [], []
-    for lo in range(0, n, step):
-        q = np.arange(lo, min(lo + step, n))
-        d = np.zeros((len(q), n), np.int16)
-        for k in range(4):
-            d += np.bitwise_count(wide[q, k][:, None] ^ wide[None, :, k])
-        ok = (d <= apart) & (5 * np.minimum(size[q][:, None], size) >= 4 * np.maximum(size[q][:, None], size))
-        ok[np.arange(len(q)), q] = False
-        total += int(ok.sum())
-        before = np.where(ok & (np.arange(n) < q[:, None]), d, 257) if n > DENSE else np.zeros((0, n), np.int16)
-        best = before.argmin(axis=1)
-        hit = np.flatnonzero(before[np.arange(len(best)), best] < 257)
-        near.append((q[hit], best[hit]))
-        if n > DENSE and total > 2 * DENSE * n:
-            found = []
-            continue
-        i, j = np.nonzero(ok & (np.arange(n) > q[:, None]))
-        found.append((q[i], j))
-    dense = n > DENSE and total > 2 * DENSE * n
-    a, b = (np.concatenate(x) for x in zip(*(near if dense else found), strict=True))
-    return node[a], node[b], dense
+    rows = np.bincount(bucket)
+    most = np.where(rows > DENSE, DENSE * rows, np.iinfo(np.int64).max)
+    total, best = np.zeros(len(rows), np.int64), np.full(len(bucket), np.iinfo(np.int64).max)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j, bits in GrayIndex(bucket, wide).pairs(apart):
+        ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        i, j, bits = np.maximum(i, j)[ok], np.minimum(i, j)[ok], bits[ok]
+        np.minimum.at(best, i, (bits.astype(np.int64) << 32) + j)
+        few = (total <= most)[bucket[i]]
+        total += np.bincount(bucket[i], minlength=len(rows))
+        found.append((i[few], j[few]))
+    dense = total > most
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    few = ~dense[bucket[i]]
+    near = np.flatnonzero(dense[bucket] & (best < np.iinfo(np.int64).max))
+    i, j = np.r_[i[few], near], np.r_[j[few], best[near] & 0xFFFFFFFF]
+    return i, j, dense[bucket[i]]
+
+
+def _bucket_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs of one bucket."""
+    i, j, dense = _index_pairs(np.zeros(len(node), np.int64), size, wide, apart)
+    return node[i], node[j], bool(dense.any())
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
@@ -453,18 +496,16 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.
     for table in _by_key(batches, "bucket", CHUNK_ROWS):
         bucket, node, size, *wide = (table.column(n).to_numpy() for n in ("bucket", "node", "size", "f0", "f1", "f2", "f3"))
         wide = np.stack(wide, axis=1).view(np.uint64)
-        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        out, rows = [], 0
-        for s in np.flatnonzero(np.diff(edge) > 1).tolist():
-            m = slice(edge[s], edge[s + 1])
-            u, v, dense = _bucket_pairs(node[m], size[m], wide[m], apart)
-            out.append((np.full(len(u), bucket[edge[s]]), np.maximum(u, v), np.minimum(u, v), np.full(len(u), dense)))
-            rows += len(u)
-            if rows > CHUNK_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
-                out, rows = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "u", "v", "dense"])
+        new = np.r_[True, bucket[1:] != bucket[:-1]]
+        several = np.flatnonzero(~new | ~np.r_[new[1:], True])
+        if not len(several):
+            continue
+        i, j, dense = _index_pairs(np.cumsum(new[several]) - 1, size[several], wide[several], apart)
+        i, j = several[i], several[j]
+        for lo in range(0, len(i), CHUNK_ROWS):
+            a, b = i[lo : lo + CHUNK_ROWS], j[lo : lo + CHUNK_ROWS]
+            arrays = [bucket[a], np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), dense[lo : lo + CHUNK_ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["bucket", "u", "v", "dense"])
 
 
 def cell_links(size: np.ndarray, elements: np.ndarray, comp: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -530,7 +571,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
     or more; it is worked out on the shingles of all candidates. Candidates differ in at most
     ``apart`` bits of their 256-bit SimHash and meet in one of ``BANDS`` buckets, keyed by the
     least hashes of their shingles in ``ROWS`` orders: a pair at 0.8 meets in none about once
-    in 1.7 million, a closer one more rarely. Where a bucket has very many candidates, each
+    in 1.7 million, a closer one more rarely. Pairs whose first words differ in ``FIRST_APART`` bits
+    at most meet surely, in pigeonhole buckets as in ``near_edges``. Buckets of both kinds are searched
+    by the Gray-order index. Where a bucket has very many candidates, each
     text is linked to the nearest before it at first. What then is in different classes yet is compared, text
     by text, in cells of at most two times ``cell`` texts, which give a spanning forest.
 
@@ -560,11 +603,22 @@ def one_of_each(docs: DataFrame, shingle: int = 5, apart: int = WIDE_APART, hot:
 
     inside = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")  # rows of two buckets in one order give the same pairs
     pairs = materialize(inside.mapInArrow(partial(_pair_batches, apart=apart), "bucket long, u long, v long, dense boolean"), "pairs")
-    few = pairs.select("u", "v").distinct()
+    # first words of few different bits meet in pigeonhole buckets as well, surely, as in op1
+    blocks = _deal(reps.select("node", F.col("f0").alias("fp"), *f), FIRST_APART, 64, hot).repartition("bucket").sortWithinPartitions("bucket")
+    close = blocks.mapInArrow(partial(_bucket_edges, radius=FIRST_APART, apart=apart), "u long, v long")
+    few = materialize(pairs.select("u", "v", F.lit(False).alias("close")).unionByName(close.withColumn("close", F.lit(True))).groupBy("u", "v").agg(F.max("close").alias("close")), "few")
     held = elements(few.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     both = few.join(held.select(F.col("node").alias("u"), F.col("elements").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("elements").alias("b")), "v")
     both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
-    comp = materialize(components(both.filter(5 * F.col("common") >= 4 * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")), "classes")
+    links = materialize(both.filter(5 * F.col("common") >= 4 * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v", "close"), "links")
+    # classes of what the blocks met, then of these classes by what the other buckets met
+    early = materialize(components(links.filter("close").select("u", "v")), "early")
+    rest = links.filter("not close").select("u", "v")
+    for x in ("u", "v"):
+        rest = rest.join(early.select(F.col("node").alias(x), F.col("root").alias("to")), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
+    later = materialize(components(rest), "later")
+    moved = early.join(later.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    comp = materialize(moved.unionByName(later), "classes")
     dense = pairs.filter("dense").select("bucket").distinct()
     members = materialize(dealt.select("bucket", "node").join(dense, "bucket").join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")), "members")
     open_ = members.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("node").alias("first")).filter("least <> most").select("bucket", "first")

@@ -12,7 +12,7 @@ Equal sets are one node, so copies cost one row each and no pairs.
   fixed size that counts every document). Two similar sets share one of the first fifth of
   their elements, so only these have inverted lists. A list is scanned against the least of its nodes
   first (in each batch of documents, then of all); then, in lists that hold several classes yet, what is not of the list's largest class is
-  compared with all others. Each pair must pass a parity sketch (its differing bits never
+  compared with all others of that list. Each pair must pass a parity sketch (its differing bits never
   outnumber the elements that differ) before elements are compared; that decides.
 * The boundary is the size at which enumerating subsets costs more rows than scanning lists.
   It is chosen from the sizes of all sets.
@@ -285,25 +285,32 @@ def cell_links(node: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[
     root, out = np.arange(len(name)), []
     near = np.arange(len(node))
     words = np.array([len(b) for b in bits])
-    by = {n: np.flatnonzero(words == n) for n in np.unique(words).tolist()}
+    lesser = np.isin(near, minor)
+    by = {n: f[np.argsort(~lesser[f], kind="stable")] for n in np.unique(words).tolist() for f in [np.flatnonzero(words == n)]}  # minor texts first
     for n, m in ((n, m) for n in by for m in (n // 2, n, 2 * n) if m in by):  # sizes that may link
         few = min(n, m)
-        mine = by[n][np.isin(by[n], minor)]
-        other = np.stack([_folded(bits[j], few) for j in by[m]])
+        mine = by[n][lesser[by[n]]]
+        # a pair of two minor texts is met once: of two sizes from the smaller one, of one size from the first
+        others = by[m] if m >= n else by[m][~lesser[by[m]]]
+        if not len(mine) or not len(others):
+            continue
+        bit = np.stack([_folded(bits[j], few) for j in others])
         for lo in range(0, len(mine), 256):
-            q = mine[lo : lo + 256]
+            q, at = mine[lo : lo + 256], lo if m == n else 0
             own = np.stack([_folded(bits[i], few) for i in q])
-            apart = np.zeros((len(q), len(other)), np.int64)
+            apart = np.zeros((len(q), len(others) - at), np.int32)
             for k in range(few):
-                apart += np.bitwise_count(own[:, k][:, None] ^ other[None, :, k])
-            s, t = size[q][:, None], size[by[m]]
-            ok = (apart <= s + t - 2 * needed(s, t)) & (root[label[q]][:, None] != root[label[by[m]]]) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
+                apart += np.bitwise_count(own[:, k][:, None] ^ bit[None, at:, k])
+            rest = others[at:]
+            s, t = size[q][:, None], size[rest]
+            # differing bits are odd if s + t is, so that this is apart <= s + t - 2 * needed(s, t)
+            ok = (9 * apart <= s + t) & (root[label[q]][:, None] != root[label[rest]]) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
             if lists is None:
                 i, j = np.nonzero(ok)
-                near = _merge(near, q[i], by[m][j])
+                near = _merge(near, q[i], rest[j])
                 continue
             for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-                i, j = q[i], by[m][j]
+                i, j = q[i], rest[j]
                 a, b = root[label[i]], root[label[j]]
                 if a != b and len(np.intersect1d(lists[i], lists[j], assume_unique=True)) >= needed(size[i], size[j]):
                     out.append((int(name[label[i]]), int(name[label[j]])))
@@ -376,21 +383,27 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     comp = classes(found)
     tie = lambda c: c.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
-    def possible(edges: DataFrame, comp: DataFrame) -> DataFrame:
-        """(u, v): a forest of the possible links between all nodes that ``edges`` connect; only parities move."""
-        return materialize(dealt_out(edges, comp, 8).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_batches, "u long, v long"), "possible")
-
     def in_cells(edges: DataFrame, comp: DataFrame) -> DataFrame:
         """``comp`` with the links between all nodes that ``edges`` (u, v) connect; a text moves once for each of its cells."""
-        cells = dealt_out(edges, comp, 1)
-        full = cells.join(held(cells.select("node")), "node").repartition("cell").sortWithinPartitions("cell")
-        return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
-
-    def dealt_out(edges: DataFrame, comp: DataFrame, slim: int) -> DataFrame:
-        """(cell, node, comp, size, bits, minor): the nodes that ``edges`` connect, each in all cells that compare it; so many times the elements in a chunk."""
         group = classes(edges)
         nodes = group.select("node").unionByName(group.select(F.col("root").alias("node"))).distinct()
-        whole = materialize(of(of(nodes, group, "node", "group"), comp, "node", "comp").join(part, "node"), "grouped")
+        whole = of(of(nodes, group, "node", "group"), comp, "node", "comp").join(reps.select("node", "size"), "node")
+        cells = materialize(dealt_out(whole, 1), "cells")
+        full = cells.join(part, "node").join(held(cells.select("node")), "node").repartition("cell").sortWithinPartitions("cell")
+        return classes(tie(comp).unionByName(full.mapInArrow(_cell_batches, "u long, v long")))
+
+    def possible(lists: DataFrame) -> DataFrame:
+        """(u, v): a forest of the possible links between the nodes of each list of ``lists`` (group, node, comp); only parities move.
+
+        Lists stay apart: those that common passages chain to each other would be one group of very many texts.
+        """
+        cells = dealt_out(lists.join(reps.select("node", "size"), "node"), 8)
+        full = cells.join(part, "node").repartition("cell").sortWithinPartitions("cell")
+        return materialize(full.mapInArrow(_cell_batches, "u long, v long").distinct(), "possible")
+
+    def dealt_out(nodes: DataFrame, slim: int) -> DataFrame:
+        """(cell, node, comp, minor): ``nodes`` (group, node, comp, size), each in all cells that compare it; ``slim``: so many times the elements in a chunk."""
+        whole = materialize(nodes, "grouped")
         counted = whole.groupBy("group", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("e"))
         largest = counted.groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
         parts = counted.join(largest, "group").withColumn("minor", F.col("comp") != F.col("top")).groupBy("group", "minor").agg(F.ceil(F.greatest(F.sum("k") / chunk, F.sum("e") / (CHUNK_ELEMENTS * slim))).alias("n"))
@@ -403,7 +416,7 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
         outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: pair(1, F.col("at"), j))
         across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: pair(1, i, F.col("at")))
         cells = dealt.withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(inner, outer)).otherwise(across)))
-        return materialize(cells.select(F.xxhash64("group", "cell").alias("cell"), "node", "comp", "size", "bits", "minor"), "cells")
+        return cells.select(F.xxhash64("group", "cell").alias("cell"), "node", "comp", "minor")
 
     late = of(of(near.filter("rank > 1"), comp, "u", "cu"), comp, "v", "cv").filter("cu <> cv")
     late = materialize(late.select("u", "v"), "late")
@@ -413,15 +426,16 @@ def heavy_links(reps: DataFrame, texts: DataFrame, heads: DataFrame, links: Data
     # lists of three or more nodes that hold several classes yet: pairs of short ones, all of long ones
     members = lists.select("token", "node").unionByName(lists.select("token", F.col("pivot").alias("node"))).distinct()
     members = of(members, comp, "node", "comp")
-    open_ = members.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("least")).filter("k > 2 and a <> b").select("token", "k", "least")
-    members = materialize(members.join(open_, "token").select("token", "node", "comp", "k", "least"), "members")
+    open_ = members.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes")).filter("k > 2 and a <> b")
+    open_ = open_.groupBy("k", "nodes").agg(F.min("token").alias("token"))  # lists of the same nodes are one
+    members = materialize(members.join(open_.select("token", "k"), "token").select("token", "node", "comp", "k"), "members")
     short = members.filter(F.col("k") <= most).join(part, "node")
     half = lambda x, y: short.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{y}"), F.col("size").alias(f"s{y}"), F.col("bits").alias(f"b{y}"))
     cross = half("u", "a").join(half("v", "b"), "token").filter((F.col("u") < F.col("v")) & (F.col("ca") != F.col("cb")) & _may_link("sa", "sb", "ba", "bb"))
     cross = materialize(cross.select("u", "v").distinct(), "cross")
-    wide = materialize(members.filter((F.col("k") > most) & (F.col("node") != F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v")), "wide")
-    if not wide.isEmpty():  # long lists connect what has little in common: sieved first
-        cross = cross.unionByName(possible(wide, comp))
+    wide = members.filter(F.col("k") > most).select(F.col("token").alias("group"), "node", "comp")
+    if not wide.isEmpty():  # nodes of long lists have little in common: sieved first
+        cross = cross.unionByName(possible(wide))
     return comp if cross.isEmpty() else in_cells(cross, comp)
 
 

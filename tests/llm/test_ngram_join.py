@@ -173,3 +173,58 @@ def test_words_are_hashed_together(monkeypatch):
         monkeypatch.setattr(ngram_join, "PART", part)
         (again,) = ngram_join._set_batches(iter([batch]), 5, np.zeros(1 << ngram_join.SLOT_BITS, np.uint8))
         assert again.equals(got)
+
+
+def test_lists_chained_by_passages_are_not_one_group(spark, monkeypatch, tmp_path):
+    """Each passage is in the texts of two neighbours, so that their lists reach from the first text to the last."""
+    rng = random.Random(9)
+    passages = [words(rng, 20) for _ in range(60)]
+    rows = [(6 * i + k, " ".join([*a, f"own{6 * i + k}", *b]), 0, "") for i, (a, b) in enumerate(zip(passages, passages[1:], strict=False)) for k in range(6)]
+    rows += [(1000 + i, rows[12 * i][1] + " more", 0, "") for i in range(20)]
+    inner, folder = ngram_join._cell_batches, str(tmp_path)
+
+    def counted(batches):
+        import uuid
+
+        batches = list(batches)
+        sizes: dict = {}
+        for c in (c for b in batches for c in b.column("cell").to_pylist()):
+            sizes[c] = sizes.get(c, 0) + 1
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(n * n for n in sizes.values())))
+        yield from inner(iter(batches))
+
+    monkeypatch.setattr(ngram_join, "_cell_batches", counted)
+    monkeypatch.setattr(ngram_join, "boundary", lambda sizes: 0)
+    assert got(ngram_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA), most=4)) == slow(rows)
+    pairs = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 0 < pairs < len(rows) ** 2 // 8, pairs
+
+
+def test_cell_compares_each_pair_once():
+    """A spanning forest over the classes, for sizes of one, two and four times the bits, minor texts or not."""
+    rng = np.random.default_rng(10)
+    sets = []
+    for n in (20, 500, 530, 1000, 1050):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for _ in range(12):
+            gone = rng.random(len(base)) < rng.choice([0.02, 0.09, 0.15])
+            sets.append(np.sort(np.r_[base[~gone], rng.integers(0, 2**64, int(gone.sum()) // 2, dtype=np.uint64)]))
+    size = np.array([len(e) for e in sets])
+    bits = [ngram_join._parity(e).view(np.uint64) for e in sets]
+    node = np.arange(len(sets)) * 7
+    comp = np.where(rng.random(len(sets)) < 0.3, 1000, node)
+    minor = np.flatnonzero(comp != 1000)
+
+    def classes(pairs, name):
+        root = {int(x): int(x) for x in name}
+        for a, b in pairs:
+            a, b = root[int(a)], root[int(b)]
+            root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+        return root
+
+    alike = [(comp[i], comp[j]) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= ngram_join.needed(size[i], size[j])]
+    found = ngram_join.cell_links(node, comp, size, bits, minor, sets)
+    assert classes(found, set(comp)) == classes(alike, set(comp)) and len(found) > 10
+    sieved = classes(ngram_join.cell_links(node, comp, size, bits, minor, None), node)
+    assert all(sieved[node[i]] == sieved[node[j]] for i in range(len(sets)) for j in range(i) if comp[i] != comp[j] and len(np.intersect1d(sets[i], sets[j])) >= ngram_join.needed(size[i], size[j]))
